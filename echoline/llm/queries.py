@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, minhash, mixing, packing, sharding, substrings, topk, warc
+from . import language, lines, media, minhash, mixing, packing, sharding, substrings, topk, warc
 from .common import table
 
 #: Bytes of text in a shard of op8.
 SHARD_BYTES = 1 << 20
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -70,6 +74,7 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_topk_search": op2_topk_search,
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,

@@ -63,33 +63,34 @@ def _places(tau: int, size: Column, n: Column, probe: Column) -> Column:
 
 def _deeper(rows: DataFrame, rest: bool) -> DataFrame:
     """From (key, id, probe, text, size) to the rows of the next level; ``rest`` keeps the text without the segment."""
-    n = F.length("text")
+    n = F.col("n")
     out = rows.withColumn("s", F.explode(_places(TAU, F.col("size"), n, F.col("probe"))))
     at, length = F.col("s.at"), F.col("s.length")
     piece = F.substring(F.col("text"), at + 1, length)
     chosen = [F.xxhash64("key", F.col("s.j"), piece).alias("key"), "id", "probe"]
     if rest:
         left = F.concat(F.substring(F.col("text"), F.lit(1), at), F.substring(F.col("text"), at + length + 1, n))
-        chosen += [left.alias("text"), (F.col("size") - length).alias("size")]
+        chosen += [left.alias("text"), (F.col("size") - length).alias("size"), (n - length).alias("n")]
     return out.select(*chosen)
 
 
 def _roots(lines: DataFrame) -> DataFrame:
     """A line's index row under its own length, and its probes under every length it may match."""
-    n = F.length("line")
+    n = F.col("n")
     kinds = F.array(
         F.struct(F.lit(False).alias("probe"), n.alias("size")),
         *[F.struct(F.lit(True).alias("probe"), (n - d).alias("size")) for d in range(TAU + 1)],
     )
-    rows = lines.select(F.col("h1").alias("id"), F.col("line").alias("text"), F.explode(kinds).alias("k"))
-    return rows.select(F.xxhash64("k.size").alias("key"), "id", "k.probe", "text", "k.size")
+    rows = lines.select(F.col("h1").alias("id"), F.col("line").alias("text"), F.length("line").alias("n"))
+    rows = rows.select("id", "text", "n", F.explode(kinds).alias("k"))
+    return rows.select(F.xxhash64("k.size").alias("key"), "id", "k.probe", "text", "k.size", "n")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (key, id, probe, hot) of the keys under which different lines meet."""
+    """Rows (key, id, probe, hot) of the keys under which different lines meet; one exchange, by key."""
     own = Window.partitionBy("key")
     return (
-        rows.select("key", "id", "probe").distinct()
+        rows.select("key", "id", "probe").repartition("key").distinct()
         .select("key", "id", "probe", F.min("id").over(own).alias("a"), F.max("id").over(own).alias("b"), F.count_if(~F.col("probe")).over(own).alias("n"))
         .where("a < b AND n > 0")
         .select("key", "id", "probe", (F.col("n") > HOT).alias("hot"))
@@ -143,7 +144,11 @@ def within(one: Column, two: Column, tau: int = TAU) -> Column:
     a diagonal, an error moves to the next word by substitution (same diagonal), insertion (one lower) or deletion (one
     higher, in the same step).
     """
-    p, t = F.split(one, ""), F.split(two, "")
+    both = F.array(F.struct(F.split(one, "").alias("p"), F.split(two, "").alias("t")))
+    return F.transform(both, lambda s: _within(s["p"], s["t"], tau))[0]  # splits each text once
+
+
+def _within(p: Column, t: Column, tau: int) -> Column:
     mask = (1 << (2 * tau + 1)) - 1
     start = F.struct(*[F.lit(sum(1 << (tau + d) for d in range(e + 1))).alias(f"r{e}") for e in range(tau + 1)])
 

@@ -1,11 +1,13 @@
 """Near-duplicate documents: MinHash, banding, sequential Bayesian verification, exact confirmation.
 
 A document's set are its distinct five-word shingles (64-bit digests).  Equal sets are joined into classes by digest
-first, so copies never meet in pairs.  Class representatives are banded; in a first round every bucket's members meet
-only the bucket's smallest member; confirmed links join components.  In a second round, buckets that still hold several
-components pair what lies outside their smallest component with the rest, across components only.  Candidates compare
-signatures in batches and go as soon as the posterior probability of the wanted similarity is under ``miss``; the
-survivors are confirmed on full sets.  Pairs within one component need no more links.
+first, so copies never meet in pairs.  Class representatives are banded.  In the first rounds a bucket's members are
+dealt into groups of about ``STAR``, anew in each round, and meet only the smallest member of their group; of a
+document's likely partners the likeliest is confirmed, and confirmed links join components.  Last, buckets that still
+hold several components pair what lies outside their smallest component with the rest, across components only, where
+the sets' sizes allow the similarity.  Candidates compare signatures in batches and go as soon as the posterior
+probability of the wanted similarity is under ``miss``; the survivors are confirmed on full sets.  Pairs within one
+component need no more links, so nothing is lost by not comparing them.
 
 Banding finds a pair at the threshold with probability 1 - (1 - 0.75^4)^32 = 0.999995.
 
@@ -31,6 +33,8 @@ WORDS, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
 BATCH = 32
+#: Group size and number of the star rounds.
+STAR, ROUNDS = 8, 2
 PIECE = 1 << 20
 
 _rng = np.random.default_rng(712)
@@ -121,6 +125,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def band_keys(full: np.ndarray) -> np.ndarray:
+    rows = full.reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE[ROWS]
+    for k in range(ROWS):
+        key = _mix(key + rows[:, k] * _PLACE[k])
+    return key.view(np.int64)
+
+
 def least_matches(miss: float, percent: int = PERCENT) -> dict[int, int]:
     """After n compared hashes, the matches below which P(similarity >= threshold) < miss, under a uniform prior.
 
@@ -139,23 +151,28 @@ def least_matches(miss: float, percent: int = PERCENT) -> dict[int, int]:
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig); h1, h2 digest the set, all three null for empty sets."""
+    """(doc_id, n_shingles, h1, h2, sig, keys); h1, h2 digest the set; null but for the count where the set is empty.
+
+    ``keys`` are the bands' digests; ``sig`` keeps one byte of each hash, which can only add matches.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, sigs = [], [], []
+            n, digests, sigs, keys = [], [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py())
                 n.append(len(own))
                 digests.append(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(own) else (None, None))
-                sigs.append(signature(own).tobytes() if len(own) else None)
+                full = signature(own) if len(own) else None
+                sigs.append((full >> np.uint32(8)).astype(np.uint8).tobytes() if len(own) else None)
+                keys.append(band_keys(full) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "sig"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "h1", "h2", "sig", "keys"],
             )
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return slim.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, keys array<long>")
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, miss: float) -> DataFrame:
@@ -164,7 +181,7 @@ def likely(pairs: DataFrame, sigs: DataFrame, miss: float) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SIZE) for i in (2, 3))
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIZE) for i in (2, 3))
             alive, matches = np.arange(len(one)), np.zeros(len(one), np.int64)
             for at in range(0, SIZE, BATCH):
                 matches[alive] += (one[alive, at : at + BATCH] == two[alive, at : at + BATCH]).sum(axis=1)
@@ -220,31 +237,31 @@ def near_duplicates(docs: DataFrame, *, miss: float = 1e-6, percent: int = PERCE
         .select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("rep_row"))
     )
     classes = materialize(classes)
-    sigs = signed.join(classes.select(F.col("rep").alias("doc_id"), F.col("rep_row").alias("row")), ["doc_id", "row"], "left_semi").select("doc_id", "sig")
-    sigs = materialize(sigs.dropDuplicates(["doc_id"]))
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(BANDS)])
-    banded = sigs.select("doc_id", F.explode(keys).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    banded = materialize(banded.join(shared, "key"))
-
-    # first round: the smallest member of each bucket; of a document's likely partners, the likeliest
-    stars = materialize(banded.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct())
-    hopeful = materialize(likely(stars, sigs, miss))
-    best = hopeful.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    links = materialize(confirm(best, docs, percent, **names))
-    joined = materialize(components(links))
-
-    # second round: what still lies apart
-    member = banded.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("component", "doc_id").alias("c")
-    )
-    member = materialize(member)
-    mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
-    member = member.join(mixed, "key")
-    outside = member.where("c <> low").select("key", F.col("doc_id").alias("d"), F.col("c").alias("e"))
-    apart = outside.join(member, "key").where("e <> c AND (c = low OR d < doc_id)")
-    apart = apart.select(F.least("d", "doc_id").alias("a"), F.greatest("d", "doc_id").alias("b")).distinct()
-    apart = apart.join(best, ["a", "b"], "left_anti")
+    sigs = signed.join(classes.select(F.col("rep").alias("doc_id"), F.col("rep_row").alias("row")), ["doc_id", "row"], "left_semi")
+    sigs = materialize(sigs.select("doc_id", "n_shingles", "sig", "keys").dropDuplicates(["doc_id"]))
+    banded = sigs.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("members")).where("a < z")
+    banded = materialize(banded.join(shared.select("key", "members"), "key"))
+
+    links, joined = None, None
+    for number in range(ROUNDS):
+        member = _members(banded, joined)
+        group = F.pmod(F.xxhash64("key", "doc_id", F.lit(number)), F.greatest(F.lit(1).cast("long"), F.expr(f"members div {STAR}")))
+        member = member.withColumn("group", group)
+        centre = member.groupBy("key", "group").agg(F.min(F.struct("doc_id", "c")).alias("m"))
+        stars = member.join(centre, ["key", "group"]).where("m.doc_id <> doc_id AND m.c <> c")
+        stars = materialize(stars.select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+        hopeful = likely(stars, sigs, miss)
+        best = hopeful.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+        found = materialize(confirm(materialize(best), docs, percent, **names))
+        links = found if links is None else links.union(found)
+        joined = materialize(components(links))
+
+    member = _members(banded, joined)
+    outside = member.where("c <> low").select("key", F.col("doc_id").alias("d"), F.col("c").alias("e"), F.col("n").alias("o"))
+    size = (F.lit(100) * F.least("n", "o") >= F.lit(percent) * F.greatest("n", "o"))
+    apart = outside.join(member, "key").where(F.expr("e <> c AND (c = low OR d < doc_id)") & size)
+    apart = materialize(apart.select(F.least("d", "doc_id").alias("a"), F.greatest("d", "doc_id").alias("b")).distinct())
     more = confirm(materialize(likely(apart, sigs, miss)).select("a", "b"), docs, percent, **names)
     final = components(links.union(more))
 
@@ -255,6 +272,16 @@ def near_duplicates(docs: DataFrame, *, miss: float = 1e-6, percent: int = PERCE
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _members(banded: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(key, doc_id, n, members, c, low) of the buckets that hold several components; low is the smallest of them."""
+    if joined is None:
+        return banded.select("*", F.col("doc_id").alias("c"))
+    member = banded.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    member = materialize(member.select("key", "doc_id", "n", "members", "c"))
+    mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
+    return member.join(mixed, "key")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each group of near duplicates; of rows that repeat an id one stays."""
     id_col = options.get("id_col", "doc_id")

@@ -19,6 +19,8 @@ Candidate search and components tell lines apart by 64-bit digests; the distance
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,29 @@ def _roots(lines: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("k.size").alias("key"), "id", "k.probe", "text", "k.size", "n")
 
 
+def _first_keys(lines: DataFrame) -> DataFrame:
+    """The same (key, id, probe) as one ``_deeper`` step from ``_roots`` gives, as one flat expression per line."""
+    n, text, parts, keys = F.col("n"), F.col("line"), TAU + 1, []
+
+    def key(size: Column, j: int, at: Column, length: Column) -> Column:
+        piece = F.xxhash64(F.xxhash64(size), F.lit(j), F.substring(text, at + 1, length))
+        return F.when((at >= 0) & (at + length <= n), piece)
+
+    for shift in range(TAU + 1):
+        size = n - shift
+        base, longer = F.floor(size / parts).cast("int"), size % parts
+        for j in range(parts):
+            length = base + (F.lit(j) >= parts - longer).cast("int")
+            start = base * j + F.greatest(F.lit(0), F.lit(j) - (parts - longer))
+            if shift == 0:
+                keys.append((False, key(size, j, start, length)))
+            for move in range(max(-j, shift - (TAU - j)), min(j, shift + (TAU - j)) + 1):
+                keys.append((True, key(size, j, start + move, length)))
+    flat = F.explode(F.array(*[F.struct(k.alias("key"), F.lit(p).alias("probe")) for p, k in keys]))
+    rows = lines.select(F.col("h1").alias("id"), "line", F.length("line").alias("n")).select("id", flat.alias("k"))
+    return rows.select("k.key", "id", "k.probe").where("key IS NOT NULL")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows (key, id, probe, hot) of the keys under which different lines meet; one exchange, by key."""
     own = Window.partitionBy("key")
@@ -116,7 +141,7 @@ def texts_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs (a, b) of line digests that share segments."""
-    found = materialize(_shared(_deeper(_roots(lines), rest=False)))
+    found = materialize(_shared(_first_keys(lines)))
     pairs = _pairs(found.where("NOT hot"))
     hot = found.where("hot")
     if hot.isEmpty():
@@ -203,16 +228,19 @@ def line_classes(docs: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "
         "doc_id", "text_hash", "line_no", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(alone, F.col("h1")).otherwise(F.col("component")).alias("c1"), F.when(alone, F.col("h2")).otherwise(F.lit(0)).alias("c2"),
     )
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "text_hash")
+    # (doc_id, line number) as one number, nulls last: fixed width, so it is aggregated by hash
+    rank = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")
+    rank = rank.cast("decimal(38,0)")
     first = (
         near.groupBy("c1", "c2").agg(F.min(rank).alias("first"), F.max(rank).alias("other")).where("first <> other").drop("other")
     )
-    placed = near.join(first, ["c1", "c2"], "left")
-    own = F.col("first").isNull() | F.col("first").eqNullSafe(rank)
+    placed = near.join(first, ["c1", "c2"], "left").withColumn("first", F.coalesce("first", rank))
+    own = F.col("first") == rank
+    place = F.col("first") % F.lit(1 << 31)
+    head = ((F.col("first") - place) / F.lit(1 << 31)).cast("decimal(20,0)")
     return placed.select(
         "doc_id", "text_hash", "line_no",
-        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
-        F.when(F.col("first").isNull(), F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
+        F.when(head < F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), head).cast("long").alias("class_doc_id"), place.cast("int").alias("class_line_no"),
         "n_links", own.alias("kept"),
     )
 

@@ -47,7 +47,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage after the first can be expressed in SQL; the tests hold the rows against plain restatements.
+#: No stage after the first can be expressed in SQL; the operators' tests hold them against plain restatements.
 ORACLE_SQL = None
 
 

@@ -33,6 +33,8 @@ HOT, LEVELS = 24, 4
 #: Id lists of at most this many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 BLANK = " \t\r\f\x0b"
+#: An encoding of four bytes a character; keys are hashed from it.
+WIDE = "UTF-32"
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -69,7 +71,7 @@ def _deeper(rows: DataFrame, rest: bool) -> DataFrame:
     out = rows.withColumn("s", F.explode(_places(TAU, F.col("size"), n, F.col("probe"))))
     at, length = F.col("s.at"), F.col("s.length")
     piece = F.substring(F.col("text"), at + 1, length)
-    chosen = [F.xxhash64("key", F.col("s.j"), piece).alias("key"), "id", "probe"]
+    chosen = [F.xxhash64("key", F.col("s.j"), F.encode(piece, WIDE)).alias("key"), "id", "probe"]
     if rest:
         left = F.concat(F.substring(F.col("text"), F.lit(1), at), F.substring(F.col("text"), at + length + 1, n))
         chosen += [left.alias("text"), (F.col("size") - length).alias("size"), (n - length).alias("n")]
@@ -89,26 +91,28 @@ def _roots(lines: DataFrame) -> DataFrame:
 
 
 def _first_keys(lines: DataFrame) -> DataFrame:
-    """The same (key, id, probe) as one ``_deeper`` step from ``_roots`` gives, as one flat expression per line."""
-    n, text, parts, keys = F.col("n"), F.col("line"), TAU + 1, []
-
-    def key(size: Column, j: int, at: Column, length: Column) -> Column:
-        piece = F.xxhash64(F.xxhash64(size), F.lit(j), F.substring(text, at + 1, length))
-        return F.when((at >= 0) & (at + length <= n), piece)
+    """The same (key, id, probe) as one ``_deeper`` step from ``_roots`` gives.
 
+    The places are a constant list exploded beside the line, so the generated code stays small enough to be compiled;
+    in a fixed-width encoding, made once a line, a substring is a slice.
+    """
+    parts, places = TAU + 1, []
     for shift in range(TAU + 1):
-        size = n - shift
-        base, longer = F.floor(size / parts).cast("int"), size % parts
         for j in range(parts):
-            length = base + (F.lit(j) >= parts - longer).cast("int")
-            start = base * j + F.greatest(F.lit(0), F.lit(j) - (parts - longer))
             if shift == 0:
-                keys.append((False, key(size, j, start, length)))
-            for move in range(max(-j, shift - (TAU - j)), min(j, shift + (TAU - j)) + 1):
-                keys.append((True, key(size, j, start + move, length)))
-    flat = F.explode(F.array(*[F.struct(k.alias("key"), F.lit(p).alias("probe")) for p, k in keys]))
-    rows = lines.select(F.col("h1").alias("id"), "line", F.length("line").alias("n")).select("id", flat.alias("k"))
-    return rows.select("k.key", "id", "k.probe").where("key IS NOT NULL")
+                places.append((False, shift, j, 0))
+            places += [(True, shift, j, move) for move in range(max(-j, shift - (TAU - j)), min(j, shift + (TAU - j)) + 1)]
+    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("probe", "shift", "j", "move"), place, strict=True)]) for place in places])
+    rows = lines.select(F.col("h1").alias("id"), F.encode("line", WIDE).alias("wide"), F.length("line").alias("n"))
+    rows = rows.select("id", "wide", "n", F.inline(listed)).withColumn("size", F.col("n") - F.col("shift"))
+    n, j = F.col("n"), F.col("j")
+    base, longer = F.floor(F.col("size") / parts).cast("int"), F.col("size") % parts
+    length = base + (j >= F.lit(parts) - longer).cast("int")
+    at = base * j + F.greatest(F.lit(0), j - (F.lit(parts) - longer)) + F.col("move")
+    rows = rows.select("id", "wide", "n", "probe", "size", "j", at.alias("at"), length.alias("length"))
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("length") <= n))
+    piece = F.substring(F.col("wide"), F.col("at") * 4 + 1, F.col("length") * 4)
+    return rows.select(F.xxhash64(F.xxhash64("size"), j, piece).alias("key"), "id", "probe")
 
 
 def _shared(rows: DataFrame) -> DataFrame:

@@ -69,7 +69,10 @@ def fit(labelled: DataFrame, train_rows: int) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["language", "counts"])
 
     sample = labelled.where("language IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sample = sample.orderBy(F.xxhash64("language", "text")).limit(train_rows).coalesce(1)
+    # the bound on the digest first, so that only the sample's texts move; ties at the bound are equal rows
+    sample = sample.withColumn("digest", F.xxhash64("language", "text"))
+    bound = sample.select("digest").orderBy("digest").limit(train_rows).agg(F.max("digest")).first()[0]
+    sample = sample.where(F.col("digest") <= bound).orderBy("digest").limit(train_rows).coalesce(1) if bound is not None else sample.limit(0)
     sums: dict[str, np.ndarray] = {}
     for language, counts in sample.select("language", "text").mapInArrow(count, "language string, counts binary").collect():
         sums[language] = sums.get(language, 0) + np.frombuffer(counts, np.int64)

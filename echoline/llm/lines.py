@@ -5,8 +5,9 @@ distance ``TAU`` = 2 are linked, and linked lines form one class.  Two lines wit
 three segments of the shorter one, near the same place; so a line indexes its three segments under its length, and
 probes, for every length it could match, the substrings at the few places where a segment may have shifted to.
 
-A key with many lines is not joined: its lines' remaining text, which must again be within distance 2, is segmented
-under that key in turn (``LEVELS`` times), so lines that share long parts meet only where the rest agrees as well.
+A key with many lines is not joined: what its lines have before and behind the segment must agree within the edits
+that segment's place allows each side, so those sides are segmented under that key in turn (``LEVELS`` times at most),
+and lines that share long parts meet only where the rest agrees as well.
 Candidates are verified by banded bit-parallel edit distance: for each number of errors one word holds the reachable
 diagonals of the band, and a character of the text moves all of them at once.
 
@@ -29,7 +30,7 @@ from .common import components, materialize
 TAU = 2
 MIN_CHARS = 20
 #: A key with more index rows than this is segmented again.
-HOT, LEVELS = 24, 4
+HOT, LEVELS = 12, 10
 #: Id lists of at most this many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 BLANK = " \t\r\f\x0b"
@@ -48,7 +49,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _places(tau: int, size: Column, n: Column, probe: Column) -> Column:
-    """Segments (j, at, length) of a line of ``size``; for probes of length n also where they may have shifted to."""
+    """Segments (j, start, at, length) of a piece of ``size``; for probes of length n also where they may have shifted to."""
     parts = tau + 1
     base, longer = F.floor(size / parts).cast("int"), (size % parts).cast("int")
 
@@ -60,22 +61,41 @@ def _places(tau: int, size: Column, n: Column, probe: Column) -> Column:
         high = F.least(n - length, start + j, start + shift + (tau - j))
         low, high = F.when(probe, low).otherwise(start), F.when(probe, high).otherwise(start)
         spots = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda q: F.struct(F.lit(j).alias("j"), q.alias("at"), length.alias("length")))
+        return F.transform(spots, lambda q: F.struct(F.lit(j).alias("j"), start.alias("start"), q.alias("at"), length.alias("length")))
 
     return F.concat(*[segment(j) for j in range(parts)])
 
 
-def _deeper(rows: DataFrame, rest: bool) -> DataFrame:
-    """From (key, id, probe, text, size) to the rows of the next level; ``rest`` keeps the text without the segment."""
-    n = F.col("n")
-    out = rows.withColumn("s", F.explode(_places(TAU, F.col("size"), n, F.col("probe"))))
-    at, length = F.col("s.at"), F.col("s.length")
-    piece = F.substring(F.col("text"), at + 1, length)
-    chosen = [F.xxhash64("key", F.col("s.j"), F.encode(piece, WIDE)).alias("key"), "id", "probe"]
-    if rest:
-        left = F.concat(F.substring(F.col("text"), F.lit(1), at), F.substring(F.col("text"), at + length + 1, n))
-        chosen += [left.alias("text"), (F.col("size") - length).alias("size"), (n - length).alias("n")]
-    return out.select(*chosen)
+def _deeper(rows: DataFrame) -> DataFrame:
+    """One more segment of every row's piece: its key, and the pieces to either side of it.
+
+    A row's ``text`` (length n, hypothesised size ``size``) may differ by ``budget`` edits from its partner's.  Some
+    segment j of budget + 1 matches with at most j edits before it and at most budget - j behind it, so a side without
+    edits is empty, and only a middle segment leaves two sides, of one edit each.  Such sides take turns: the one cut
+    is then put off (``text2``) while the other is cut next.
+    """
+
+    def cut(budget: int) -> DataFrame:
+        n, size = F.col("n"), F.col("size")
+        out = rows.where(F.col("budget") == budget).withColumn("s", F.explode(_places(budget, size, n, F.col("probe"))))
+        j, at, length, start = (F.col(f"s.{k}") for k in ("j", "at", "length", "start"))
+        key = F.xxhash64("key", j, F.encode(F.substring(F.col("text"), at + 1, length), WIDE)).alias("key")
+        left = F.struct(F.substring(F.col("text"), F.lit(1), at).alias("text"), start.alias("size"), at.alias("n"))
+        after = F.substring(F.col("text"), at + length + 1, n)
+        right = F.struct(after.alias("text"), (size - start - length).alias("size"), (n - at - length).alias("n"))
+        if budget == 1:  # what is left of the piece waits, the other one is next
+            kept = F.when(j == 0, right).otherwise(left)
+            other = F.struct(F.col("text2").alias("text"), F.col("size2").alias("size"), F.col("n2").alias("n"))
+            first, second, rest = other, kept, F.lit(1)
+        else:
+            none = F.struct(F.lit("").alias("text"), F.lit(0).alias("size"), F.lit(0).alias("n"))
+            middle = j == 1
+            first, second = F.when(j == 2, left).otherwise(right), F.when(middle, left).otherwise(none)
+            rest = F.when(middle, 1).otherwise(2)
+        out = out.select(key, "id", "probe", rest.alias("budget"), first.alias("p"), second.alias("q"))
+        return out.select("key", "id", "probe", "budget", "p.text", "p.size", "p.n", *[F.col(f"q.{k}").alias(f"{k}2") for k in ("text", "size", "n")])
+
+    return cut(TAU).unionByName(cut(1))
 
 
 def _roots(lines: DataFrame) -> DataFrame:
@@ -87,7 +107,10 @@ def _roots(lines: DataFrame) -> DataFrame:
     )
     rows = lines.select(F.col("h1").alias("id"), F.col("line").alias("text"), F.length("line").alias("n"))
     rows = rows.select("id", "text", "n", F.explode(kinds).alias("k"))
-    return rows.select(F.xxhash64("k.size").alias("key"), "id", "k.probe", "text", "k.size", "n")
+    return rows.select(
+        F.xxhash64("k.size").alias("key"), "id", "k.probe", F.lit(TAU).alias("budget"), "text", "k.size", "n",
+        F.lit("").alias("text2"), F.lit(0).alias("size2"), F.lit(0).alias("n2"),
+    )
 
 
 def _first_keys(lines: DataFrame) -> DataFrame:
@@ -151,11 +174,11 @@ def candidates(lines: DataFrame) -> DataFrame:
     if hot.isEmpty():
         return pairs
     ids = materialize(hot.select(F.col("id").alias("h1")).distinct())
-    rows = _deeper(_roots(materialize(texts_of(ids, lines))), rest=True)
+    rows = _deeper(_roots(materialize(texts_of(ids, lines))))
     for level in range(2, LEVELS + 1):
         keys = hot.select("key", "id", "probe").distinct()
         rows = materialize(rows.join(keys, ["key", "id", "probe"], "left_semi").distinct())
-        inner = _deeper(rows, rest=True)
+        inner = materialize(_deeper(rows))
         found = materialize(_shared(inner))
         last = level == LEVELS
         pairs = pairs.union(_pairs(found if last else found.where("NOT hot")))

@@ -7,7 +7,8 @@ probes, for every length it could match, the substrings at the few places where
 
 A key with many lines is not joined: what its lines have before and behind the segment must agree within the edits
 that segment's place allows each side, so those sides are segmented under that key in turn (``LEVELS`` times at most),
-and lines that share long parts meet only where the rest agrees as well.
+and lines that share long parts meet only where the rest agrees as well.  Lines that meet are paired where the parities
+of their character counts differ in so few classes that two edits can explain it.
 Candidates are verified by banded bit-parallel edit distance: for each number of errors one word holds the reachable
 diagonals of the band, and a character of the text moves all of them at once.
 
@@ -30,7 +31,7 @@ from .common import components, materialize
 TAU = 2
 MIN_CHARS = 20
 #: A key with more index rows than this is segmented again.
-HOT, LEVELS = 12, 10
+HOT, LEVELS = 12, 6
 #: Id lists of at most this many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 BLANK = " \t\r\f\x0b"
@@ -149,10 +150,18 @@ def _shared(rows: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    index = rows.where("NOT probe").select("key", F.col("id").alias("x"))
-    probes = rows.where("probe").select("key", F.col("id").alias("y"))
-    met = index.join(probes, "key").where("x <> y")
+def _parity(line: Column) -> Column:
+    """64 bits: bit c is the parity of the number of characters of class c.  An edit flips two bits at most."""
+    codes = F.transform(F.split(line, ""), lambda c: (F.ascii(c) * 37 + F.lit(11)) % 64)
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))
+
+
+def _pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs that meet under a key and whose parities allow the distance."""
+    marked = rows.join(_bounded(bits), "id")
+    index = marked.where("NOT probe").select("key", F.col("id").alias("x"), F.col("bits").alias("u"))
+    probes = marked.where("probe").select("key", F.col("id").alias("y"), F.col("bits").alias("w"))
+    met = index.join(probes, "key").where((F.col("x") != F.col("y")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("w"))) <= 2 * TAU))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -169,19 +178,23 @@ def texts_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs (a, b) of line digests that share segments."""
     found = materialize(_shared(_first_keys(lines)))
-    pairs = _pairs(found.where("NOT hot"))
+    ids = materialize(found.select(F.col("id").alias("h1")).distinct())
+    texts = materialize(texts_of(ids, lines))
+    # of lines whose 64-bit digests collide, each keeps its parity
+    bits = materialize(texts.select(F.col("h1").alias("id"), _parity(F.col("line")).alias("bits")))
+    pairs = _pairs(found.where("NOT hot"), bits)
     hot = found.where("hot")
     if hot.isEmpty():
         return pairs
-    ids = materialize(hot.select(F.col("id").alias("h1")).distinct())
-    rows = _deeper(_roots(materialize(texts_of(ids, lines))))
+    ids = hot.select(F.col("id").alias("h1")).distinct()
+    rows = _deeper(_roots(texts.join(_bounded(ids), "h1", "left_semi")))
     for level in range(2, LEVELS + 1):
         keys = hot.select("key", "id", "probe").distinct()
         rows = materialize(rows.join(keys, ["key", "id", "probe"], "left_semi").distinct())
         inner = materialize(_deeper(rows))
         found = materialize(_shared(inner))
         last = level == LEVELS
-        pairs = pairs.union(_pairs(found if last else found.where("NOT hot")))
+        pairs = pairs.union(_pairs(found if last else found.where("NOT hot"), bits))
         hot = found.where("hot")
         if last or hot.isEmpty():
             break

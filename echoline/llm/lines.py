@@ -182,7 +182,7 @@ def candidates(lines: DataFrame) -> DataFrame:
     texts = materialize(texts_of(ids, lines))
     # of lines whose 64-bit digests collide, each keeps its parity
     bits = materialize(texts.select(F.col("h1").alias("id"), _parity(F.col("line")).alias("bits")))
-    pairs = _pairs(found.where("NOT hot"), bits)
+    pairs = materialize(_pairs(found.where("NOT hot"), bits))
     hot = found.where("hot")
     if hot.isEmpty():
         return pairs
@@ -194,7 +194,7 @@ def candidates(lines: DataFrame) -> DataFrame:
         inner = materialize(_deeper(rows))
         found = materialize(_shared(inner))
         last = level == LEVELS
-        pairs = pairs.union(_pairs(found if last else found.where("NOT hot"), bits))
+        pairs = pairs.union(materialize(_pairs(found if last else found.where("NOT hot"), bits)))
         hot = found.where("hot")
         if last or hot.isEmpty():
             break

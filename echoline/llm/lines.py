@@ -8,7 +8,7 @@ probes, for every length it could match, the substrings at the few places where
 A key with many lines is not joined: what its lines have before and behind the segment must agree within the edits
 that segment's place allows each side, so those sides are segmented under that key in turn (``LEVELS`` times at most),
 and lines that share long parts meet only where the rest agrees as well.  Lines that meet are paired where the parities
-of their character counts differ in so few classes that two edits can explain it.
+of their counts of characters and of neighbouring two differ in so few classes that two edits can explain it.
 Candidates are verified by banded bit-parallel edit distance: for each number of errors one word holds the reachable
 diagonals of the band, and a character of the text moves all of them at once.
 
@@ -150,10 +150,18 @@ def _shared(rows: DataFrame) -> DataFrame:
     )
 
 
-def _parity(line: Column) -> Column:
-    """64 bits: bit c is the parity of the number of characters of class c.  An edit flips two bits at most."""
-    codes = F.transform(F.split(line, ""), lambda c: (F.ascii(c) * 37 + F.lit(11)) % 64)
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))
+def _parities(line: Column) -> Column:
+    """Two words of 64 bits: bit c is the parity of the number of characters, and of neighbouring two, of class c.
+
+    An edit flips two bits of the first and four of the second at most.
+    """
+
+    def word(codes: Column) -> Column:
+        return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c % 64)))
+
+    codes = F.transform(F.split(line, ""), lambda c: F.ascii(c) * 37 + F.lit(11))
+    twos = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda c, d: c * 3 + F.coalesce(d, F.lit(0)))
+    return F.struct(word(codes).alias("ones"), word(twos).alias("twos"))
 
 
 def _pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
@@ -161,7 +169,8 @@ def _pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
     marked = rows.join(_bounded(bits), "id")
     index = marked.where("NOT probe").select("key", F.col("id").alias("x"), F.col("bits").alias("u"))
     probes = marked.where("probe").select("key", F.col("id").alias("y"), F.col("bits").alias("w"))
-    met = index.join(probes, "key").where((F.col("x") != F.col("y")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("w"))) <= 2 * TAU))
+    apart = lambda k: F.bit_count(F.col(f"u.{k}").bitwiseXOR(F.col(f"w.{k}")))
+    met = index.join(probes, "key").where((F.col("x") != F.col("y")) & (apart("ones") <= 2 * TAU) & (apart("twos") <= 4 * TAU))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -175,17 +184,17 @@ def texts_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.join(_bounded(ids), "h1", "left_semi").select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line"))
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of line digests that share segments."""
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of line digests that share segments, and (h1, h2, line) of all lines that share a key."""
     found = materialize(_shared(_first_keys(lines)))
     ids = materialize(found.select(F.col("id").alias("h1")).distinct())
     texts = materialize(texts_of(ids, lines))
     # of lines whose 64-bit digests collide, each keeps its parity
-    bits = materialize(texts.select(F.col("h1").alias("id"), _parity(F.col("line")).alias("bits")))
+    bits = materialize(texts.select(F.col("h1").alias("id"), _parities(F.col("line")).alias("bits")))
     pairs = materialize(_pairs(found.where("NOT hot"), bits))
     hot = found.where("hot")
     if hot.isEmpty():
-        return pairs
+        return pairs, texts
     ids = hot.select(F.col("id").alias("h1")).distinct()
     rows = _deeper(_roots(texts.join(_bounded(ids), "h1", "left_semi")))
     for level in range(2, LEVELS + 1):
@@ -199,7 +208,7 @@ def candidates(lines: DataFrame) -> DataFrame:
         if last or hot.isEmpty():
             break
         rows = inner
-    return pairs.distinct()
+    return pairs.distinct(), texts
 
 
 def within(one: Column, two: Column, tau: int = TAU) -> Column:
@@ -242,9 +251,7 @@ def _within(p: Column, t: Column, tau: int) -> Column:
 
 def links(lines: DataFrame) -> DataFrame:
     """Pairs (a, b) of digests h1 of different lines within the distance."""
-    pairs = materialize(candidates(lines))
-    ids = materialize(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
-    texts = materialize(texts_of(ids, lines))
+    pairs, texts = candidates(lines)
     one = texts.select(F.col("h1").alias("a"), F.col("line").alias("p"))
     two = texts.select(F.col("h1").alias("b"), F.col("line").alias("t"))
     return pairs.join(one, "a").join(two, "b").where(within(F.col("p"), F.col("t"))).select("a", "b").distinct()

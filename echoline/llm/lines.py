@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines (trimmed) that are equal form a class by 128-bit digest.  Lines of at least ``min_chars`` characters within edit
+Lines (trimmed) that are equal form a class by 128-bit digest, and the join sees each text once.  Lines of at least ``min_chars`` characters within edit
 distance ``TAU`` = 2 are linked, and linked lines form one class.  Two lines within distance 2 share at least one of
 three segments of the shorter one, near the same place; so a line indexes its three segments under its length, and
 probes, for every length it could match, the substrings at the few places where a segment may have shifted to.
@@ -31,7 +31,7 @@ from .common import components, materialize
 TAU = 2
 MIN_CHARS = 20
 #: A key with more index rows than this is segmented again.
-HOT, LEVELS = 12, 6
+HOT, LEVELS = 12, 4
 #: Id lists of at most this many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 BLANK = " \t\r\f\x0b"
@@ -143,10 +143,10 @@ def _shared(rows: DataFrame) -> DataFrame:
     """Rows (key, id, probe, hot) of the keys under which different lines meet; one exchange, by key."""
     own = Window.partitionBy("key")
     return (
-        rows.select("key", "id", "probe").repartition("key").distinct()
+        rows.select("key", "id", "probe").repartition("key")
         .select("key", "id", "probe", F.min("id").over(own).alias("a"), F.max("id").over(own).alias("b"), F.count_if(~F.col("probe")).over(own).alias("n"))
         .where("a < b AND n > 0")
-        .select("key", "id", "probe", (F.col("n") > HOT).alias("hot"))
+        .select("key", "id", "probe", (F.col("n") > HOT).alias("hot")).distinct()
     )
 
 
@@ -180,8 +180,8 @@ def _bounded(ids: DataFrame) -> DataFrame:
 
 
 def texts_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
-    """(h1, h2, line), one row per distinct line among ``ids`` (h1)."""
-    return lines.join(_bounded(ids), "h1", "left_semi").select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    """The ``lines`` among ``ids`` (h1)."""
+    return lines.join(_bounded(ids), "h1", "left_semi")
 
 
 def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -264,7 +264,8 @@ def line_classes(docs: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "
     linked with directly.
     """
     every = occurrences(docs, id_col, text_col)
-    edges = materialize(links(every.where(F.length("line") >= min_chars).select("h1", "h2", "line")))
+    unique = materialize(every.where(F.length("line") >= min_chars).select("line", "h1", "h2").distinct())
+    edges = materialize(links(unique))
     joined = components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     linked = materialize(joined.join(degree.withColumnRenamed("a", "node"), "node").withColumnRenamed("node", "h1"))

@@ -39,6 +39,10 @@ BLANK = " \t\r\f\x0b"
 WIDE = "UTF-32"
 
 
+def _digests() -> list[Column]:
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, line_no, line, h1, h2) of non-empty lines."""
     lines = docs.select(
@@ -46,7 +50,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(F.lit("text"), F.col(text_col)).alias("text_hash"),
         F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
     ).withColumn("line", F.btrim("line", F.lit(BLANK)))
-    return lines.where("line <> ''").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    return lines.where("line <> ''").select("*", *_digests())
 
 
 def _places(tau: int, size: Column, n: Column, probe: Column) -> Column:
@@ -264,7 +268,8 @@ def line_classes(docs: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "
     linked with directly.
     """
     every = occurrences(docs, id_col, text_col)
-    unique = materialize(every.where(F.length("line") >= min_chars).select("line", "h1", "h2").distinct())
+    unique = materialize(every.where(F.length("line") >= min_chars).select("line").distinct(), "zstd")
+    unique = unique.select(*_digests(), "line")
     edges = materialize(links(unique))
     joined = components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))

@@ -65,6 +65,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.duplicate_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of ``op10_substring_dedup`` and repeated passages at arbitrary places."""
+    return substrings.passage_spans(table(spark, sf_dir, "documents"))
+
+
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of raw pages: models from labelled documents; evidence from the html element, the address and its host."""
     fields = language.page_fields(table(spark, sf_dir, "pages"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_warc_zip": op9_warc_zip,
     "op10_substring_dedup": op10_substring_dedup,
+    "op10_passage_dedup": op10_passage_dedup,
     "pages_language_id": pages_language_id,
 }
 

@@ -276,6 +276,42 @@ def test_substrings(spark, corpus):
         assert clean[k] == t
 
 
+def test_passages(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    long, short = draw(60), [w + "." if i % 4 == 3 else w for i, w in enumerate(draw(80))]
+    docs = [(i, " ".join(draw(rng.randint(30, 90)) + (long if i % 3 else short) + draw(rng.randint(30, 90)))) for i in range(12)]
+    docs += [(20, "x " * 90), (21, " ".join(draw(70)) + ".\n" + "One sentence of more than eight words stands here. " * 2), (22, None), (23, ""), (24, " ".join(long[:24]))]
+    docs += [(None, " ".join(draw(9) + [w.upper() for w in long] + draw(9)).replace(" ", " \n ")), docs[1], docs[1]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    k, seen, want, texts = substrings.RUN_WORDS, {}, defaultdict(set), {}
+    for d, t in sorted(set(docs), key=lambda r: (r[0] is None, r[0] or 0)):
+        at, parts = 0, []
+        for w in (t or "").split():
+            at = t.index(w, at)
+            parts.append((at, at + len(w), w.lower()))
+            at += len(w)
+        found = [(parts[i][0], parts[i + k - 1][1], tuple(p[2] for p in parts[i : i + k])) for i in range(len(parts) - k + 1)]
+        found += [(a, b, n) for a, b, _, n in substrings.units_of(t or "", substrings.SEPARATORS["sentence"], 8)]
+        for a, b, key in found:
+            if seen.setdefault(key, (d, a)) != (d, a):
+                want[d].update(range(a, b))
+        texts[d] = t
+    spans = substrings.passage_spans(df).collect()
+    got = defaultdict(set)
+    for r in spans:
+        assert not got[r.doc_id] & set(range(r.start, r.end)) and r.words == len(texts[r.doc_id][r.start : r.end].split())
+        got[r.doc_id].update(range(r.start, r.end))
+    assert got == want and sum(len(x) for x in want.values()) > 3000
+    planted = next(r for r in spans if r.doc_id == 4)
+    whole = texts[4].index(" ".join(long))
+    assert planted.start <= whole and planted.end >= whole + len(" ".join(long)) and planted.kept_doc_id == 1
+    units = substrings.duplicate_spans(df).collect()
+    assert all(set(range(r.start, r.end)) <= got[r.doc_id] for r in units) and not any(r.doc_id == 4 for r in units)
+    assert substrings.passage_spans(df.limit(0)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -5,10 +5,11 @@ its markup declares, the suffix of its address, and a prior of its host.  The pr
 (host, domain, suffix, all) from counts of the languages that the texts alone suggest, by grouped aggregation over all
 rows.  A further class "und" (unknown) explains text that no model fits.
 
-The trigram models are fitted on at most ``train_rows`` labelled rows (whole texts); everything else covers all rows.
+The languages are all that label a row with text; each one's trigram model is fitted on at most ``train_rows`` of its
+distinct texts (whole texts, those of the smallest digests); everything else covers all rows.
 
-Defined results: null, empty or letterless text is "und" with posterior 1 and is rejected; missing or unknown
-declarations, addresses and hosts are no evidence; repeated rows get equal results; an empty table gives an empty
+Defined results: null, empty or letterless text is "und" with posterior 1 and is rejected; missing, empty,
+"und" or unknown declarations, addresses and hosts are no evidence; repeated rows get equal results; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -19,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -68,11 +69,24 @@ def fit(labelled: DataFrame, train_rows: int) -> tuple[list[str], np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["language", "counts"])
 
-    sample = labelled.where("language IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    # the bound on the digest first, so that only the sample's texts move; ties at the bound are equal rows
-    sample = sample.withColumn("digest", F.xxhash64("language", "text"))
-    bound = sample.select("digest").orderBy("digest").limit(train_rows).agg(F.max("digest")).first()[0]
-    sample = sample.where(F.col("digest") <= bound).orderBy("digest").limit(train_rows).coalesce(1) if bound is not None else sample.limit(0)
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first row of each digest, of which there are at most ``train_rows`` a language."""
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    usable = labelled.where(f"language IS NOT NULL AND language NOT IN ('', '{UNKNOWN}') AND text IS NOT NULL AND text <> ''")
+    usable = usable.withColumn("digest", F.xxhash64("language", "text"))
+    # each language's bound on the digest first, so that only the sample's texts move; equal rows count once
+    rank = F.row_number().over(Window.partitionBy("language").orderBy("digest"))
+    bounds = usable.select("language", "digest").distinct().withColumn("rank", rank).where(F.col("rank") <= train_rows).groupBy("language").agg(F.max("digest").alias("bound"))
+    sample = usable.join(F.broadcast(bounds), "language").where("digest <= bound").select("language", "text", "digest")
+    sample = sample.mapInArrow(once, "language string, text string, digest long").repartition("language").mapInArrow(once, "language string, text string, digest long")
     sums: dict[str, np.ndarray] = {}
     for language, counts in sample.select("language", "text").mapInArrow(count, "language string, counts binary").collect():
         sums[language] = sums.get(language, 0) + np.frombuffer(counts, np.int64)

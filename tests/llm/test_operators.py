@@ -162,6 +162,20 @@ def test_language(spark):
     assert r.declared == "de" and r.text.split() == ["wasser", "und", "haus"]
 
 
+def test_rare_language(spark):
+    rng = random.Random(4)
+    stems = {"en": ["the", "and", "water", "house"], "fi": ["talo", "vesi", "ja", "mutta"]}
+    draw = lambda x: " ".join(rng.choice(stems[x]) for _ in range(rng.randint(20, 40)))
+    rows = [(i, draw("en"), "en") for i in range(600)] + [(1000 + i, draw("fi"), "fi") for i in range(3)] + [(2000 + i, "same water", "en") for i in range(300)]
+    df = spark.createDataFrame(rows + [(3000, "talo ja", ""), (3001, None, "xx")], "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in language.identify(df, train_rows=20, host_col=None).collect()}
+    assert all(got[i].language == x and got[i].kept for i, _, x in rows) and got[3000].language == "fi"
+    labelled = df.select(F.col("lang").alias("language"), "text")
+    names, table = language.fit(labelled, 5000)
+    again, once = language.fit(labelled.distinct(), 5000)
+    assert names == again == ["en", "fi"] and (table == once).all()
+
+
 def test_packing(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, lines, media, minhash, mixing, packing, sharding, substrings, topk, warc
-from .common import table
+from .common import materialize, table
 
 #: Bytes of text in a shard of op8.
 SHARD_BYTES = 1 << 20
@@ -39,7 +39,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode(media.encode(table(spark, sf_dir, "documents"))).drop("clips")
+    return media.decode(materialize(media.encode(table(spark, sf_dir, "documents")), "zstd")).drop("clips")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

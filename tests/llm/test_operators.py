@@ -223,6 +223,19 @@ def test_media(spark, corpus):
     assert media.clip_rows(media.decode(media.encode(df))).count() >= len(rows)
 
 
+def test_media_stored(spark, sf_dir):
+    from pathlib import Path
+
+    from echoline.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("llm-*"))
+    df = queries.op6_media_columns(spark, sf_dir)
+    stored = set(folder.glob("llm-*")) - before
+    assert len(stored) == 1 and df.inputFiles() and all(stored.copy().pop().name in f for f in df.inputFiles())
+    assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def shingles(text):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
     return set() if not w else {tuple(w)} if len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -1,13 +1,16 @@
-"""Shared helpers: tables, durable intermediate results, connected components."""
+"""Shared helpers: tables, durable intermediate results, row keys, size-checked broadcasts, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables of at most this many narrow rows (a few numbers each, some 16 MB in all) are broadcast; longer ones are shuffled.
+BROADCAST_ROWS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,25 +30,93 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, codec)
+
+
+class Scratch:
+    """Intermediate tables of one operator in the shared folder, deleted when nothing reads them any more.
+
+    ``keep`` writes a table and reads it back; ``drop`` deletes some of them, ``clear`` all but the named ones.  Only
+    tables whose readers have been written themselves may go, so a lost executor never needs a deleted file.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
+        path = f"{shared_dir(self.spark)}/llm-{uuid.uuid4().hex}"
+        df.write.option("compression", codec).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = (path, back)
+        return back
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(frame))[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def clear(self, *but: DataFrame) -> None:
+        self.drop(*[frame for _, frame in list(self.paths.values()) if not any(frame is x for x in but)])
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like ``wanted`` that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit("text"), text)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marked for broadcast where its row count, checked here, allows; for tables of a few numbers a row."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def mark_again(docs: DataFrame, repeated: DataFrame, name: str, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """``docs`` with a boolean column ``name``: false for one of the rows of each id and text, true for the others.
+
+    ``repeated`` (doc_id, t) lists the ids and text hashes that several rows have; only such rows are written, numbered
+    and compared with the least number of their kind.
+    """
+    if repeated.isEmpty():
+        return docs.withColumn(name, F.lit(False))
+    row, one, key, mark = unused(docs, "row", "one", "key_id", "key_text")
+    listed = bounded(repeated.select(F.col("doc_id").alias(key), F.col("t").alias(mark)))
+    same = column(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash(column(text_col)) == F.col(mark))
+    rest = docs.join(listed, same, "left_anti").withColumn(name, F.lit(False))
+    several = scratch.keep(docs.join(listed, same).withColumn(row, F.monotonically_increasing_id()))
+    first = several.groupBy(key, mark).agg(F.min(row).alias(one)).select(F.col(one).alias(row), F.lit(True).alias(one))
+    several = several.join(bounded(first), row, "left").withColumn(name, F.col(one).isNull())
+    return rest.unionByName(several.select(*map(column, rest.columns)))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): rows (node, component), component the smallest node.
 
     Alternating large-star and small-star steps; every round's edge set is written to the shared folder, so the
-    lineage stays short.  Only minima per node are aggregated (map-side combine), neighbour lists are never built,
-    so a hub with any number of neighbours is safe.  Self-loops and null ends are ignored.
+    lineage stays short, and the round before is deleted.  Only minima per node are aggregated (map-side combine),
+    neighbour lists are never built; the join that hands a hub's minimum to its neighbours is a plain shuffle join,
+    whose large partitions adaptive execution splits.  Self-loops and null ends are ignored.  The number of rounds is
+    about the logarithm of the longest path; ``max_rounds`` only guards against a fault and raises.
     """
-    pairs = (
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.keep(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    pairs = materialize(pairs)
     before = _fingerprint(pairs)
     for _ in range(max_rounds):
         if before[0] == 0:
@@ -56,8 +127,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialize(small.union(least.select("u", "m")).distinct())
-        after = _fingerprint(pairs)
+        following = scratch.keep(small.union(least.select("u", "m")).distinct())
+        scratch.drop(pairs)
+        pairs, after = following, _fingerprint(following)
         if after == before:
             break
         before = after

@@ -1,19 +1,22 @@
 """Near-duplicate documents: MinHash, banding, sequential Bayesian verification, exact confirmation.
 
-A document's set are its distinct five-word shingles (64-bit digests).  Equal sets are joined into classes by digest
-first, so copies never meet in pairs.  Class representatives are banded.  In the first rounds a bucket's members are
-dealt into groups of about ``STAR``, anew in each round, and meet only the smallest member of their group; of a
-document's likely partners the likeliest is confirmed, and confirmed links join components.  Last, buckets that still
-hold several components pair what lies outside their smallest component with the rest, across components only, where
-the sets' sizes allow the similarity.  Candidates compare signatures in batches and go as soon as the posterior
-probability of the wanted similarity is under ``miss``; the survivors are confirmed on full sets.  Pairs within one
-component need no more links, so nothing is lost by not comparing them.
-
-Banding finds a pair at the threshold with probability 1 - (1 - 0.75^4)^32 = 0.999995.
+A document's set are its distinct five-word shingles (64-bit digests).  Equal sets are joined into classes by their
+128-bit digest first, so copies never meet in pairs.  Classes are banded; every class meets the smallest one of each of
+its buckets, and the likeliest of these is confirmed.  Confirmed links join components; pairs within one need no more.
+Buckets of at most ``CELL`` classes that still hold several components pair across components.  The classes of larger
+ones are indexed anew by single shingles: with all shingles of a set ordered by how many of those sets hold them, rarest
+first, two sets of the wanted similarity share one among the first few (prefix filter), and where the first shared one
+stands bounds the similarity (position filter).  That loses no pair, and large groups of near copies fall apart by what
+is their own; a group that still shares a key is linked through one, then several random members before what is left
+over is paired across components.  Candidates compare signatures in batches and go as soon as the posterior probability
+of the wanted similarity is under ``miss``; the survivors are confirmed on full sets, which are hashed once.
+
+Banding finds a pair at the threshold with probability 1 - (1 - 0.75^4)^32 = 0.999995, a closer one more likely.
 
 Defined results: null and wordless texts have an empty set and link with nothing; texts under five words have one
-shingle, the whole word sequence; rows that repeat an id are one node; a null id links with nothing and is kept; an
-empty table gives an empty result; other columns are ignored.
+shingle, the whole word sequence; rows, not ids, are linked, so an id on several texts loses no link; null ids are
+documents like others and rank last, so a component of theirs alone has a null id; an empty table gives an empty
+result; texts of any length are taken whole, in pieces of ``PIECE`` bytes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import Scratch, bounded, column, components, mark_again, text_hash, unused
 
 WORDS, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
 BATCH = 32
-#: Group size and number of the star rounds.
-STAR, ROUNDS = 8, 2
+#: Buckets of more classes are indexed anew; the size of the random groups of the second star round.
+CELL, STAR = 16, 8
+#: Classes whose signatures (128 bytes) are broadcast at most.
+SIGNATURE_ROWS = 60_000
 PIECE = 1 << 20
+#: Rows of shingle sets are handed on in batches of about this many shingles.
+BATCH_SHINGLES = 1 << 20
 
 _rng = np.random.default_rng(712)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,7 +158,7 @@ def least_matches(miss: float, percent: int = PERCENT) -> dict[int, int]:
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig, keys); h1, h2 digest the set; null but for the count where the set is empty.
+    """(doc_id, t, n_shingles, h1, h2, sig, keys); t digests the text, h1 and h2 the set; null where that is empty.
 
     ``keys`` are the bands' digests; ``sig`` keeps one byte of each hash, which can only add matches.
     """
@@ -159,7 +166,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digests, sigs, keys = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 own = shingle_set(text.as_py())
                 n.append(len(own))
                 digests.append(np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(own) else (None, None))
@@ -167,17 +174,53 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 sigs.append((full >> np.uint32(8)).astype(np.uint8).tobytes() if len(own) else None)
                 keys.append(band_keys(full) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "h1", "h2", "sig", "keys"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "t", "n_shingles", "h1", "h2", "sig", "keys"],
             )
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, keys array<long>")
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), text_hash(column(text_col)).alias("t"), column(text_col).alias("text"))
+    return slim.mapInArrow(sign, "doc_id long, t long, n_shingles long, h1 long, h2 long, sig binary, keys array<long>")
+
+
+def set_classes(signed: DataFrame) -> DataFrame:
+    """(node, first, rows, n, sig, keys) of each distinct set; ``first`` is its first row, null ids last."""
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    return (
+        signed.where("h1 IS NOT NULL").groupBy("h1", "h2")
+        .agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("rows"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig"), F.any_value("keys").alias("keys"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+
+
+def sets_of(docs: DataFrame, chosen: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, shingles) of the classes ``chosen`` (node, first), hashed where the texts are read; a repeated row repeats."""
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
 
-def likely(pairs: DataFrame, sigs: DataFrame, miss: float) -> DataFrame:
+        nodes, sets, held = [], [], 0
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                nodes.append(node)
+                sets.append(shingle_set(text.as_py()))
+                held += len(sets[-1])
+                if held >= BATCH_SHINGLES:
+                    yield pack()
+                    nodes, sets, held = [], [], 0
+        if nodes:
+            yield pack()
+
+    listed = bounded(chosen.select("node", F.col("first.doc_id").alias("d"), F.col("first.t").alias("t")))
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), text_hash(column(text_col)).alias("own"), column(text_col).alias("text"))
+    joined = slim.join(listed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("own") == F.col("t")))
+    return joined.select("node", "text").mapInArrow(hashed, "node long, shingles array<long>")
+
+
+def likely(pairs: DataFrame, sigs: DataFrame, miss: float, percent: int = PERCENT) -> DataFrame:
     """(a, b, matches) of the pairs that no batch of hashes rules out."""
-    bar = least_matches(miss)
+    bar = least_matches(miss, percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,104 +233,137 @@ def likely(pairs: DataFrame, sigs: DataFrame, miss: float) -> DataFrame:
                 kept = pa.array(alive)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(matches[alive])], ["a", "b", "matches"])
 
-    # equal ids have one signature: sigs has a row for each class
-    with_sigs = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(
-        sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b"
-    )
-    return with_sigs.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, matches long")
+    side = lambda x: bounded(sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")), SIGNATURE_ROWS)
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, matches long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
+    ids = bounded(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    needed = sets.join(ids, "node", "left_semi")
+    full = pairs.select("a", "b").join(needed.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(
+        needed.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    return full.where((100 + percent) * shared >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingle_set(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["doc_id", "shingles"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for i, (one, two) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                both = len(x) + len(y)
-                shared = both - len(np.unique(np.concatenate([x, y])))
-                if 100 * shared >= percent * (both - shared) and shared:
-                    good.append(i)
-            if good:
-                kept = pa.array(good)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    needed = materialize(slim.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary"))
-    needed = needed.where(F.octet_length("shingles") > 0)
-    full = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(
-        needed.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b"
-    )
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+def _best(hopeful: DataFrame) -> DataFrame:
+    """Of each b's likely partners the likeliest."""
+    return hopeful.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
 
 
-def near_duplicates(docs: DataFrame, *, miss: float = 1e-6, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one per row."""
-    names = {"id_col": id_col, "text_col": text_col}
-    signed = materialize(signatures(docs, **names).withColumn("row", F.monotonically_increasing_id()))
-    classes = (
-        signed.where("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-        .select("h1", "h2", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("rep_row"))
-    )
-    classes = materialize(classes)
-    sigs = signed.join(classes.select(F.col("rep").alias("doc_id"), F.col("rep_row").alias("row")), ["doc_id", "row"], "left_semi")
-    sigs = materialize(sigs.select("doc_id", "n_shingles", "sig", "keys").dropDuplicates(["doc_id"]))
-    banded = sigs.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("members")).where("a < z")
-    banded = materialize(banded.join(shared.select("key", "members"), "key"))
-
-    links, joined = None, None
-    for number in range(ROUNDS):
-        member = _members(banded, joined)
-        group = F.pmod(F.xxhash64("key", "doc_id", F.lit(number)), F.greatest(F.lit(1).cast("long"), F.expr(f"members div {STAR}")))
-        member = member.withColumn("group", group)
-        centre = member.groupBy("key", "group").agg(F.min(F.struct("doc_id", "c")).alias("m"))
-        stars = member.join(centre, ["key", "group"]).where("m.doc_id <> doc_id AND m.c <> c")
-        stars = materialize(stars.select(F.col("m.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
-        hopeful = likely(stars, sigs, miss)
-        best = hopeful.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-        found = materialize(confirm(materialize(best), docs, percent, **names))
-        links = found if links is None else links.union(found)
-        joined = materialize(components(links))
-
-    member = _members(banded, joined)
-    outside = member.where("c <> low").select("key", F.col("doc_id").alias("d"), F.col("c").alias("e"), F.col("n").alias("o"))
-    size = (F.lit(100) * F.least("n", "o") >= F.lit(percent) * F.greatest("n", "o"))
-    apart = outside.join(member, "key").where(F.expr("e <> c AND (c = low OR d < doc_id)") & size)
-    apart = materialize(apart.select(F.least("d", "doc_id").alias("a"), F.greatest("d", "doc_id").alias("b")).distinct())
-    more = confirm(materialize(likely(apart, sigs, miss)).select("a", "b"), docs, percent, **names)
-    final = components(links.union(more))
-
-    whole = signed.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").join(
-        final.withColumnRenamed("node", "rep"), "rep", "left"
+def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``members`` (key, node, ...) with their component c, of the keys that hold several; low is the smallest of them."""
+    own = members.join(bounded(joined), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    keys = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
+    return own.join(bounded(keys), "key")
+
+
+def prefixes(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, node, n, place, first): the shingles under which sets of the similarity meet, among those of ``nodes``.
+
+    ``place`` is the shingle's place (from 1) among its set's, those that fewest sets hold first.  Of two sets that are
+    similar enough, the smaller holds a shared shingle among its ``first`` ones, the other one in any row given here.
+    """
+    rows = sets.join(bounded(nodes), "node", "left_semi").select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    own = Window.partitionBy("node")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    placed = rows.join(held, "key").withColumn("place", alone + F.row_number().over(own.orderBy("held", "key")))
+    least = lambda top, bottom: F.expr(f"n - ({top} * n + {bottom} - 1) div {bottom} + 1")
+    placed = placed.where(F.col("place") <= least(percent, 100))
+    return placed.select("key", "node", "n", "place", (F.col("place") <= least(2 * percent, 100 + percent)).alias("first"))
+
+
+def _within(one: str, two: str, percent: int) -> str:
+    """SQL: whether the sizes and places of rows ``one`` (of the smaller set) and ``two`` allow the similarity."""
+    return (
+        f"{one}.first AND ({one}.n < {two}.n OR ({one}.n = {two}.n AND {one}.node < {two}.node)) AND 100 * {one}.n >= {percent} * {two}.n"
+        f" AND {100 + percent} * (least({one}.n - {one}.place, {two}.n - {two}.place) + 1) >= {percent} * ({one}.n + {two}.n)"
     )
-    component = F.coalesce("component", "rep", "doc_id")
-    return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _members(banded: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """(key, doc_id, n, members, c, low) of the buckets that hold several components; low is the smallest of them."""
-    if joined is None:
-        return banded.select("*", F.col("doc_id").alias("c"))
-    member = banded.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
-    member = materialize(member.select("key", "doc_id", "n", "members", "c"))
-    mixed = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
-    return member.join(mixed, "key")
+def near_duplicates(docs: DataFrame, *, miss: float = 1e-6, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, kept, first), one per row; t is the text's digest.
+
+    ``component_id`` is the smallest id of the row's component, ``kept`` where that is the row's own; ``first`` holds
+    for one id and text of each component, and for all wordless rows.
+    """
+    scratch, names = Scratch(docs.sparkSession), {"id_col": id_col, "text_col": text_col}
+    signed = scratch.keep(signatures(docs, **names))
+    classes = scratch.keep(set_classes(signed))
+    found = scratch.keep(_links(docs, classes, scratch, miss, percent, names))
+    joined = scratch.keep(components(found))
+    linked = classes.select("node", "first", "rows", "h1", "h2").join(bounded(joined), "node", "left").where("component IS NOT NULL OR rows > 1")
+    linked = scratch.keep(linked.withColumn("component", F.coalesce("component", "node")))
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    heads = scratch.keep(linked.select("h1", "h2", "component").join(heads, "component").select("h1", "h2", "head"))
+    whole = signed.select("doc_id", "t", "n_shingles", "h1", "h2").join(bounded(heads), ["h1", "h2"], "left")
+    alone = F.col("head").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    first = alone | (F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.t") == F.col("t")))
+    result = scratch.keep(whole.select("doc_id", "t", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), first.alias("first")))
+    scratch.clear(result)
+    return result
+
+
+def _links(docs: DataFrame, classes: DataFrame, scratch: Scratch, miss: float, percent: int, names: dict) -> DataFrame:
+    """Confirmed links (a, b) of classes, enough to join every component."""
+    banded = classes.select("node", "n", F.explode("keys").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("members")).where("a < z")
+    shared = scratch.keep(shared.select("key", "a", "members"))
+    members = scratch.keep(banded.join(bounded(shared), "key"))
+    chosen = scratch.keep(classes.join(bounded(members.select("node").distinct()), "node", "left_semi").select("node", "first", "sig"))
+    sets = scratch.keep(sets_of(docs, chosen, **names))
+    if sets.count() != chosen.count():  # rows that repeat id and text
+        sets = scratch.keep(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")))
+
+    def linked(pairs: DataFrame, best: bool) -> DataFrame:
+        hopeful = likely(scratch.keep(pairs.select("a", "b").distinct()), chosen, miss, percent)
+        return scratch.keep(confirm(scratch.keep(_best(hopeful) if best else hopeful.select("a", "b")), sets, percent))
+
+    links = linked(members.where("a <> node").select("a", F.col("node").alias("b")), True)
+    joined = scratch.keep(components(links))
+    mixed = scratch.keep(_mixed(members.drop("a"), joined))
+    few = mixed.where(F.col("members") <= CELL).select("key", "node", "n", "c")
+    size = F.expr(f"x.c <> y.c AND x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    apart = few.alias("x").join(few.alias("y"), "key").where(size).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    links = links.union(linked(apart, False))
+    crowded = mixed.where(F.col("members") > CELL).select("node").distinct()
+    if crowded.isEmpty():
+        return links
+
+    keyed = scratch.keep(prefixes(sets, crowded, percent))
+    groups = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count_if("first").alias("firsts")).where("a < z AND firsts > 0")
+    keyed = scratch.keep(keyed.join(bounded(groups.select("key")), "key", "left_semi"))
+    for number in range(2):
+        joined = scratch.keep(components(links))
+        met = _mixed(keyed, joined)
+        if number:
+            sizes = met.groupBy("key").agg((F.expr(f"1 + count(1) div {STAR}")).alias("cells"))
+            met = met.join(bounded(sizes), "key").withColumn("key", F.struct("key", F.expr("pmod(xxhash64(key, node), cells)").alias("cell"))).drop("cells")
+        met = scratch.keep(met)
+        centre = met.where("first").groupBy("key").agg(F.min(F.struct("n", "node", "place", "first", "c")).alias("y"))
+        stars = met.alias("x").join(centre, "key").where("x.c <> y.c").where(_within("y", "x", percent))
+        links = links.union(linked(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), True))
+    met = scratch.keep(_mixed(keyed, scratch.keep(components(links))))
+    outside = met.where("c <> low")
+    either = f"(({_within('x', 'y', percent)}) OR ({_within('y', 'x', percent)}))"
+    rest = outside.alias("x").join(met.alias("y"), "key").where(f"x.c <> y.c AND (y.c = y.low OR x.node < y.node) AND {either}")
+    return links.union(linked(rest.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")), False))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates; of rows that repeat an id one stays."""
-    id_col = options.get("id_col", "doc_id")
-    found = materialize(near_duplicates(docs, **options))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = F.col(id_col) == F.col("_again")
-    return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+    """``docs`` with one row of each group of near duplicates; wordless rows all stay.
+
+    Of rows that repeat id and text one stays.  Extra columns pass through, whatever their names.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    scratch, found = Scratch(docs.sparkSession), near_duplicates(docs, **options)
+    key, mark, again = unused(docs, "gone_id", "gone_text", "again")
+    listed = bounded(found.where("NOT first").select(F.col("doc_id").alias(key), F.col("t").alias(mark)).distinct())
+    left = docs.join(listed, column(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash(column(text_col)) == F.col(mark)), "left_anti")
+    repeated = found.where("first AND n_shingles > 0").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    marked = mark_again(left, repeated.select("doc_id", "t"), again, id_col, text_col, scratch)
+    return marked.where(~F.col(again)).drop(again)

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of at most this many narrow rows (a few numbers each, some 16 MB in all) are broadcast; longer ones are shuffled.
-BROADCAST_ROWS = 500_000
+#: Tables of at most this many narrow rows (a few numbers each, some 10 MB in all) are broadcast; longer ones are shuffled.
+BROADCAST_ROWS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +80,8 @@ def text_hash(text: Column) -> Column:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast where its row count, checked here, allows; for tables of a few numbers a row."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Marked for broadcast where its row count, checked here, allows; for written tables of a few numbers a row."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def mark_again(docs: DataFrame, repeated: DataFrame, name: str, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:

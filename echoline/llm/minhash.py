@@ -237,9 +237,9 @@ def likely(pairs: DataFrame, sigs: DataFrame, miss: float, percent: int = PERCEN
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, matches long")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ids = bounded(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    ids = bounded(scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
     needed = sets.join(ids, "node", "left_semi")
     full = pairs.select("a", "b").join(needed.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(
         needed.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a"
@@ -253,11 +253,11 @@ def _best(hopeful: DataFrame) -> DataFrame:
     return hopeful.groupBy("b").agg(F.max(F.struct("matches", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
 
 
-def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
     """``members`` (key, node, ...) with their component c, of the keys that hold several; low is the smallest of them."""
     own = members.join(bounded(joined), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     keys = own.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
-    return own.join(bounded(keys), "key")
+    return scratch.keep(own.join(bounded(scratch.keep(keys)), "key"))
 
 
 def prefixes(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -266,7 +266,7 @@ def prefixes(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataF
     ``place`` is the shingle's place (from 1) among its set's, those that fewest sets hold first.  Of two sets that are
     similar enough, the smaller holds a shared shingle among its ``first`` ones, the other one in any row given here.
     """
-    rows = sets.join(bounded(nodes), "node", "left_semi").select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    rows = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
     held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     own = Window.partitionBy("node")
     alone = F.col("n") - F.count(F.lit(1)).over(own)
@@ -314,43 +314,41 @@ def _links(docs: DataFrame, classes: DataFrame, scratch: Scratch, miss: float, p
     shared = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("members")).where("a < z")
     shared = scratch.keep(shared.select("key", "a", "members"))
     members = scratch.keep(banded.join(bounded(shared), "key"))
-    chosen = scratch.keep(classes.join(bounded(members.select("node").distinct()), "node", "left_semi").select("node", "first", "sig"))
+    nodes = scratch.keep(members.select("node").distinct())
+    chosen = scratch.keep(classes.join(bounded(nodes), "node", "left_semi").select("node", "first", "sig"))
     sets = scratch.keep(sets_of(docs, chosen, **names))
     if sets.count() != chosen.count():  # rows that repeat id and text
         sets = scratch.keep(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")))
 
     def linked(pairs: DataFrame, best: bool) -> DataFrame:
         hopeful = likely(scratch.keep(pairs.select("a", "b").distinct()), chosen, miss, percent)
-        return scratch.keep(confirm(scratch.keep(_best(hopeful) if best else hopeful.select("a", "b")), sets, percent))
+        return scratch.keep(confirm(scratch.keep(_best(hopeful) if best else hopeful.select("a", "b")), sets, scratch, percent))
 
     links = linked(members.where("a <> node").select("a", F.col("node").alias("b")), True)
-    joined = scratch.keep(components(links))
-    mixed = scratch.keep(_mixed(members.drop("a"), joined))
+    mixed = _mixed(members.drop("a"), scratch.keep(components(links)), scratch)
     few = mixed.where(F.col("members") <= CELL).select("key", "node", "n", "c")
     size = F.expr(f"x.c <> y.c AND x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     apart = few.alias("x").join(few.alias("y"), "key").where(size).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     links = links.union(linked(apart, False))
-    crowded = mixed.where(F.col("members") > CELL).select("node").distinct()
+    crowded = scratch.keep(mixed.where(F.col("members") > CELL).select("node").distinct())
     if crowded.isEmpty():
         return links
 
-    keyed = scratch.keep(prefixes(sets, crowded, percent))
+    keyed = scratch.keep(prefixes(sets, bounded(crowded), percent))
     groups = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count_if("first").alias("firsts")).where("a < z AND firsts > 0")
-    keyed = scratch.keep(keyed.join(bounded(groups.select("key")), "key", "left_semi"))
+    keyed = scratch.keep(keyed.join(bounded(scratch.keep(groups.select("key"))), "key", "left_semi"))
+    either = f"x.c <> y.c AND (({_within('x', 'y', percent)}) OR ({_within('y', 'x', percent)}))"
     for number in range(2):
-        joined = scratch.keep(components(links))
-        met = _mixed(keyed, joined)
+        met = _mixed(keyed, scratch.keep(components(links)), scratch)
         if number:
-            sizes = met.groupBy("key").agg((F.expr(f"1 + count(1) div {STAR}")).alias("cells"))
+            sizes = scratch.keep(met.groupBy("key").agg((F.expr(f"1 + count(1) div {STAR}")).alias("cells")))
             met = met.join(bounded(sizes), "key").withColumn("key", F.struct("key", F.expr("pmod(xxhash64(key, node), cells)").alias("cell"))).drop("cells")
-        met = scratch.keep(met)
-        centre = met.where("first").groupBy("key").agg(F.min(F.struct("n", "node", "place", "first", "c")).alias("y"))
-        stars = met.alias("x").join(centre, "key").where("x.c <> y.c").where(_within("y", "x", percent))
+        # the one with the fewest rarer shingles is nearest to what the group has in common
+        centre = met.groupBy("key").agg(F.min(F.struct("place", "n", "node", "first", "c")).alias("y"))
+        stars = met.alias("x").join(centre, "key").where(either)
         links = links.union(linked(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), True))
-    met = scratch.keep(_mixed(keyed, scratch.keep(components(links))))
-    outside = met.where("c <> low")
-    either = f"(({_within('x', 'y', percent)}) OR ({_within('y', 'x', percent)}))"
-    rest = outside.alias("x").join(met.alias("y"), "key").where(f"x.c <> y.c AND (y.c = y.low OR x.node < y.node) AND {either}")
+    met = _mixed(keyed, scratch.keep(components(links)), scratch)
+    rest = met.where("c <> low").alias("x").join(met.alias("y"), "key").where(f"(y.c = y.low OR x.node < y.node) AND {either}")
     return links.union(linked(rest.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")), False))
 
 
@@ -362,7 +360,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     scratch, found = Scratch(docs.sparkSession), near_duplicates(docs, **options)
     key, mark, again = unused(docs, "gone_id", "gone_text", "again")
-    listed = bounded(found.where("NOT first").select(F.col("doc_id").alias(key), F.col("t").alias(mark)).distinct())
+    listed = bounded(scratch.keep(found.where("NOT first").select(F.col("doc_id").alias(key), F.col("t").alias(mark)).distinct()))
     left = docs.join(listed, column(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash(column(text_col)) == F.col(mark)), "left_anti")
     repeated = found.where("first AND n_shingles > 0").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     marked = mark_again(left, repeated.select("doc_id", "t"), again, id_col, text_col, scratch)

@@ -84,6 +84,14 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def repeated_rows(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc_id, t) of the ids (null among them) and texts that several rows have; texts are only read where ids repeat."""
+    own = column(id_col).cast("long").alias("doc_id")
+    several = scratch.keep(docs.select(own).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("k")))
+    slim = docs.select(own, text_hash(column(text_col)).alias("t")).join(bounded(several), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    return scratch.keep(slim.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "t"))
+
+
 def mark_again(docs: DataFrame, repeated: DataFrame, name: str, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """``docs`` with a boolean column ``name``: false for one of the rows of each id and text, true for the others.
 

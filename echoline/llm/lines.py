@@ -1,9 +1,10 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines (trimmed) that are equal form a class by 128-bit digest, and the join sees each text once.  Lines of at least ``min_chars`` characters within edit
-distance ``TAU`` = 2 are linked, and linked lines form one class.  Two lines within distance 2 share at least one of
-three segments of the shorter one, near the same place; so a line indexes its three segments under its length, and
-probes, for every length it could match, the substrings at the few places where a segment may have shifted to.
+Lines (trimmed) that are equal form a class by 128-bit digest, and the join sees each text once, under a number of its
+own.  Lines of at least ``min_chars`` characters within edit distance ``TAU`` = 2 are linked, and linked lines form one
+class.  Two lines within distance 2 share at least one of three segments of the shorter one, near the same place; so a
+line indexes its three segments under its length, and probes, for every length it could match, the substrings at the few
+places where a segment may have shifted to.
 
 A key with many lines is not joined: what its lines have before and behind the segment must agree within the edits
 that segment's place allows each side, so those sides are segmented under that key in turn (``LEVELS`` times at most),
@@ -12,11 +13,14 @@ of their counts of characters and of neighbouring two differ in so few classes t
 Candidates are verified by banded bit-parallel edit distance: for each number of errors one word holds the reachable
 diagonals of the band, and a character of the text moves all of them at once.
 
-The first occurrence (doc_id, line number) of a class stays.
+The first occurrence of a class, by (doc_id, line number), stays.
 
-Defined results: null texts have no lines; empty lines are always kept and listed nowhere; null ids rank last; rows
-that repeat id and text count as one document; an empty table gives an empty result; other columns are ignored.
-Candidate search and components tell lines apart by 64-bit digests; the distance is computed on the texts.
+Defined results: null texts have no lines; empty lines are always kept and listed nowhere; lines under ``min_exact``
+characters (braces, bullets, numbers) are classes of their own and always kept; those from there to ``min_chars`` are
+only matched exactly, as two edits are a large part of them; null ids rank last, by their texts' digests, as do several
+texts of one id after the line number; of rows that repeat id and text one counts as the first, the others' lines as
+later occurrences; an empty table gives an empty result; lines and texts of any length are taken whole; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +30,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import Scratch, bounded, column, components, mark_again, repeated_rows, text_hash, unused
 
 TAU = 2
-MIN_CHARS = 20
+MIN_CHARS, MIN_EXACT = 20, 10
 #: A key with more index rows than this is segmented again.
 HOT, LEVELS = 12, 4
-#: Id lists of at most this many rows (16 bytes each) are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
 BLANK = " \t\r\f\x0b"
 #: An encoding of four bytes a character; keys are hashed from it.
 WIDE = "UTF-32"
@@ -43,12 +45,13 @@ def _digests() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, line_no, line, h1, h2) of non-empty lines."""
+def occurrences(docs: DataFrame, id_col: str, text_col: str, again: str) -> DataFrame:
+    """(doc_id, t, again, line_no, line, h1, h2) of non-empty lines; t is the text's digest."""
     lines = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.lit("text"), F.col(text_col)).alias("text_hash"),
-        F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"),
+        column(id_col).cast("long").alias("doc_id"),
+        text_hash(column(text_col)).alias("t"),
+        column(again).alias("again"),
+        F.posexplode(F.split(column(text_col), "\n")).alias("line_no", "line"),
     ).withColumn("line", F.btrim("line", F.lit(BLANK)))
     return lines.where("line <> ''").select("*", *_digests())
 
@@ -110,7 +113,7 @@ def _roots(lines: DataFrame) -> DataFrame:
         F.struct(F.lit(False).alias("probe"), n.alias("size")),
         *[F.struct(F.lit(True).alias("probe"), (n - d).alias("size")) for d in range(TAU + 1)],
     )
-    rows = lines.select(F.col("h1").alias("id"), F.col("line").alias("text"), F.length("line").alias("n"))
+    rows = lines.select("id", F.col("line").alias("text"), F.length("line").alias("n"))
     rows = rows.select("id", "text", "n", F.explode(kinds).alias("k"))
     return rows.select(
         F.xxhash64("k.size").alias("key"), "id", "k.probe", F.lit(TAU).alias("budget"), "text", "k.size", "n",
@@ -131,7 +134,7 @@ def _first_keys(lines: DataFrame) -> DataFrame:
                 places.append((False, shift, j, 0))
             places += [(True, shift, j, move) for move in range(max(-j, shift - (TAU - j)), min(j, shift + (TAU - j)) + 1)]
     listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("probe", "shift", "j", "move"), place, strict=True)]) for place in places])
-    rows = lines.select(F.col("h1").alias("id"), F.encode("line", WIDE).alias("wide"), F.length("line").alias("n"))
+    rows = lines.select("id", F.encode("line", WIDE).alias("wide"), F.length("line").alias("n"))
     rows = rows.select("id", "wide", "n", F.inline(listed)).withColumn("size", F.col("n") - F.col("shift"))
     n, j = F.col("n"), F.col("j")
     base, longer = F.floor(F.col("size") / parts).cast("int"), F.col("size") % parts
@@ -170,7 +173,7 @@ def _parities(line: Column) -> Column:
 
 def _pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs that meet under a key and whose parities allow the distance."""
-    marked = rows.join(_bounded(bits), "id")
+    marked = rows.join(bounded(bits), "id")
     index = marked.where("NOT probe").select("key", F.col("id").alias("x"), F.col("bits").alias("u"))
     probes = marked.where("probe").select("key", F.col("id").alias("y"), F.col("bits").alias("w"))
     apart = lambda k: F.bit_count(F.col(f"u.{k}").bitwiseXOR(F.col(f"w.{k}")))
@@ -178,36 +181,25 @@ def _pairs(rows: DataFrame, bits: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _bounded(ids: DataFrame) -> DataFrame:
-    """Marked for broadcast where its row count, checked here, allows."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
-def texts_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
-    """The ``lines`` among ``ids`` (h1)."""
-    return lines.join(_bounded(ids), "h1", "left_semi")
-
-
-def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of line digests that share segments, and (h1, h2, line) of all lines that share a key."""
-    found = materialize(_shared(_first_keys(lines)))
-    ids = materialize(found.select(F.col("id").alias("h1")).distinct())
-    texts = materialize(texts_of(ids, lines))
-    # of lines whose 64-bit digests collide, each keeps its parity
-    bits = materialize(texts.select(F.col("h1").alias("id"), _parities(F.col("line")).alias("bits")))
-    pairs = materialize(_pairs(found.where("NOT hot"), bits))
+def candidates(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of numbers of lines that share segments, and (id, line) of all lines that share a key."""
+    found = scratch.keep(_shared(_first_keys(lines)))
+    ids = scratch.keep(found.select("id").distinct())
+    texts = scratch.keep(lines.join(bounded(ids), "id", "left_semi"))
+    bits = scratch.keep(texts.select("id", _parities(F.col("line")).alias("bits")))
+    pairs = scratch.keep(_pairs(found.where("NOT hot"), bits))
     hot = found.where("hot")
     if hot.isEmpty():
         return pairs, texts
-    ids = hot.select(F.col("id").alias("h1")).distinct()
-    rows = _deeper(_roots(texts.join(_bounded(ids), "h1", "left_semi")))
+    ids = scratch.keep(hot.select("id").distinct())
+    rows = _deeper(_roots(texts.join(bounded(ids), "id", "left_semi")))
     for level in range(2, LEVELS + 1):
         keys = hot.select("key", "id", "probe").distinct()
-        rows = materialize(rows.join(keys, ["key", "id", "probe"], "left_semi").distinct())
-        inner = materialize(_deeper(rows))
-        found = materialize(_shared(inner))
+        rows = scratch.keep(rows.join(keys, ["key", "id", "probe"], "left_semi").distinct())
+        inner = scratch.keep(_deeper(rows))
+        found = scratch.keep(_shared(inner))
         last = level == LEVELS
-        pairs = pairs.union(materialize(_pairs(found if last else found.where("NOT hot"), bits)))
+        pairs = pairs.union(scratch.keep(_pairs(found if last else found.where("NOT hot"), bits)))
         hot = found.where("hot")
         if last or hot.isEmpty():
             break
@@ -253,68 +245,83 @@ def _within(p: Column, t: Column, tau: int) -> Column:
     return (F.abs(F.size(p) - F.size(t)) <= tau) & reached
 
 
-def links(lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of digests h1 of different lines within the distance."""
-    pairs, texts = candidates(lines)
-    one = texts.select(F.col("h1").alias("a"), F.col("line").alias("p"))
-    two = texts.select(F.col("h1").alias("b"), F.col("line").alias("t"))
-    return pairs.join(one, "a").join(two, "b").where(within(F.col("p"), F.col("t"))).select("a", "b").distinct()
+def links(lines: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of numbers of different lines within the distance, and (id, line) of lines that may be in one."""
+    pairs, texts = candidates(lines, scratch)
+    one = texts.select(F.col("id").alias("a"), F.col("line").alias("p"))
+    two = texts.select(F.col("id").alias("b"), F.col("line").alias("t"))
+    return scratch.keep(pairs.join(one, "a").join(two, "b").where(within(F.col("p"), F.col("t"))).select("a", "b").distinct()), texts
+
 
+def _whole(power: int) -> Column:
+    return F.lit(Decimal(1 << power)).cast("decimal(20,0)")
 
-def line_classes(docs: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, line_no, class_doc_id, class_line_no, n_links, kept), one row per non-empty line.
+
+def line_classes(
+    docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int = MIN_EXACT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, t, again, line_no, class_doc_id, class_line_no, n_links, kept), one row per non-empty line.
 
     ``class_*`` is the first occurrence of the line's class; ``n_links`` counts the other texts that its text is
-    linked with directly.
+    linked with directly; t is the document's digest, ``again`` marks rows that repeat another one's id and text.
     """
-    every = occurrences(docs, id_col, text_col)
-    unique = materialize(every.where(F.length("line") >= min_chars).select("line").distinct(), "zstd")
-    unique = unique.select(*_digests(), "line")
-    edges = materialize(links(unique))
+    scratch, (again,) = Scratch(docs.sparkSession), unused(docs, "again")
+    return _classes(mark_again(docs, repeated_rows(docs, id_col, text_col, scratch), again, id_col, text_col, scratch), again, min_chars, min_exact, id_col, text_col)
+
+
+def _classes(marked: DataFrame, again: str, min_chars: int, min_exact: int, id_col: str, text_col: str) -> DataFrame:
+    scratch = Scratch(marked.sparkSession)
+    every = occurrences(marked, id_col, text_col, again)
+    unique = every.where(F.length("line") >= max(min_chars, min_exact)).select("line").distinct()
+    unique = scratch.keep(unique.select(F.monotonically_increasing_id().alias("id"), "line"), "zstd")
+    edges, texts = links(unique, scratch)
     joined = components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = materialize(joined.join(degree.withColumnRenamed("a", "node"), "node").withColumnRenamed("node", "h1"))
-    slim = every.select("doc_id", "text_hash", "line_no", "h1", "h2")
-    near = slim.join(_bounded(linked), "h1", "left")
+    linked = scratch.keep(joined.join(degree.withColumnRenamed("a", "node"), "node").withColumnRenamed("node", "id"))
+    linked = scratch.keep(texts.join(bounded(linked), "id").select(*_digests(), "component", "n_links"))
+    slim = every.select("doc_id", "t", "again", "line_no", (F.length("line") < min_exact).alias("short"), "h1", "h2")
+    near = slim.join(bounded(linked), ["h1", "h2"], "left")
     alone = F.col("component").isNull()
+    # place as one number of fixed width, so it is aggregated by hash: id (nulls last, by text), line, text, repetition
+    own_id = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + _whole(63), F.shiftrightunsigned("t", 1).cast("decimal(20,0)") + _whole(64)).cast("decimal(20,0)")
+    tail = F.col("line_no").cast("long") * F.lit(1 << 29) + F.col("t").bitwiseAND(F.lit((1 << 28) - 1)) * 2 + F.col("again").cast("long")
     near = near.select(
-        "doc_id", "text_hash", "line_no", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(alone, F.col("h1")).otherwise(F.col("component")).alias("c1"), F.when(alone, F.col("h2")).otherwise(F.lit(0)).alias("c2"),
+        "doc_id", "t", "again", "line_no", "short", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(alone, F.col("h1")).otherwise(F.col("component")).alias("c1"), F.when(alone, F.when(F.col("h2") == 0, 1).otherwise(F.col("h2"))).otherwise(0).alias("c2"),
+        (own_id * _whole(60) + tail.cast("decimal(19,0)")).cast("decimal(38,0)").alias("rank"),
     )
-    # (doc_id, line number) as one number, nulls last: fixed width, so it is aggregated by hash
-    rank = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")
-    rank = rank.cast("decimal(38,0)")
-    first = (
-        near.groupBy("c1", "c2").agg(F.min(rank).alias("first"), F.max(rank).alias("other")).where("first <> other").drop("other")
-    )
-    placed = near.join(first, ["c1", "c2"], "left").withColumn("first", F.coalesce("first", rank))
-    own = F.col("first") == rank
-    place = F.col("first") % F.lit(1 << 31)
-    head = ((F.col("first") - place) / F.lit(1 << 31)).cast("decimal(20,0)")
-    return placed.select(
-        "doc_id", "text_hash", "line_no",
-        F.when(head < F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), head).cast("long").alias("class_doc_id"), place.cast("int").alias("class_line_no"),
-        "n_links", own.alias("kept"),
+    first = near.where("NOT short").groupBy("c1", "c2").agg(F.min("rank").alias("first"), F.max("rank").alias("other")).where("first <> other")
+    first = scratch.keep(first.drop("other"))
+    placed = near.join(first, ["c1", "c2"], "left").withColumn("first", F.coalesce("first", "rank"))
+    rest = F.col("first") % _whole(60)
+    head = ((F.col("first") - rest) / _whole(60)).cast("decimal(20,0)")
+    result = placed.select(
+        "doc_id", "t", "again", "line_no",
+        F.when(head < _whole(64), head - _whole(63)).cast("long").alias("class_doc_id"), F.shiftright(rest.cast("long"), 29).cast("int").alias("class_line_no"),
+        "n_links", (F.col("first") == F.col("rank")).alias("kept"),
     )
+    scratch.clear(linked, first)
+    return result
 
 
-def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, *, min_chars: int = MIN_CHARS, min_exact: int = MIN_EXACT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` without the lines that ``line_classes`` does not keep; texts that lose all lines go.
 
     The dropped line numbers of one document are gathered beside its text.  ``n_chars`` follows the text.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    names = docs.columns
-    gone = (
-        line_classes(docs, **options).where("NOT kept").groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("line_no").alias("_gone")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    )
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.lit("text"), F.col(text_col)))
-    both = keyed.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
-    rest = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    hit = F.col("_gone").isNotNull()
-    both = both.withColumn(text_col, F.when(hit, F.array_join(rest, "\n")).otherwise(F.col(text_col)))
-    both = both.where(~hit | (F.btrim(F.col(text_col), F.lit(BLANK + "\n")) != ""))
-    if "n_chars" in names:
-        both = both.withColumn("n_chars", F.when(hit, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return both.select(*[F.col(f"`{n}`") for n in names])
+    scratch, names = Scratch(docs.sparkSession), docs.columns
+    again, key, mark, more, gone = unused(docs, "again", "gone_id", "gone_text", "gone_again", "gone")
+    marked = mark_again(docs, repeated_rows(docs, id_col, text_col, scratch), again, id_col, text_col, scratch)
+    classes = _classes(marked, again, min_chars, min_exact, id_col, text_col)
+    lost = classes.where("NOT kept").groupBy(F.col("doc_id").alias(key), F.col("t").alias(mark), F.col("again").alias(more))
+    lost = scratch.keep(lost.agg(F.collect_set("line_no").alias(gone)))
+    same = column(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash(column(text_col)) == F.col(mark)) & (F.col(again) == F.col(more))
+    both = marked.join(lost, same, "left")
+    rest = F.filter(F.split(column(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    hit, text = F.col(gone).isNotNull(), unused(both, "left_text")[0]
+    both = both.withColumn(text, F.when(hit, F.array_join(rest, "\n")).otherwise(column(text_col)))
+    both = both.where(~hit | (F.btrim(F.col(text), F.lit(BLANK + "\n")) != ""))
+    length = F.when(hit, F.length(text).cast("long")).otherwise(column("n_chars")) if "n_chars" in names else None
+    return both.select(*[F.col(text).alias(n) if n == text_col else length.alias(n) if n == "n_chars" else column(n) for n in names])

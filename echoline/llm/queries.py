@@ -13,7 +13,7 @@ SHARD_BYTES = 1 << 20
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return lines.line_classes(table(spark, sf_dir, "documents")).drop("t", "again")
 
 
 def byte_bpe() -> str:

@@ -9,8 +9,9 @@ The languages are all that label a row with text; each one's trigram model is fi
 distinct texts (whole texts, those of the smallest digests); everything else covers all rows.
 
 Defined results: null, empty or letterless text is "und" with posterior 1 and is rejected; missing, empty,
-"und" or unknown declarations, addresses and hosts are no evidence; repeated rows get equal results; an empty table gives an empty
-result; other columns are ignored.
+"und" or unknown declarations, malformed or missing addresses and hosts are no evidence; texts of any length are read
+whole, in pieces; equal rows get equal results, rows that share an id are judged each by their own text and marks; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, bounded, column, materialize, unused
 
 BUCKETS = 1 << 15
 #: Overlapping trigrams are not independent; their joint log-likelihood is taken to this power.
@@ -122,6 +123,12 @@ def _scores(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFra
     return rows.mapInArrow(score, "doc_id long, declared string, host string, suffix string, n_bytes long, text_hash long, ll array<double>")
 
 
+def row_key(*names: str | None) -> Column:
+    """A digest of what a row's result rests on, nulls told from empty values."""
+    values = [column(n).cast("string") for n in names if n]
+    return F.xxhash64(*[F.struct(v.isNull(), v) for v in values])
+
+
 def identify(
     docs: DataFrame,
     *,
@@ -138,19 +145,19 @@ def identify(
     url_col: str | None = None,
     host_col: str | None = "source",
 ) -> DataFrame:
-    """(doc_id, text_hash, declared, language, posterior, kept), one per row.
+    """(doc_id, text_hash, declared, language, posterior, kept), one per row; text_hash digests text, mark and host.
 
     ``labelled`` (language, text) trains the models; without it the rows' own declarations do.
     ``url_col`` gives host and suffix where there are addresses; else ``host_col`` names the host.
     """
     none = F.lit(None).cast("string")
-    declared = F.lower(F.substring_index(F.trim(F.col(declared_col)), "-", 1)) if declared_col else none
-    host = F.lower(F.parse_url(F.col(url_col), F.lit("HOST"))) if url_col else F.col(host_col).cast("string") if host_col else none
+    declared = F.lower(F.substring_index(F.trim(column(declared_col)), "-", 1)) if declared_col else none
+    host = F.lower(F.try_parse_url(column(url_col), F.lit("HOST"))) if url_col else column(host_col).cast("string") if host_col else none
     suffix = F.when(host.contains("."), F.substring_index(host, ".", -1)) if url_col else none
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"),
-        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
-        F.xxhash64(F.lit("text"), F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"),
+        column(id_col).cast("long").alias("doc_id"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"),
+        F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
+        row_key(text_col, declared_col, url_col or host_col).alias("text_hash"), column(text_col).alias("text"),
     )
     languages, table = fit(labelled if labelled is not None else rows.select(F.col("declared").alias("language"), "text"), train_rows)
     scored = materialize(_scores(rows, languages, table))
@@ -208,14 +215,16 @@ def identify(
     )
 
 
-def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that ``identify`` rejects."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    bad = identify(docs, **options).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    names = docs.columns
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.lit("text"), F.col(text_col)))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return keyed.join(bad, same, "left_anti").select(*[F.col(f"`{n}`") for n in names])
+def keep_identified(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", declared_col: str | None = "lang", url_col: str | None = None, host_col: str | None = "source", **options) -> DataFrame:
+    """``docs`` without the rows that ``identify`` rejects, columns unchanged.
+
+    The keys of the rejected rows are broadcast where few enough, so the texts do not move.
+    """
+    found = identify(docs, text_col=text_col, id_col=id_col, declared_col=declared_col, url_col=url_col, host_col=host_col, **options)
+    key, digest = unused(docs, "key", "digest")
+    bad = Scratch(docs.sparkSession).keep(found.where("NOT kept").select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct())
+    same = column(id_col).cast("long").eqNullSafe(F.col(key)) & (row_key(text_col, declared_col, url_col or host_col) == F.col(digest))
+    return docs.join(bounded(bad), same, "left_anti")
 
 
 def page_fields(pages: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ Sizes are exact token counts.  Per source, documents are counted by size; whole
 a bounded-knapsack dynamic program over what is left.  Which documents of a size are taken is decided by a seeded hash.
 
 Defined results: a null text has size 0; size-0 documents are never taken (taken = 0); a null source is a source of
-its own, last in order; repeated rows are separate documents; an empty table gives an empty result; extra columns are
-ignored by ``mix_plan``.  Nothing is sampled or capped.
+its own, last in order; repeated rows, null ids and several texts of one id are separate documents; texts of any length
+are counted whole; an empty table gives an empty result; extra columns are ignored by ``mix_plan`` and pass through
+``mix``, whatever their names.  Nothing is sampled or capped.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, bounded, column, materialize, text_hash, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hash ranges into which the documents of one (source, size) are dealt, so that a hot size is no single task.
-RANGES = 256
+#: Leading bits of the hash by which the documents of one (source, size) are dealt, so that a hot size is no single task.
+RANGE_BITS = 8
 #: Words left for the dynamic program.
 WINDOW = 32768
 
@@ -128,34 +129,29 @@ def _ranked(sources: DataFrame) -> DataFrame:
     )
 
 
-def mix_plan(
-    docs: DataFrame,
-    *,
-    weights: tuple = (3, 1, 2),
-    share: float = 1.5,
-    cap: float = 2,
-    seed: int = 20_24,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """Rows (doc_id, text_hash, size, source, source_size, target, repeats, taken), one per row of ``docs``."""
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit("text"), F.col(text_col)).alias("text_hash"),
-    ).withColumn("hash", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text_hash")))
-    slim = materialize(slim.withColumn("range", F.shiftrightunsigned("hash", 64 - RANGES.bit_length() + 1).cast("int")))
-    key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")]
-    slim = slim.select("*", *key)
-    counts = materialize(
-        slim.groupBy("no_source", "source_key", "size", "range").agg(F.count(F.lit(1)).alias("n"))
-    )
-    by_size = counts.groupBy("no_source", "source_key", "size").agg(F.sum("n").alias("n"))
+GROUP = ["no_source", "source_key", "size"]
+
+
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """The columns by which a row is counted and chosen."""
+    source, digest = column(source_col).cast("string"), text_hash(column(text_col))
+    return {
+        "no_source": source.isNull(), "source_key": F.coalesce(source, F.lit("")), "size": word_count(column(text_col)),
+        "text_hash": digest, "hash": F.xxhash64(F.lit(seed), column(id_col).cast("string"), digest),
+    }
+
+
+def _placed(docs: DataFrame, scratch: Scratch, weights: tuple, share: float, cap: float, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Every row's GROUP, hash, source_size, target, base and whether its place in hash order earns one copy more."""
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    slim = docs.select(column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), *[c.alias(n) for n, c in sized.items()])
+    slim = scratch.keep(slim.withColumn("range", F.shiftright("hash", 64 - RANGE_BITS).cast("int")))
+    counts = scratch.keep(slim.groupBy(*GROUP, "range").agg(F.count(F.lit(1)).alias("n")))
+    by_size = counts.groupBy(*GROUP).agg(F.sum("n").alias("n"))
     sources = by_size.groupBy("no_source", "source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")).select(
         F.when(~F.col("no_source"), F.col("source_key")).alias("source"), "source_size"
     )
+    key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")]
     targets = source_targets(sources, weights, share, cap).select("*", *key).drop("source")
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
@@ -174,41 +170,70 @@ def mix_plan(
         )
         .drop("n")
     )
-    same_size = ["no_source", "source_key", "size"]
-    before = F.sum("n").over(Window.partitionBy(*same_size).orderBy("range")) - F.col("n")
+    before = F.sum("n").over(Window.partitionBy(*GROUP).orderBy("range")) - F.col("n")
     dealt = (
-        counts.join(chosen, same_size)
+        counts.join(chosen, GROUP)
         .withColumn("before", before)
         .withColumn("more", F.least(F.greatest(F.col("more") - F.col("before"), F.lit(0)), F.col("n")))
         .drop("n", "before")
     )
-    place = F.row_number().over(Window.partitionBy(*same_size, "range").orderBy("hash", "doc_id"))
-    return (
-        slim.join(dealt, [*same_size, "range"])
-        .withColumn("repeats", F.when(F.col("size") > 0, F.col("base") + (place <= F.col("more")).cast("long")).otherwise(0))
-        .select(
-            "doc_id", "text_hash", "size", "source", "source_size", "target", "repeats",
-            (F.col("repeats") * F.col("size")).alias("taken"),
-        )
-    )
+    place = F.row_number().over(Window.partitionBy(*GROUP, "range").orderBy("hash", "doc_id"))
+    return slim.join(dealt, [*GROUP, "range"]).withColumn("extra", (F.col("size") > 0) & (place <= F.col("more")))
+
+
+def mix_plan(
+    docs: DataFrame,
+    *,
+    weights: tuple = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2,
+    seed: int = 20_24,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """Rows (doc_id, text_hash, size, source, source_size, target, repeats, taken), one per row of ``docs``."""
+    placed = _placed(docs, Scratch(docs.sparkSession), weights, share, cap, seed, id_col, text_col, source_col)
+    repeats = F.when(F.col("size") > 0, F.col("base") + F.col("extra").cast("long")).otherwise(0)
+    return placed.select("doc_id", "text_hash", "size", "source", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    *,
+    weights: tuple = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2,
+    seed: int = 20_24,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The mixed rows themselves: each row of ``docs`` as many times as the plan takes it, columns unchanged.
 
-    Rows that repeat both doc_id and text share their repeats: together they appear as often as the plan says.
+    The plan is folded to one row for each source and size, with the last hash that earns a copy more, so every row
+    decides for itself and none is shuffled.  Only where rows of equal hash (equal id and text) stand at that bound, and
+    some of them go, are these rows written and numbered.
     """
-    names = docs.columns
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = (
-        mix_plan(docs, **options)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.sum("repeats").alias("_repeats"), F.count(F.lit(1)).alias("_rows"))
-        .withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    )
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.lit("text"), F.col(text_col)))
-    joined = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))).where("_repeats > 0")
-    single = joined.where("_rows = 1")
-    several = joined.where("_rows > 1").dropDuplicates([id_col, "_text_hash"])
-    both = single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int"))))
-    return both.select(*[F.col(f"`{n}`") for n in names])
+    scratch, names = Scratch(docs.sparkSession), docs.columns
+    placed = scratch.keep(_placed(docs, scratch, weights, share, cap, seed, id_col, text_col, source_col).select(*GROUP, "hash", "base", "extra"))
+    edges = placed.groupBy(*GROUP).agg(F.max("base").alias("base"), F.max(F.when(F.col("extra"), F.col("hash"))).alias("last"), F.min(F.when(~F.col("extra"), F.col("hash"))).alias("next"))
+    edges = scratch.keep(edges.withColumn("tied", F.coalesce(F.col("last") == F.col("next"), F.lit(False))).drop("next"))
+    tied = edges.where("tied").select(*GROUP, F.col("last").alias("hash"))
+    ties = scratch.keep(placed.join(bounded(tied), [*GROUP, "hash"]).groupBy(*GROUP, "hash").agg(F.count_if("extra").alias("earn")))
+    own = dict(zip([*GROUP, "text_hash", "hash"], unused(docs, *GROUP, "text_hash", "hash"), strict=True))
+    base, last, tie, row, earn, copy = unused(docs.withColumns({n: F.lit(0) for n in own.values()}), "base", "last", "tied", "row", "earn", "copy")
+    keyed = docs.withColumns({own[n]: c for n, c in _sized(docs, seed, id_col, text_col, source_col).items()})
+    told = edges.select(*[F.col(n).alias(own[n]) for n in GROUP], F.col("base").alias(base), F.col("last").alias(last), F.col("tied").alias(tie))
+    joined = keyed.join(bounded(told), [own[n] for n in GROUP]).where(F.col(own["size"]) > 0)
+    extra = F.coalesce(F.col(own["hash"]) <= F.col(last), F.lit(False))
+    at_bound = F.col(tie) & (F.col(own["hash"]) == F.col(last))
+    out = joined.where(~F.coalesce(at_bound, F.lit(False))).withColumn(copy, F.col(base) + extra.cast("long"))
+    if not ties.isEmpty():
+        several = scratch.keep(joined.where(at_bound).withColumn(row, F.monotonically_increasing_id()))
+        number = F.row_number().over(Window.partitionBy(*[own[n] for n in [*GROUP, "hash"]]).orderBy(row))
+        several = several.withColumn(row, number).join(ties.select(*[F.col(n).alias(own[n]) for n in [*GROUP, "hash"]], F.col("earn").alias(earn)), [own[n] for n in [*GROUP, "hash"]])
+        several = several.withColumn(copy, F.col(base) + (F.col(row) <= F.col(earn)).cast("long"))
+        out = out.select(*map(column, [*names, copy])).unionByName(several.select(*map(column, [*names, copy])))
+    out = out.where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))))
+    return out.select(*map(column, names))

@@ -62,12 +62,12 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.duplicate_spans(table(spark, sf_dir, "documents"))
+    return substrings.duplicate_spans(table(spark, sf_dir, "documents")).drop("t")
 
 
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of ``op10_substring_dedup`` and repeated passages at arbitrary places."""
-    return substrings.passage_spans(table(spark, sf_dir, "documents"))
+    return substrings.passage_spans(table(spark, sf_dir, "documents")).drop("t")
 
 
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ Offsets are in characters of the original text.
 Only digests and offsets move; texts stay where they are until ``remove`` applies the spans.
 
 Defined results: null and empty texts have no units; units under ``min_words`` words are left alone; null ids rank
-last; rows that repeat an id count as one document (their equal places do not remove each other); an empty table
-gives no spans; a unit repeated inside one document is removed but for its first place; other columns are ignored.
+last; several texts of one id, or of none, are told apart by a digest ``t`` of the text; rows that repeat id and text
+count as one document (their equal places do not remove each other); an empty table gives no spans; a unit repeated
+inside one document is removed but for its first place; texts and units of any length are taken whole; other columns are
+ignored, whatever their names.
 
 ``passage_spans`` also finds passages that start or end inside units or consist of short ones: every run of
 ``run_words`` words (lower case, any white space between them) that an earlier place holds is covered, and runs that
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, column, materialize, text_hash, unused
 
 #: What separates units.
 SEPARATORS = {
@@ -57,46 +59,49 @@ def units_of(text: str, separator: re.Pattern, min_words: int) -> Iterator[tuple
 
 def units(docs: DataFrame, *, unit: str, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     separator = SEPARATORS[unit]
-    names = ["doc_id", "start", "end", "words", "h1", "h2"]
+    names = ["doc_id", "t", "start", "end", "words", "h1", "h2"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack() -> pa.RecordBatch:
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             numbers = np.array(places, np.int64).reshape(-1, 3)
-            columns = [pa.array(ids, pa.int64()), *(pa.array(numbers[:, i]) for i in range(3)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), *(pa.array(numbers[:, i]) for i in range(3)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
             return pa.RecordBatch.from_arrays(columns, names)
 
-        ids, places, digests = [], [], []
+        ids, marks, places, digests = [], [], [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 for start, end, words, norm in units_of(text.as_py() or "", separator, min_words):
                     ids.append(doc_id)
+                    marks.append(mark)
                     places.append((start, end, words))
                     digests.append(hashlib.blake2b(norm.encode("utf-8", "surrogatepass"), digest_size=16).digest())
                     if len(ids) >= 20_000:
                         yield pack()
-                        ids, places, digests = [], [], []
+                        ids, marks, places, digests = [], [], [], []
         if ids:
             yield pack()
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(cut, "doc_id long, start long, end long, words long, h1 long, h2 long")
+    slim = docs.select(column(id_col).cast("long").alias("doc_id"), text_hash(column(text_col)).alias("t"), column(text_col).alias("text"))
+    return slim.mapInArrow(cut, "doc_id long, t long, start long, end long, words long, h1 long, h2 long")
 
 
 def duplicate_spans(docs: DataFrame, *, unit: str = "sentence", min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans to remove: (doc_id, start, end, words, kept_doc_id, kept_start)."""
-    found = materialize(units(docs, unit=unit, min_words=min_words, id_col=id_col, text_col=text_col))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    """Spans to remove: (doc_id, t, start, end, words, kept_doc_id, kept_start)."""
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(units(docs, unit=unit, min_words=min_words, id_col=id_col, text_col=text_col))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "t")
     first = (
         found.groupBy("h1", "h2")
         .agg(F.min(rank).alias("kept"), F.max(rank).alias("other"))
         .where("kept <> other")
         .select("h1", "h2", "kept")
     )
+    first = scratch.keep(first)  # an exchange of its own: a very common unit's partition can be split
     return (
         found.join(first, ["h1", "h2"])
-        .where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start"))))
-        .select("doc_id", "start", "end", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
+        .where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start")) & (F.col("t") == F.col("kept.t"))))
+        .select("doc_id", "t", "start", "end", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
         .distinct()
     )
 
@@ -207,14 +212,15 @@ def passage_spans(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Spans to remove: (doc_id, start, end, words, kept_doc_id, kept_start), those of one text apart from each other.
+    """Spans to remove: (doc_id, t, start, end, words, kept_doc_id, kept_start), those of one text apart from each other.
 
     Units that an earlier place holds, as by ``duplicate_spans``, and runs of at least ``run_words`` words that do.
+    Rows that share an id are one document here: equal places of theirs do not cover each other.
     ``kept_*`` is the earliest place of the unit or run that a span begins with.  A removed word has an earlier copy
     within a repeated run, so following them ends at one that stays.
     """
     separator = SEPARATORS[unit]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).bitwiseAND(0xFFFFFFFF).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), text_hash(column(text_col)).alias("text_hash"), column(text_col).alias("text"))
     rows = rows.where("text IS NOT NULL AND text <> ''")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,23 +313,25 @@ def passage_spans(
             F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last") - F.min("first") + 1).alias("words"),
             F.min(F.struct("start", "kept")).alias("begin"),
         )
-        .select("doc_id", "start", "end", "words", F.col("begin.kept.doc_id").alias("kept_doc_id"), F.col("begin.kept.start").alias("kept_start"))
+        .select("doc_id", F.col("text_hash").alias("t"), "start", "end", "words", F.col("begin.kept.doc_id").alias("kept_doc_id"), F.col("begin.kept.start").alias("kept_start"))
         .distinct()
     )
 
 
 def remove(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans cut out of the text; documents without spans are untouched.
+    """``docs`` with the spans (doc_id, t, start, end) cut out of the text; documents without spans are untouched.
 
     The spans of one document, at most its number of units, are gathered beside its text.
     """
-    per_doc = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut")).withColumnRenamed("doc_id", "_id")
-    before = lambda i: F.when(i > 0, F.try_element_at(F.col("_cut"), i)["end"]).otherwise(F.lit(0))
-    after = lambda i: F.coalesce(F.try_element_at(F.col("_cut"), i + 1)["start"], F.length(text_col).cast("long"))
+    key, mark, cut, out = unused(docs, "cut_id", "cut_text", "cut", "cut_out")
+    per_doc = spans.groupBy(F.col("doc_id").alias(key), F.col("t").alias(mark)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(cut))
+    text, at = column(text_col), F.col(cut)
+    before = lambda i: F.when(i > 0, F.try_element_at(at, i)["end"]).otherwise(F.lit(0))
+    after = lambda i: F.coalesce(F.try_element_at(at, i + 1)["start"], F.length(text).cast("long"))
     kept = F.transform(
-        F.sequence(F.lit(0), F.size("_cut")),
-        lambda i: F.substring(F.col(text_col), (before(i) + 1).cast("int"), (after(i) - before(i)).cast("int")),
+        F.sequence(F.lit(0), F.size(at)),
+        lambda i: F.substring(text, (before(i) + 1).cast("int"), (after(i) - before(i)).cast("int")),
     )
-    names = docs.columns
-    joined = docs.join(per_doc, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))).select(*[F.col(f"`{n}`") for n in names])
+    joined = docs.join(per_doc, column(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash(text) == F.col(mark)), "left")
+    joined = joined.withColumn(out, F.when(at.isNull(), text).otherwise(F.array_join(kept, "")))
+    return joined.select(*[F.col(out).alias(n) if n == text_col else column(n) for n in docs.columns])

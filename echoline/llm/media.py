@@ -7,8 +7,11 @@ frames.  Tables read from a file may be any; those without that property are dec
 ``encode`` stores payloads, ``decode`` parses the RIFF chunks and idx1, decodes the frames and finds shots where the
 difference of neighbouring frames' histograms exceeds mean + ``k`` deviations of the differences in a window around it.
 
-Defined results: null text is empty; an empty payload is stored as 64 zero bytes; equal texts give equal files; an
-empty table gives no rows; other columns are ignored.  A payload must stay under RIFF's 4 GiB.
+Defined results: null text is empty; an empty payload is stored as 64 zero bytes; equal texts give equal files; repeated
+rows and null ids are rows of their own; an empty table gives no rows; other columns are ignored.  A payload must stay
+under RIFF's 4 GiB.  ``decode`` also takes other writers' files: every RIFF and AVIX segment is walked, and without a
+``strd`` chunk the payload is all frames' bytes; a null or damaged file, or one with frames of another kind (DCT-coded,
+coloured), gives a row with that ``status`` and null features instead of ending the job.
 """
 
 from __future__ import annotations
@@ -190,8 +193,8 @@ def write_avi(payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], float, int]:
-    """Frames' JPEGs by idx1 (or by the movi list, where it is absent), frames a second, the payload's length."""
+def read_avi(data: bytes) -> tuple[list[bytes], float, int | None]:
+    """Frames' JPEGs by idx1 (or by the movi list, where it is absent), frames a second, the payload's length if given."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     found: dict[bytes, tuple[int, int]] = {}
@@ -210,27 +213,37 @@ def read_avi(data: bytes) -> tuple[list[bytes], float, int]:
 
     walk(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))
     scale, rate = struct.unpack_from("<II", data, found[b"strh"][0] + 20)
-    length = struct.unpack_from("<Q", data, found[b"strd"][0])[0] if b"strd" in found else -1
+    length = struct.unpack_from("<Q", data, found[b"strd"][0])[0] if b"strd" in found else None
     movi, movi_length = found[b"movi"]
     jpegs = []
+
+    def frames(at: int, end: int) -> None:
+        while at + 8 <= end:
+            n = int.from_bytes(data[at + 4 : at + 8], "little")
+            if data[at : at + 4] == b"LIST":
+                frames(at + 12, min(end, at + 8 + n))
+            elif data[at + 2 : at + 4] in (b"dc", b"db"):
+                jpegs.append(data[at + 8 : at + 8 + n])
+            at += 8 + n + n % 2
+
     if b"idx1" in found:
         at, n = found[b"idx1"]
-        for name, _, offset, size in struct.iter_unpack("<4sIII", data[at : at + n]):
+        for name, _, offset, size in struct.iter_unpack("<4sIII", data[at : at + n - n % 16]):
             if name[2:] in (b"dc", b"db"):
                 start = movi + offset if data[movi + offset : movi + offset + 4] == name else offset
                 jpegs.append(data[start + 8 : start + 8 + size])
     else:
-        at = movi + 4
-        while at + 8 <= movi + movi_length:
-            n = int.from_bytes(data[at + 4 : at + 8], "little")
-            if data[at + 2 : at + 4] in (b"dc", b"db"):
-                jpegs.append(data[at + 8 : at + 8 + n])
-            at += 8 + n + n % 2
-    return jpegs, rate / scale, length
+        frames(movi + 4, movi + movi_length)
+    at = 8 + int.from_bytes(data[4:8], "little")
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] == b"AVIX":  # later segments have no idx1
+        n = int.from_bytes(data[at + 4 : at + 8], "little")
+        frames(at + 12, min(len(data), at + 8 + n))
+        at += 8 + n + n % 2
+    return jpegs, rate / scale if scale else float(FPS), length
 
 
 def shots(frames: np.ndarray) -> list[tuple[int, int]]:
-    """(first frame, end frame) of each shot: cuts are local maxima of histogram difference over an adaptive bound."""
+    """(first frame, end frame) of each shot: a cut is wherever the histogram difference exceeds an adaptive bound."""
     n = len(frames)
     if n < 2:
         return [(0, n)]
@@ -293,31 +306,39 @@ def decode(media: DataFrame) -> DataFrame:
         def rows():
             for batch in batches:
                 for doc_id, n_bytes, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    data = item.as_buffer().to_pybytes()
-                    jpegs, fps, length = read_avi(data)
-                    frames = decode_frames(jpegs)
+                    buffer = item.as_buffer()
+                    data = buffer.to_pybytes() if buffer is not None else b""
+                    whole = (len(data), hashlib.sha256(data).hexdigest()) if buffer is not None else (None, None)
+                    try:
+                        jpegs, fps, length = read_avi(data)
+                        if not jpegs:
+                            raise ValueError("no frames")
+                        frames = decode_frames(jpegs)
+                    except (ValueError, KeyError, IndexError, TypeError, struct.error) as error:
+                        status = str(error) if isinstance(error, ValueError) and buffer is not None else "no file" if buffer is None else "damaged file"
+                        yield (doc_id, n_bytes, None, None, None, *whole, None, None, status), 200
+                        continue
                     payload = frames.tobytes()[:length]
                     cuts = shots(frames)
                     clips = [{"clip": k, "first_frame": a, "end_frame": b, "start_s": a / fps, "end_s": b / fps} for k, (a, b) in enumerate(cuts)]
                     level = int(frames.sum(dtype=np.int64)) // frames.size
                     feature = f"frames={len(frames)};shots={len(cuts)};mean={level};longest={max(b - a for a, b in cuts)}"
                     yield (
-                        doc_id, n_bytes, length, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
-                        len(data), hashlib.sha256(data).hexdigest(), feature, clips,
+                        doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *whole, feature, clips, "decoded",
                     ), 400 + 40 * len(cuts)
 
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "status"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip, pa.string()]
         yield from _batches(rows(), names, kinds)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
         parse,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        f"media_sha256 string, feature string, clips {CLIPS}",
+        f"media_sha256 string, feature string, clips {CLIPS}, status string",
     )
 
 
 def clip_rows(decoded: DataFrame) -> DataFrame:
     """One timed row per clip."""
-    one: Column = F.explode("clips")
+    one: Column = F.explode("clips")  # undecoded files have none
     return decoded.select("doc_id", one.alias("c")).select("doc_id", "c.*")

@@ -8,7 +8,8 @@ The splits are found on byte totals by prefix: each round sums the rows of unres
 bits (map-side combined), so no bucket's rows are gathered in a task, and only rows of unresolved buckets are read again.
 
 Defined results: null text is 0 bytes; null and repeated ids are ordinary keys (the second half of the hash tells
-repeated rows apart, by the row's place); an empty table gives no shard; extra columns pass through ``assign`` untouched.
+repeated rows apart, by the row's place); rows of any size are one number of bytes here; an empty table gives no shard;
+extra columns pass through ``assign`` untouched, and where one has the name of a result column, that gets a ``_``.
 """
 
 from __future__ import annotations
@@ -16,17 +17,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import column, materialize, unused
 
 STEP = 12
 DEPTH = 120
 
 
-def key_bits(df: DataFrame, id_col: str) -> DataFrame:
-    """Add ``_bits``: 120 binary digits, 60 from the id's md5, 60 from a number that only tells equal ids apart."""
+def key_bits(df: DataFrame, id_col: str, name: str = "_bits") -> DataFrame:
+    """Add 120 binary digits, 60 from the id's md5, 60 from a number that only tells equal ids apart."""
     binary = lambda c: F.lpad(F.conv(F.substring(F.md5(c.cast("string")), 1, 15), 16, 2), 60, "0")
-    first = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    return df.withColumn("_bits", F.concat(binary(first), binary(F.monotonically_increasing_id())))
+    first = F.coalesce(column(id_col).cast("string"), F.lit("null"))
+    return df.withColumn(name, F.concat(binary(first), binary(F.monotonically_increasing_id())))
 
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
@@ -60,20 +61,25 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
 
 def assign(df: DataFrame, *, limit: int, id_col: str = "doc_id", bytes_col: str = "n_bytes") -> DataFrame:
     """``df`` (id, bytes, ...) with shard, depth, shard_bytes, oversize of each row."""
-    keyed = materialize(key_bits(df, id_col))
-    shards = materialize(directory(keyed.select("_bits", F.col(bytes_col).alias("n_bytes")), limit))
+    given = ["shard", "depth", "shard_bytes", "oversize"]
+    bits, probe, *names = unused(df, "bits", "probe", *given)
+    keyed = materialize(key_bits(df, id_col, bits))
+    shards = materialize(directory(keyed.select(F.col(bits).alias("_bits"), column(bytes_col).alias("n_bytes")), limit))
     depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 121 numbers
+    kinds = {"shard": "string", "depth": "int", "shard_bytes": "long", "oversize": "boolean"}
     if not depths:
-        return keyed.drop("_bits").select("*", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(False).alias("oversize"))
-    probes = F.explode(F.array(*[F.substring("_bits", 1, d) for d in sorted(depths)]))
-    return (
-        keyed.withColumn("shard", probes)
-        .join(shards.select("shard", "depth", "shard_bytes", "oversize"), "shard")
-        .drop("_bits")
-    )
+        return keyed.drop(bits).withColumns({n: F.lit(None).cast(kinds[g]) for n, g in zip(names, given, strict=True)})
+    probes = F.explode(F.array(*[F.substring(bits, 1, d) for d in sorted(depths)]))
+    listed = shards.select(*[F.col(g).alias(n) for n, g in zip(names, given, strict=True)])
+    return keyed.withColumn(probe, probes).join(listed, F.col(probe) == F.col(names[0])).drop(bits, probe)
 
 
 def write_shards(docs: DataFrame, path: str, *, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write whole rows as one folder per shard."""
-    sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
-    assign(sized, limit=limit, id_col=id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write whole rows as one folder per shard; a shard is within the limit, so it is one task's work.
+
+    Folders are named ``b`` and the prefix: bare digits would be read back as numbers, and prefixes of zeros as one.
+    """
+    size, shard = unused(docs, "n_bytes", "shard")
+    sized = docs.withColumn(size, F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("long"))
+    found = assign(sized, limit=limit, id_col=id_col, bytes_col=size)
+    found.repartition(shard).select(*map(column, docs.columns), F.concat(F.lit("b"), shard).alias(shard)).write.partitionBy(shard).parquet(path)

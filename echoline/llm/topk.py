@@ -5,12 +5,15 @@ Vectors are quantised to floor(scale * x).  For a segment of n components with m
 score, tighter with finer segments.  Candidates pass the levels coarse to fine against each query's k-th best score
 so far; survivors get exact integer scores, so pruning never changes the result.
 
-The query set meets all rows in blocks: queries and candidates are dealt into blocks of bounded size and every pair of
-blocks is one task's work; the k best of each pair of blocks are merged per query.
+Rows are dealt into blocks of bounded size by their length (norm) and a hash.  All queries first meet one block, whose
+k-th best score is a bound for each; then a query goes only to the blocks, and a block only to the groups of queries,
+where norm times norm can still reach that bound, and starts there with it.  Every pair of a group and a block is one
+task's work; the k best of each pair are merged per query.
 
 Defined results: rows with null id, null vector, or null or non-finite components take no part; vectors of other
-lengths than the query's are not compared; a query never returns rows with its own id; ties go to the smaller id;
-rows that repeat an id are separate rows; scores outside 64 bits are held at the range's end; other columns are ignored.
+lengths than the query's are not compared; a query never returns its own row, but other rows of its id; ties go to the
+smaller id; rows that repeat an id are separate rows; scores outside 64 bits are held at the range's end; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch, bounded, column
+
 LEVELS = (1, 4, 16)
 QUERY_BLOCK, ROW_BLOCK, STRIDE = 2048, 8192, 1024
 
@@ -55,17 +60,17 @@ def _exact(q: np.ndarray, c: np.ndarray, at_q: np.ndarray, at_c: np.ndarray, saf
     return out
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, row position, score) of the k best rows of each query."""
+def search_block(q_rows: np.ndarray, q: np.ndarray, bar: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, row position, score) of each query's k best rows that reach its ``bar``; row numbers tell its own."""
     top_q = np.empty(0, np.int64)
     top_c, top_s = np.empty(0, np.int64), np.empty(0, np.int64)
-    bar = np.full(len(q), -np.inf)
+    bar = bar.copy()
     biggest = max(float(np.abs(q).max(initial=0)), 1.0) * max(float(np.abs(rows).max(initial=0)), 1.0) * max(q.shape[1], 1)
     safe = biggest < 2.0**53
     q_levels = _profile(q, True)
     for start in range(0, len(rows), STRIDE):
         part = rows[start : start + STRIDE]
-        alive = q_ids[:, None] != ids[None, start : start + STRIDE]
+        alive = q_rows[:, None] != own[None, start : start + STRIDE]
         for q_level, c_level in zip(q_levels, _profile(part, False), strict=True):
             bound = q_level @ c_level.T
             alive &= bound + (np.abs(bound) + biggest * 1e-6) * 1e-6 + 1 >= bar[:, None]
@@ -83,7 +88,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.nda
         place = np.arange(len(top_q)) - first
         keep = place < k
         last = place == k - 1
-        bar[top_q[last]] = top_s[last]
+        bar[top_q[last]] = np.maximum(bar[top_q[last]], top_s[last])
         top_q, top_c, top_s = top_q[keep], top_c[keep], top_s[keep]
     return top_q, top_c, top_s
 
@@ -91,36 +96,57 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, rows: np.nda
 def top_k(
     vectors: DataFrame, is_query: Column, *, k: int = 10, scale: float = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows that meet ``is_query``, against all rows but those of its own id."""
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    usable = usable.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(finite)
-    usable = usable.withColumn("row", F.monotonically_increasing_id())
-    counts = usable.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    n_rows, n_queries = max(1, -(-counts[0] // ROW_BLOCK)), max(1, -(-counts[1] // QUERY_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id", "row"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    queries = usable.where("q").select("id", "v", "row", block(n_queries).alias("qb"), every(n_rows).alias("cb"))
-    rows = usable.select("id", "v", block(n_rows).alias("cb"), every(n_queries).alias("qb"))
+    """(query_id, rank, vec_id, score) for the rows that meet ``is_query``, against all rows but their own."""
+    scratch = Scratch(vectors.sparkSession)
+    doubles = column(vector_col).cast("array<double>")
+    finite = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda a, x: a + F.pow(F.floor(F.least(F.greatest(x * scale, F.lit(-1e150)), F.lit(1e150))), 2.0)))
+    usable = vectors.where(column(id_col).isNotNull() & column(vector_col).isNotNull() & (F.size(column(vector_col)) > 0) & finite)
+    usable = usable.select(column(id_col).cast("long").alias("id"), column(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), norm.alias("norm"))
+    # a level holds norms within a factor of 2^(1/8)
+    level = F.when(F.col("norm") > 0, F.floor(F.log2("norm") * 8)).otherwise(-9999).cast("int")
+    usable = scratch.keep(usable.select("*", level.alias("level"), F.monotonically_increasing_id().alias("row")))
+    levels = usable.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most"), F.count_if("q").alias("queries")).collect()  # at most 16,385 levels of a double
+    if not levels:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    groups = max(1, -(-sum(x.queries for x in levels) // QUERY_BLOCK))
+    blocks = {x.level: -(-x.n // ROW_BLOCK) for x in levels}
+    dealt = F.xxhash64("id", "row")
+    deal = lambda n: F.pmod(dealt, F.lit(n).cast("long"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    queries = usable.where("q").select("id", "v", "row", "norm", deal(groups).alias("qb"))
+    n_rows = sum(x.n for x in levels)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            lengths, others = left["v"].map(len).to_numpy(), right["v"].map(len).to_numpy()
+            lengths, others = left["v"].map(len).to_numpy(), right["c_v"].map(len).to_numpy()
             for d in np.unique(lengths):
                 a, b = left[lengths == d], right[others == d]
                 if not len(b):
                     continue
-                q, c = (np.floor(scale * np.stack(x["v"].to_numpy()).astype(np.float64)) for x in (a, b))
-                i, j, s = search_block(a["id"].to_numpy(), q, b["id"].to_numpy(), c, k)
-                found.append(pd.DataFrame({"query_id": a["id"].to_numpy()[i], "query_row": a["row"].to_numpy()[i], "vec_id": b["id"].to_numpy()[j], "score": s}))
+                q, c = (np.floor(scale * np.stack(x.to_numpy()).astype(np.float64)) for x in (a["v"], b["c_v"]))
+                i, j, s = search_block(a["row"].to_numpy(), q, a["bar"].to_numpy(np.float64), b["c_id"].to_numpy(), b["c_row"].to_numpy(), c, k)
+                found.append(pd.DataFrame({"query_id": a["id"].to_numpy()[i], "query_row": a["row"].to_numpy()[i], "vec_id": b["c_id"].to_numpy()[j], "score": s}))
         return pd.concat(found) if found else pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "query_row", "vec_id", "score")})
 
-    found = (
-        queries.groupBy("qb", "cb")
-        .cogroup(rows.groupBy("qb", "cb"))
-        .applyInPandas(search, "query_id long, query_row long, vec_id long, score long")
-    )
+    kind = "query_id long, query_row long, vec_id long, score long"
+    other = [F.col(c).alias(f"c_{c}") for c in ("id", "v", "row")]  # names of its own, or the two sides' columns are taken for one
+    probe = usable.where(deal(max(1, n_rows // ROW_BLOCK)) == 0).select(*other, every.alias("qb"))
+    first = queries.withColumn("bar", F.lit(float("-inf"))).groupBy("qb").cogroup(probe.groupBy("qb")).applyInPandas(search, kind)
+    bars = first.groupBy("query_row").agg(F.min("score").cast("double").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    bars = scratch.keep(bars.select(F.col("query_row").alias("row"), "bar"))
+    queries = queries.join(bars, "row", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    queries = scratch.keep(queries)
+    # norm times norm bounds the score; the margin covers the rounding of doubles
+    reaches = lambda most: F.col("norm") * most * (1 + 1e-9) + 1 >= F.col("bar")
+    listed = F.array(*[F.struct(F.lit(x.level).alias("level"), F.lit(float(x.most)).alias("most"), F.lit(blocks[x.level] - 1).cast("long").alias("last")) for x in sorted(levels)])
+    sent = queries.withColumn("at", F.explode(F.filter(listed, lambda x: reaches(x["most"]))))
+    needed = scratch.keep(sent.select("qb", F.col("at.level").alias("level")).distinct())
+    sent = sent.select("id", "v", "row", "bar", "qb", F.col("at.level").alias("level"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("at.last"))).alias("cb"))
+    many = F.create_map(*[F.lit(x).cast("long") if i % 2 else F.lit(x) for level, n in blocks.items() for i, x in enumerate((level, n))])
+    rows = usable.select(*other, "level", F.pmod(dealt, many[F.col("level")]).alias("cb")).join(bounded(needed), "level")
+    found = sent.groupBy("qb", "level", "cb").cogroup(rows.groupBy("qb", "level", "cb")).applyInPandas(search, kind)
     best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

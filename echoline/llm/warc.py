@@ -4,7 +4,8 @@ An archive holds ``archive/data.warc.gz`` (one gzip member per record), ``indexe
 with the record's offset and length) and ``datapackage.json``, all *stored*, so a record is one range of the file.
 
 Defined results: null html is an empty payload; null ids get no winner over a non-null id and are referred to as null;
-of repeated rows of the winning id exactly one is the response; an empty table gives no archive; other columns are ignored.
+of repeated rows of the winning id exactly one is the response; payloads of any length up to Arrow's 2 GiB a cell are
+taken whole; an empty table gives no archive; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, bounded, mark_again, materialize, repeated_rows, unused
 
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 #: Bytes of record data after which a new archive is begun.
@@ -200,19 +201,25 @@ def read_records(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tu
 
 
 def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Add payload (binary), payload_bytes, sha1, winner and is_response to pages (page_id, url, html)."""
-    base = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).select(
-        "*",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("sha1"),
-        F.monotonically_increasing_id().alias("row"),
+    """Add payload (binary), payload_bytes, sha1, winner and is_response to pages (page_id, url, html).
+
+    Only digests and ids are grouped, and only those of payloads that occur twice are joined back, so payloads stay
+    where they are read as long as these are few enough for a broadcast; a common payload's group is never gathered.
+    """
+    scratch, (again,) = Scratch(pages.sparkSession), unused(pages, "again")
+    whole = pages.withColumn("html", F.coalesce("html", F.lit("")))
+    whole = mark_again(whole, repeated_rows(whole, "page_id", "html", scratch), again, "page_id", "html", scratch)
+    base = whole.select("page_id", "url", F.col(again).alias("again"), F.encode("html", "UTF-8").alias("payload")).select(
+        "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("sha1")
     )
-    best = base.groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("best"))
-    small = F.col("payload_bytes") < min_bytes
-    return base.join(best.hint("shuffle_hash"), "sha1").select(
+    slim = base.select("page_id", F.unhex("sha1").alias("digest"))
+    best = slim.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    best = scratch.keep(best.withColumn("several", F.lit(True)))
+    small, several = F.col("payload_bytes") < min_bytes, F.coalesce("several", F.lit(False))
+    own = F.col("page_id").eqNullSafe(F.col("winner")) & ~F.col("again")
+    return base.join(bounded(best), F.unhex("sha1") == F.col("digest"), "left").select(
         "page_id", "url", "payload", "payload_bytes", "sha1",
-        F.col("best.page_id").alias("winner"),
-        (small | (F.col("best.row") == F.col("row"))).alias("is_response"),
+        F.when(several, F.col("winner")).otherwise(F.col("page_id")).alias("winner"), (small | ~several | own).alias("is_response"),
     )
 
 

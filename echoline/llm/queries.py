@@ -65,6 +65,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.duplicate_spans(table(spark, sf_dir, "documents")).drop("t")
 
 
+def op10_line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain form of the method: whole lines of any length."""
+    return substrings.duplicate_spans(table(spark, sf_dir, "documents"), unit="line", min_words=1).drop("t")
+
+
+def op10_paragraph_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole paragraphs of any length."""
+    return substrings.duplicate_spans(table(spark, sf_dir, "documents"), unit="paragraph", min_words=1).drop("t")
+
+
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans of ``op10_substring_dedup`` and repeated passages at arbitrary places."""
     return substrings.passage_spans(table(spark, sf_dir, "documents")).drop("t")
@@ -89,10 +99,36 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_warc_zip": op9_warc_zip,
     "op10_substring_dedup": op10_substring_dedup,
+    "op10_line_units": op10_line_units,
+    "op10_paragraph_units": op10_paragraph_units,
     "op10_passage_dedup": op10_passage_dedup,
     "pages_language_id": pages_language_id,
 }
 
+def _units_sql(gap: str, tail: str, min_words: int) -> str:
+    """Spans of repeated units: ``gap`` ends a unit, ``tail`` is what of a gap follows it."""
+    return rf"""
+        WITH cut AS (
+            SELECT doc_id, generate_subscripts(u, 1) AS i, unnest(u) AS piece
+            FROM (SELECT doc_id, string_split(regexp_replace(text, '({gap})', '\1' || chr(1), 'g'), chr(1)) AS u FROM documents)
+        ), placed AS (
+            SELECT doc_id, piece, CAST(coalesce(sum(length(piece)) OVER (
+                PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+            FROM cut
+        ), norm AS (
+            SELECT doc_id, start, CAST(start + length(regexp_replace(piece, '{tail}', '')) AS BIGINT) AS "end",
+                   lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) AS n
+            FROM placed
+        ), wide AS (
+            SELECT *, CAST(len(string_split(n, ' ')) AS BIGINT) AS words FROM norm WHERE n <> '' AND len(string_split(n, ' ')) >= {min_words}
+        ), ranked AS (
+            SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
+            FROM wide WINDOW w AS (PARTITION BY n ORDER BY doc_id, start)
+        )
+        SELECT doc_id, start, "end", words, kept_doc_id, kept_start FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
+    """
+
+
 ORACLES = {
     "op2_topk_search": """
         WITH v AS (
@@ -143,24 +179,7 @@ ORACLES = {
                CASE WHEN page_id <> best THEN best END AS refers_to
         FROM d
     """,
-    "op10_substring_dedup": r"""
-        WITH cut AS (
-            SELECT doc_id, generate_subscripts(u, 1) AS i, unnest(u) AS piece
-            FROM (SELECT doc_id, string_split(regexp_replace(text, '(\n+|[.!?]\s+)', '\1' || chr(1), 'g'), chr(1)) AS u FROM documents)
-        ), placed AS (
-            SELECT doc_id, piece, CAST(coalesce(sum(length(piece)) OVER (
-                PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-            FROM cut
-        ), norm AS (
-            SELECT doc_id, start, CAST(start + length(rtrim(piece, E' \n\t\r\f\v')) AS BIGINT) AS "end",
-                   lower(trim(regexp_replace(piece, '\s+', ' ', 'g'))) AS n
-            FROM placed
-        ), wide AS (
-            SELECT *, CAST(len(string_split(n, ' ')) AS BIGINT) AS words FROM norm WHERE len(string_split(n, ' ')) >= 8
-        ), ranked AS (
-            SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start
-            FROM wide WINDOW w AS (PARTITION BY n ORDER BY doc_id, start)
-        )
-        SELECT doc_id, start, "end", words, kept_doc_id, kept_start FROM ranked WHERE doc_id <> kept_doc_id OR start <> kept_start
-    """,
+    "op10_substring_dedup": _units_sql(r"\n+|[.!?]\s+", r"\s+$", 8),
+    "op10_line_units": _units_sql(r"\n+", r"\n+$", 1),
+    "op10_paragraph_units": _units_sql(r"\n[ \t]*\n\s*", r"\n[ \t]*\n\s*$", 1),
 }

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Tables of at most this many narrow rows (a few numbers each, some 10 MB in all) are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 300_000
 
+#: Rows in an Arrow batch while a table is written; whole texts are in them, so that Python workers stay small.
+ARROW_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,7 +48,13 @@ class Scratch:
 
     def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         path = f"{shared_dir(self.spark)}/llm-{uuid.uuid4().hex}"
-        df.write.option("compression", codec).parquet(path)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(ARROW_ROWS))
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = (path, back)
         return back

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of at most this many narrow rows (a few numbers each, some 10 MB in all) are broadcast; longer ones are shuffled.
@@ -66,6 +67,16 @@ class Scratch:
 
     def clear(self, *but: DataFrame) -> None:
         self.drop(*[frame for _, frame in list(self.paths.values()) if not any(frame is x for x in but)])
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark remove the shuffle files and broadcasts of what has ended.
+
+        It does so when the driver's garbage is collected, which a driver with little to do hardly ever does; after a
+        phase of many jobs it is asked to, so executors' disks hold one phase's files.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def unused(df: DataFrame, *wanted: str) -> list[str]:
@@ -134,29 +145,26 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    before = _fingerprint(pairs)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    count, before = pairs.count(), None
+    for _ in range(max_rounds if count else 0):
+        # both minima tables have at most as many rows as there are ends of edges
+        small_enough = F.broadcast if 2 * count <= BROADCAST_ROWS else lambda df: df
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(small_enough(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = scratch.keep(small.union(least.select("u", "m")).distinct())
+        small = large.join(small_enough(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        told = Observation()  # counted while it is written; there are edges, so it is never empty
+        following = scratch.keep(small.union(least.select("u", "m")).distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")))
         scratch.drop(pairs)
-        pairs, after = following, _fingerprint(following)
+        pairs, after = following, (told.get["n"], told.get["digest"])
         if after == before:
             break
-        before = after
+        count, before = after[0], after
     else:
-        raise RuntimeError("components did not settle")
+        if count:
+            raise RuntimeError("components did not settle")
     return pairs.groupBy("u").agg(F.min("v").alias("c")).select(F.col("u").alias("node"), F.col("c").alias("component")).union(
         pairs.select("v", "v").distinct()
     )
-
-
-def _fingerprint(pairs: DataFrame) -> tuple:
-    row = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]

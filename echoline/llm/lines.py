@@ -266,15 +266,16 @@ def line_classes(
     linked with directly; t is the document's digest, ``again`` marks rows that repeat another one's id and text.
     """
     scratch, (again,) = Scratch(docs.sparkSession), unused(docs, "again")
-    return _classes(mark_again(docs, repeated_rows(docs, id_col, text_col, scratch), again, id_col, text_col, scratch), again, min_chars, min_exact, id_col, text_col)
+    marked = mark_again(docs, repeated_rows(docs, id_col, text_col, scratch), again, id_col, text_col, scratch)
+    return _classes(marked, again, min_chars, min_exact, id_col, text_col, Scratch(docs.sparkSession))
 
 
-def _classes(marked: DataFrame, again: str, min_chars: int, min_exact: int, id_col: str, text_col: str) -> DataFrame:
-    scratch = Scratch(marked.sparkSession)
+def _classes(marked: DataFrame, again: str, min_chars: int, min_exact: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     every = occurrences(marked, id_col, text_col, again)
     unique = every.where(F.length("line") >= max(min_chars, min_exact)).select("line").distinct()
     unique = scratch.keep(unique.select(F.monotonically_increasing_id().alias("id"), "line"), "zstd")
     edges, texts = links(unique, scratch)
+    scratch.clear(edges, texts)
     joined = components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     linked = scratch.keep(joined.join(degree.withColumnRenamed("a", "node"), "node").withColumnRenamed("node", "id"))
@@ -314,9 +315,11 @@ def drop_repeated_lines(
     scratch, names = Scratch(docs.sparkSession), docs.columns
     again, key, mark, more, gone = unused(docs, "again", "gone_id", "gone_text", "gone_again", "gone")
     marked = mark_again(docs, repeated_rows(docs, id_col, text_col, scratch), again, id_col, text_col, scratch)
-    classes = _classes(marked, again, min_chars, min_exact, id_col, text_col)
+    within_run = Scratch(docs.sparkSession)
+    classes = _classes(marked, again, min_chars, min_exact, id_col, text_col, within_run)
     lost = classes.where("NOT kept").groupBy(F.col("doc_id").alias(key), F.col("t").alias(mark), F.col("again").alias(more))
     lost = scratch.keep(lost.agg(F.collect_set("line_no").alias(gone)))
+    within_run.clear()
     same = column(id_col).cast("long").eqNullSafe(F.col(key)) & (text_hash(column(text_col)) == F.col(mark)) & (F.col(again) == F.col(more))
     both = marked.join(lost, same, "left")
     rest = F.filter(F.split(column(text_col), "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))

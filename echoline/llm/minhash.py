@@ -36,8 +36,10 @@ WORDS, PERCENT = 5, 75
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
 BATCH = 32
-#: Buckets of more classes are indexed anew; the size of the random groups of the second star round.
+#: Buckets of more classes are indexed anew; the size of the random groups of further star rounds.
 CELL, STAR = 16, 8
+#: Further star rounds are held (at most as many) while more pairs than this for each row would be left to compare.
+LEFT, ROUNDS = 1024, 4
 #: Classes whose signatures (128 bytes) are broadcast at most.
 SIGNATURE_ROWS = 60_000
 PIECE = 1 << 20
@@ -266,7 +268,8 @@ def prefixes(sets: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataF
     ``place`` is the shingle's place (from 1) among its set's, those that fewest sets hold first.  Of two sets that are
     similar enough, the smaller holds a shared shingle among its ``first`` ones, the other one in any row given here.
     """
-    rows = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
+    # dealt out anew, as crowded classes may lie in few files
+    rows = sets.join(nodes, "node", "left_semi").repartition("node").select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("key"))
     held = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     own = Window.partitionBy("node")
     alone = F.col("n") - F.count(F.lit(1)).over(own)
@@ -294,6 +297,7 @@ def near_duplicates(docs: DataFrame, *, miss: float = 1e-6, percent: int = PERCE
     signed = scratch.keep(signatures(docs, **names))
     classes = scratch.keep(set_classes(signed))
     found = scratch.keep(_links(docs, classes, scratch, miss, percent, names))
+    scratch.clear(signed, classes, found)
     joined = scratch.keep(components(found))
     linked = classes.select("node", "first", "rows", "h1", "h2").join(bounded(joined), "node", "left").where("component IS NOT NULL OR rows > 1")
     linked = scratch.keep(linked.withColumn("component", F.coalesce("component", "node")))
@@ -321,11 +325,18 @@ def _links(docs: DataFrame, classes: DataFrame, scratch: Scratch, miss: float, p
         sets = scratch.keep(sets.groupBy("node").agg(F.any_value("shingles").alias("shingles")))
 
     def linked(pairs: DataFrame, best: bool) -> DataFrame:
-        hopeful = likely(scratch.keep(pairs.select("a", "b").distinct()), chosen, miss, percent)
-        return scratch.keep(confirm(scratch.keep(_best(hopeful) if best else hopeful.select("a", "b")), sets, scratch, percent))
+        met = scratch.keep(pairs.select("a", "b").distinct())
+        hopeful = likely(met, chosen, miss, percent)
+        hopeful = scratch.keep(_best(hopeful) if best else hopeful.select("a", "b"))
+        found = scratch.keep(confirm(hopeful, sets, scratch, percent))
+        scratch.drop(met, hopeful)
+        return found
 
     links = linked(members.where("a <> node").select("a", F.col("node").alias("b")), True)
-    mixed = _mixed(members.drop("a"), scratch.keep(components(links)), scratch)
+    joined = scratch.keep(components(links))
+    mixed = _mixed(members.drop("a"), joined, scratch)
+    scratch.drop(shared, members, nodes)
+    scratch.release()
     few = mixed.where(F.col("members") <= CELL).select("key", "node", "n", "c")
     size = F.expr(f"x.c <> y.c AND x.node < y.node AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
     apart = few.alias("x").join(few.alias("y"), "key").where(size).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -338,16 +349,23 @@ def _links(docs: DataFrame, classes: DataFrame, scratch: Scratch, miss: float, p
     groups = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count_if("first").alias("firsts")).where("a < z AND firsts > 0")
     keyed = scratch.keep(keyed.join(bounded(scratch.keep(groups.select("key"))), "key", "left_semi"))
     either = f"x.c <> y.c AND (({_within('x', 'y', percent)}) OR ({_within('y', 'x', percent)}))"
-    for number in range(2):
-        met = _mixed(keyed, scratch.keep(components(links)), scratch)
+    for number in range(1 + ROUNDS):
+        met = _mixed(keyed, joined, scratch)
         if number:
-            sizes = scratch.keep(met.groupBy("key").agg((F.expr(f"1 + count(1) div {STAR}")).alias("cells")))
-            met = met.join(bounded(sizes), "key").withColumn("key", F.struct("key", F.expr("pmod(xxhash64(key, node), cells)").alias("cell"))).drop("cells")
+            sums = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.expr("c <> low")).alias("out"))
+            row = sums.agg(F.sum(F.col("m") * F.col("out")).alias("left"), F.sum("m").alias("rows")).first()
+            if not row.rows or row.left <= LEFT * row.rows:
+                break
+            sizes = scratch.keep(sums.select("key", F.expr(f"1 + m div {STAR}").alias("cells")))
+            cell = F.expr(f"pmod(xxhash64(key, node, {number}), cells)").alias("cell")
+            met = scratch.keep(met.join(bounded(sizes), "key").withColumn("key", F.struct("key", cell)).drop("cells"))
         # the one with the fewest rarer shingles is nearest to what the group has in common
         centre = met.groupBy("key").agg(F.min(F.struct("place", "n", "node", "first", "c")).alias("y"))
         stars = met.alias("x").join(centre, "key").where(either)
         links = links.union(linked(stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), True))
-    met = _mixed(keyed, scratch.keep(components(links)), scratch)
+        joined = scratch.keep(components(links))
+        scratch.release()
+    met = _mixed(keyed, joined, scratch)
     rest = met.where("c <> low").alias("x").join(met.alias("y"), "key").where(f"(y.c = y.low OR x.node < y.node) AND {either}")
     return links.union(linked(rest.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")), False))
 

@@ -1,17 +1,19 @@
 """Latest row per key, the merge of a landing table into a one-row-per-id table, coverage and fingerprints."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _tiebreak(df: DataFrame):
-    return F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
-
-
 def latest(df: DataFrame, freshness: str, key: str = "id") -> DataFrame:
-    """The freshest row per key; equal freshness is decided by the row's digest, so reruns agree."""
-    order = Window.partitionBy(key).orderBy(F.col(freshness).desc_nulls_last(), _tiebreak(df))
-    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    """The freshest row per key; equal freshness is decided by the row's digest, so reruns agree.
+
+    One aggregation that combines rows before they are shuffled; null freshness loses to any other.
+    """
+    digest = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    order = F.struct(F.col(freshness).isNotNull(), F.col(freshness), digest)
+    rest = [c for c in df.columns if c != key]
+    best = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_best"))
+    return best.select(*[F.col(key) if c == key else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
 def merge_latest(target: DataFrame, source: DataFrame, freshness: str, key: str = "id") -> DataFrame:

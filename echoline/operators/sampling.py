@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def hash_order(seed: int, key: str = "id") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+from ..schemas import LABELS
+from .ranks import hash_order, hash_rank, number
 
 
 def md5_number(key: str = "id") -> Column:
@@ -27,9 +26,8 @@ def gold_sample(staging: DataFrame, size: int = 300) -> DataFrame:
 def stratified(rows: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """n rows: max(1, n div strata) of each stratum in hash order, the rest filled by hash order over all."""
     strata = rows.select(*keys).distinct().count() or 1
-    inside = Window.partitionBy(*keys).orderBy(hash_order(seed), "id")
-    ranked = rows.withColumn("_first", F.row_number().over(inside) <= max(1, n // strata)).withColumn("_h", hash_order(seed))
-    return ranked.orderBy(F.desc("_first"), "_h", "id").limit(n).drop("_first", "_h")
+    ranked = hash_rank(rows, keys, seed).withColumn("_first", F.col("_rank") <= max(1, n // strata)).withColumn("_h", hash_order(seed))
+    return ranked.orderBy(F.desc("_first"), "_h", "id").limit(n).drop("_first", "_h", "_rank")
 
 
 def prelabel_candidates(rows: DataFrame, gold: DataFrame, position: str) -> DataFrame:
@@ -41,31 +39,36 @@ def prelabel_candidates(rows: DataFrame, gold: DataFrame, position: str) -> Data
 
 
 def chunk_packs(rows: DataFrame, size: int, order: str) -> DataFrame:
-    """Chunk numbers of ``size`` rows in ``order``, which must be dense from 0."""
-    return rows.withColumn("chunk", F.expr(f"{order} div {size}"))
+    """Chunk numbers (from 0) of ``size`` rows each in ``order``, a whole-number column that may have gaps."""
+    return number(rows, order).withColumn("chunk", F.expr(f"(_number - 1) div {size}")).drop("_number")
+
+
+def _class_sizes(rows: DataFrame, label: str) -> DataFrame:
+    return rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
 
 
 def train_eval_split(rows: DataFrame, share: float, label: str = "label", seed: int = 42) -> DataFrame:
     """Per class round(n * share) rows to eval, at least one where the class has several."""
-    by_class = Window.partitionBy(label)
-    rn, n = F.row_number().over(by_class.orderBy(hash_order(seed), "id")), F.count(F.lit(1)).over(by_class)
+    ranked, n = hash_rank(rows, [label], seed), F.col("_size")
     wanted = F.when(n > 1, F.greatest(F.lit(1), F.least(n - 1, F.bround(n * share)))).otherwise(0)
-    return rows.withColumn("part", F.when(rn <= wanted, "eval").otherwise("train"))
+    part = F.when(F.col("_rank") <= wanted, "eval").otherwise("train")
+    both = ranked.join(F.broadcast(_class_sizes(rows, label)), F.col(label).eqNullSafe(F.col("_label")))  # one row a class
+    return both.withColumn("part", part).drop("_rank", "_size", "_label")
 
 
 def reservoir(rows: DataFrame, per_group: int, keys: list[str], seed: int = 42) -> DataFrame:
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(seed), "id"))
-    return rows.withColumn("_rn", rn).where(F.col("_rn") <= per_group).drop("_rn")
+    return hash_rank(rows, keys, seed).where(F.col("_rank") <= per_group).drop("_rank")
 
 
 def proportional(rows: DataFrame, n: int, label: str = "label", seed: int = 42) -> DataFrame:
-    """Subsample of about n rows that keeps the label shares (half-even rounding)."""
-    total = rows.count()
-    if n >= total:
-        return rows
-    by = Window.partitionBy(label)
-    rn, size = F.row_number().over(by.orderBy(hash_order(seed), "id")), F.count(F.lit(1)).over(by)
-    return rows.withColumn("_take", rn <= F.bround(size * n / total)).where("_take").drop("_take")
+    """n rows that keep the label shares (half-even rounding); what rounding leaves open is filled in hash order."""
+    sizes = _class_sizes(rows, label)
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    if n <= 0 or n >= total:
+        return rows.limit(0) if n <= 0 else rows
+    both = hash_rank(rows, [label], seed).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
+    both = both.withColumn("_take", F.col("_rank") <= F.bround(F.col("_size") * n / total)).withColumn("_h", hash_order(seed))
+    return both.orderBy(F.desc("_take"), "_h", "id").limit(n).drop("_take", "_h", "_rank", "_size", "_label")
 
 
 def oversample(rows: DataFrame, factor: int) -> DataFrame:
@@ -79,7 +82,14 @@ def review_flags(rows: DataFrame, low: float = 0.6, reserved: Column | None = No
 
 
 def resolve_review(rows: DataFrame) -> DataFrame:
-    """A person's label, else the model's where no review was required; rows with a required, missing review go."""
-    human, model = F.lower(F.trim(F.coalesce("label", F.lit("")))), F.lower(F.trim(F.coalesce("label_llm", F.lit(""))))
-    chosen = F.when(human.isin("pos", "neu", "neg"), human).when(F.col("review_required"), None).when(model.isin("pos", "neu", "neg"), model)
-    return rows.withColumn("label", chosen).where("label IS NOT NULL OR NOT review_required")
+    """A person's label, else the model's where no review was required; rows with a required, missing review go.
+
+    ``label_source`` tells whose it is.  A model's label outside the classes is an error where it would be needed.
+    """
+    clean = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    required = clean("review_required").isin("1", "true", "yes")
+    human, model = clean("label"), clean("label_llm")
+    bad = F.raise_error(F.concat(F.lit("label_llm must be one of pos, neu, neg: "), F.coalesce("label_llm", F.lit("null"))))
+    source = F.when(human.isin(*LABELS), "human").when(~required, "llm")
+    label = F.when(human.isin(*LABELS), human).when(required, None).when(model.isin(*LABELS), model).otherwise(bad)
+    return rows.withColumn("label_source", source).withColumn("label", label).where("label_source IS NOT NULL")

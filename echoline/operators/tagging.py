@@ -34,22 +34,26 @@ def replay(staging: DataFrame, event: str | None = None, start=None, end=None) -
 def schedule(staging: DataFrame, speedup: float = 86_400.0, max_sleep: float = 5.0) -> DataFrame:
     """Sleep before each record and simulated microseconds since the start, without sorting everything in one task.
 
-    Rows are range-partitioned by time; within a day-bucket lag and running sum are local, and the bucket heads
-    take the last row and the total of all earlier buckets from a table with one row a bucket.
+    Records of one minute are sorted together; minutes take the last time before them and the sleep before them from a
+    table of minutes, ordered within each day, and days from a table with one row a day.
     """
     order = ["created_utc", "id"]
-    rows = staging.select("id", "created_utc").withColumn("_day", F.to_date("created_utc"))
-    within = Window.partitionBy("_day").orderBy(*order)
-    micros = F.unix_micros("created_utc")
-    days = rows.groupBy("_day").agg(F.max("created_utc").alias("_last"))
-    days = days.select("_day", F.lag("_last").over(Window.orderBy("_day")).alias("_before"))
-    rows = rows.join(F.broadcast(days), "_day").withColumn("_prev", F.coalesce(F.lag("created_utc").over(within), "_before"))
-    gap = (micros - F.unix_micros("_prev")) / 1e6
+    rows = staging.select("id", "created_utc").withColumn("_m", F.floor(F.unix_micros("created_utc") / 60_000_000)).withColumn("_d", F.floor(F.col("_m") / 1440))
+    within, in_day, over_days = Window.partitionBy("_m").orderBy(*order), Window.partitionBy("_d").orderBy("_m"), Window.orderBy("_d")
+
+    minutes = rows.groupBy("_m", "_d").agg(F.max("created_utc").alias("_last"))
+    days = minutes.groupBy("_d").agg(F.max("_last").alias("_day_last")).select("_d", F.lag("_day_last").over(over_days).alias("_day_before"))
+    minutes = minutes.withColumn("_minute_before", F.lag("_last").over(in_day)).join(days, "_d")
+    minutes = minutes.select("_m", F.coalesce("_minute_before", "_day_before").alias("_before"))
+    rows = rows.join(minutes, "_m").withColumn("_prev", F.coalesce(F.lag("created_utc").over(within), "_before"))
+    gap = (F.unix_micros("created_utc") - F.unix_micros("_prev")) / 1e6
     rows = rows.withColumn("sleep_s", F.when(F.col("_prev").isNull() | (gap <= 0), 0.0).otherwise(F.least(gap / speedup, F.lit(max_sleep))))
     rows = rows.withColumn("_us", F.round(F.col("sleep_s") * 1e6).cast("long"))
-    sums = rows.groupBy("_day").agg(F.sum("_us").alias("_sum"))
-    sums = sums.select("_day", (F.sum("_sum").over(Window.orderBy("_day")) - F.col("_sum")).alias("_offset"))
-    return rows.join(F.broadcast(sums), "_day").select(
+
+    sums = rows.groupBy("_m", "_d").agg(F.sum("_us").alias("_sum"))
+    day_sums = sums.groupBy("_d").agg(F.sum("_sum").alias("_day")).select("_d", (F.sum("_day").over(over_days) - F.col("_day")).alias("_day_offset"))
+    sums = sums.withColumn("_in_day", F.sum("_sum").over(in_day) - F.col("_sum")).join(day_sums, "_d").select("_m", (F.col("_in_day") + F.col("_day_offset")).alias("_offset"))
+    return rows.join(sums, "_m").select(
         "id", "created_utc", "sleep_s", (F.col("_offset") + F.sum("_us").over(within.rowsBetween(Window.unboundedPreceding, 0))).alias("at_us")
     )
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import PERSONAL
+from ..schemas import BACKGROUND, PERSONAL
 from . import views
 
 
@@ -29,6 +29,46 @@ def no_personal_columns(frames: dict[str, DataFrame]) -> list[tuple[str, str]]:
     return [(name, c) for name, df in frames.items() for c in df.columns if c in PERSONAL]
 
 
+# What each view declares of its rows: unique key, columns without nulls, conditions.
+_SHARES = [f"{c}_share BETWEEN 0 AND 1" for c in ("positive", "neutral", "negative")]
+_NET, _ADDS_UP = "net_sentiment BETWEEN -1 AND 1", "positive + neutral + negative = records"
+DECLARED = {
+    "v_events": (["id"], [], []),
+    "v_sentiment_daily": (["event_date", "source", "event_tag"], [], ["positive + neutral + negative <= records", _SHARES[0], _SHARES[2], _NET]),
+    "v_sentiment_by_event": (["event_tag"], ["event_tag"], ["positive + neutral + negative <= records", _SHARES[0], _NET, "first_record_utc <= last_record_utc"]),
+    "v_sentiment_by_event_source": (["event_tag", "source"], ["source"], ["records > 0", _ADDS_UP, "distinct_authors <= records", *_SHARES, _NET]),
+    "v_sentiment_by_period": (
+        ["grain", "period", "source"], ["grain", "period", "source", "records", "distinct_authors"],
+        ["grain IN ('day', 'week', 'month')", "grain <> 'week' OR dayofweek(period) = 2", "grain <> 'month' OR day(period) = 1", _ADDS_UP,
+         "distinct_authors <= records", "(records = 0) = (net_sentiment IS NULL)", *_SHARES, _NET],
+    ),
+    "v_source_coverage": (["source", "language"], [], [_ADDS_UP, _SHARES[0], "first_record_utc <= last_record_utc"]),
+    "v_source_divergence": (["event_tag"], ["high_source", "high_net", "low_source", "low_net", "gap"], ["sources >= 2", "high_source <> low_source", "gap BETWEEN 0 AND 2"]),
+    "v_event_lift": (
+        ["event_tag", "source"], ["event_tag", "source", "records", "days", "net_sentiment", "per_day"],
+        [f"event_tag <> '{BACKGROUND}'", "records > 0", "days > 0", "(baseline_records = 0) = (baseline_net_sentiment IS NULL)", _NET,
+         "baseline_net_sentiment BETWEEN -1 AND 1", "net_lift BETWEEN -2 AND 2", "volume_multiplier > 0"],
+    ),
+}
+
+
+def view_assertions(frames: dict[str, DataFrame]) -> DataFrame:
+    """(view_name, check_name, violations) of every declared check that a view's rows break, and of personal columns."""
+    found = []
+    for name, df in frames.items():
+        key, solid, conditions = DECLARED[name]
+        broken = [F.count_if(~F.coalesce(F.expr(c), F.lit(True))).alias(f"b{i}") for i, c in enumerate(conditions)]
+        holes = [F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(solid)]
+        texts = [*conditions, *[f"{c} is null" for c in solid], *[f"personal column {c}" for _, c in no_personal_columns({name: df})]]
+        named = [f"b{i}" for i in range(len(conditions))] + [f"n{i}" for i in range(len(solid))]
+        counts = [F.col(c) for c in named] + [F.lit(1).cast("long")] * (len(texts) - len(named))
+        if texts:
+            sums = df.agg(F.count(F.lit(1)).alias("all"), *broken, *holes)
+            found.append(sums.select(F.inline(F.array(*[F.struct(F.lit(name).alias("view_name"), F.lit(t).alias("check_name"), c.alias("violations")) for t, c in zip(texts, counts, strict=True)]))))
+        found.append(unique_key(df, *key).agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("view_name"), F.lit("unique " + ", ".join(key)).alias("check_name"), "violations"))
+    return reduce(DataFrame.unionByName, found).where("violations > 0")
+
+
 def records_reconcile(events: DataFrame) -> DataFrame:
     """(check_name, records, expected) of every view whose records do not add up to the events."""
     total = events.agg(F.count(F.lit(1)).alias("expected"))
@@ -52,5 +92,6 @@ def collection_quality(raw: DataFrame) -> DataFrame:
     return raw.groupBy("source").agg(
         F.count(F.lit(1)).alias("records"), (F.count(F.lit(1)) - F.countDistinct("id")).alias("duplicate_ids"),
         F.count_if(F.length("author_hash") != 16).alias("odd_hashes"), F.count_if(F.col("collected_at").isNull()).alias("no_collected_at"),
+        F.count_if(F.col("created_utc") > F.col("collected_at")).alias("future_timestamps"),
         F.avg(F.length("text")).alias("mean_length"), F.count_if(F.col("voted_up").isNotNull()).alias("with_verdict"),
     )

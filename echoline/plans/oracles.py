@@ -1,7 +1,9 @@
 """DuckDB SQL for the queries, each a statement over the driver's tables."""
 
-from ..bridge import CALENDAR, COLLECTED, LAUNCH, SALT, STRIDE
-from ..functions.text import EDGES, NEGATIVE, POSITIVE
+import re
+
+from ..bridge import CALENDAR, COLLECTED, LAUNCH, PROCESSED, SALT, STRIDE
+from ..functions.text import EDGES, NEGATIVE, POSITIVE, SCRIPTS, STOP_WORDS
 from .queries import FINGERPRINT
 
 _words = lambda ws: ", ".join(f"'{w}'" for w in ws)
@@ -63,16 +65,18 @@ _polarity = "CASE sentiment_label WHEN 'pos' THEN 1.0 WHEN 'neu' THEN 0.0 ELSE -
 _ts = lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 _date = lambda c: f"strftime({c}, '%Y-%m-%d')"
 DAILY = f"daily AS (SELECT CAST(created_utc AS DATE) AS event_date, source, event_tag, {COUNTS}, {POS}, {NEG}, {NET}, {CONF}, {AUTH} FROM ev GROUP BY ALL)"
-LIFT = f"""{DAILY}, prs AS (SELECT DISTINCT event_tag, source FROM daily WHERE event_tag <> 'general'),
-    sides AS (
-        SELECT p.event_tag, p.source, d.event_tag IS NOT DISTINCT FROM p.event_tag AS inside, CAST(sum(records) AS BIGINT) AS records,
-               count(DISTINCT event_date) AS days, (sum(positive) - sum(negative)) / sum(records) AS net, sum(records) / count(DISTINCT event_date) AS per_day
-        FROM prs p JOIN daily d ON d.source = p.source GROUP BY ALL
-    ), lift AS (
-        SELECT e.event_tag, e.source, e.records, e.days, round(e.net, 9) AS net_sentiment, round(e.per_day, 9) AS per_day,
-               coalesce(b.records, 0) AS baseline_records, coalesce(b.days, 0) AS baseline_days, round(b.net, 9) AS baseline_net_sentiment,
-               round(b.per_day, 9) AS baseline_per_day, round(e.net - b.net, 9) AS net_lift, round(e.per_day / b.per_day, 9) AS volume_multiplier
-        FROM sides e LEFT JOIN sides b ON b.event_tag = e.event_tag AND b.source = e.source AND NOT b.inside WHERE e.inside
+LIFT = f"""lift AS (
+        SELECT p.event_tag, p.source, n AS records, d AS days, round(s / n, 9) AS net_sentiment, round(n / d, 9) AS per_day, bn AS baseline_records, bd AS baseline_days,
+               round(bs / nullif(bn, 0), 9) AS baseline_net_sentiment, round(bn / nullif(bd, 0), 9) AS baseline_per_day,
+               round(s / n - bs / nullif(bn, 0), 9) AS net_lift, round((n / d) / (bn / nullif(bd, 0)), 9) AS volume_multiplier
+        FROM (
+            SELECT p.event_tag, p.source, count(*) FILTER (hit) AS n, count(DISTINCT day) FILTER (hit) AS d, sum(lean) FILTER (hit) AS s,
+                   count(*) FILTER (NOT hit) AS bn, count(DISTINCT day) FILTER (NOT hit) AS bd, coalesce(sum(lean) FILTER (NOT hit), 0) AS bs
+            FROM (SELECT DISTINCT event_tag, source FROM ev WHERE event_tag <> 'general') p,
+                 LATERAL (SELECT coalesce(e.event_tag = p.event_tag, false) AS hit, CAST(e.created_utc AS DATE) AS day,
+                                 CASE e.sentiment_label WHEN 'pos' THEN 1 WHEN 'neg' THEN -1 ELSE 0 END AS lean FROM ev e WHERE e.source = p.source)
+            GROUP BY ALL
+        ) p
     )"""
 _z = lambda e: f"coalesce({e}, 0)"
 
@@ -89,6 +93,35 @@ _f = lambda x: _z(f"2 * tp_{x} / nullif(2 * tp_{x} + fp_{x} + fn_{x}, 0)")  # no
 _macro = lambda g: f"round(({g('pos')} + {g('neu')} + {g('neg')}) / 3, 9)"
 ACC = "round(ok / n, 9) AS accuracy"
 
+_h = lambda seed: f"md5('{seed}:' || id)"
+#: Stratified pick of n rows of a relation (id, language, label): languages take turns, rest by digest.
+def _pick(name: str, of: str, n: str, seed: int = 33) -> str:
+    return f"""{name}_a AS (SELECT *, label || '|' || CASE WHEN lower(trim(language)) = 'en' THEN 'en' ELSE 'non-en' END AS st, {_h(seed)} AS h FROM {of}),
+        {name}_b AS (SELECT *, row_number() OVER (PARTITION BY st, language ORDER BY h, id) AS lr FROM {name}_a),
+        {name}_c AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY lr, language) AS turn, greatest(1, ({n}) // (SELECT count(DISTINCT st) FROM {name}_a)) AS quota FROM {name}_b),
+        {name} AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY turn <= quota DESC, h, id) AS place FROM {name}_c) WHERE place <= ({n}))"""
+
+
+_proportional = lambda of, label, n, seed: f"""(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY rn <= round_even(size * {n} / total, 0) DESC, h, id) AS place FROM (
+        SELECT *, {_h(seed)} AS h, row_number() OVER (PARTITION BY {label} ORDER BY {_h(seed)}, id) AS rn, count(*) OVER (PARTITION BY {label}) AS size, count(*) OVER () AS total FROM {of})) WHERE place <= {n})"""
+REVIEW = GOLD + """,
+    old AS (SELECT id, language, gold AS label, split FROM gold WHERE doc_id % 2 = 0 OR doc_id % 10 = 5),
+    review AS (
+        SELECT id, language, doc_id, CASE WHEN doc_id % 3 = 0 THEN (['pos', 'neu', 'neg'])[1 + doc_id % 7 % 3] END AS human, sentiment_label AS model, doc_id % 4 = 1 AS required
+        FROM ev WHERE doc_id % 2 = 1 AND id NOT IN (SELECT id FROM old)
+    ),
+    done AS (SELECT id, language, coalesce(human, model) AS label, CASE WHEN human IS NULL THEN 'llm' ELSE 'human' END AS label_source, model FROM review WHERE human IS NOT NULL OR NOT required)
+"""
+_stop = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)
+_langs = ", ".join(f"len(list_filter(w, lambda x: x IN ({_stop(v)})))" for v in STOP_WORDS.values())
+_scripts = " ".join(f"WHEN regexp_matches(head, '{re.sub(chr(92) + chr(92) + 'u(....)', lambda m: chr(int(m[1], 16)), v)}') THEN '{k}'" for k, v in SCRIPTS.items())
+DETECTED = f"""
+    heads AS (SELECT doc_id, substr(text, 1, 1000) AS head FROM records),
+    split_ AS (SELECT doc_id, head, string_split_regex(lower(head), '[^\\p{{L}}]+') AS w FROM heads),
+    lh AS (SELECT doc_id, head, [{_langs}] AS hits FROM split_),
+    detected AS (SELECT doc_id, CASE {_scripts} WHEN list_max(hits) > 0 THEN ([{", ".join(f"'{k}'" for k in STOP_WORDS)}])[list_position(hits, list_max(hits))] END AS detected FROM lh)
+"""
+
 ORACLES = {
     "v_events": f"WITH {EVENTS} SELECT id, source, {_ts('created_utc')} AS created_utc, {_date('created_utc')} AS event_date, event_tag, language, score, voted_up, sentiment_label, sentiment_score, model_version FROM ev",
     "v_sentiment_daily": f"WITH {EVENTS}, {DAILY} SELECT * REPLACE ({_date('event_date')} AS event_date) FROM daily",
@@ -121,7 +154,7 @@ ORACLES = {
     "records_reconcile": "SELECT '' AS check_name, 0::BIGINT AS records, 0::BIGINT AS expected WHERE false",
     "check_unique_key": f"WITH {RECORDS} SELECT id, count(*) AS n FROM landing GROUP BY id HAVING count(*) > 1",
     "check_row_conditions": f"WITH {EVENTS}, {LIFT} SELECT event_tag, source, records, 'records < 50' AS broken FROM lift WHERE records >= 50 UNION ALL SELECT event_tag, source, records, 'net_lift BETWEEN -2 AND 2' FROM lift WHERE net_lift NOT BETWEEN -2 AND 2",
-    "collection_quality": f"WITH {RECORDS} SELECT source, count(*) AS records, count(*) - count(DISTINCT id) AS duplicate_ids, count(*) FILTER (length(author_hash) <> 16) AS odd_hashes, count(*) FILTER (collected_at IS NULL) AS no_collected_at, round(avg(length(text)), 9) AS mean_length, count(voted_up) AS with_verdict FROM landing GROUP BY source",
+    "collection_quality": f"WITH {RECORDS} SELECT source, count(*) AS records, count(*) - count(DISTINCT id) AS duplicate_ids, count(*) FILTER (length(author_hash) <> 16) AS odd_hashes, count(*) FILTER (collected_at IS NULL) AS no_collected_at, count(*) FILTER (created_utc > collected_at) AS future_timestamps, round(avg(length(text)), 9) AS mean_length, count(voted_up) AS with_verdict FROM landing GROUP BY source",
     "staging_dedup_latest": f"WITH {RECORDS} SELECT id, {_ts('collected_at')} AS collected_at, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY collected_at DESC NULLS LAST) AS rn FROM landing) WHERE rn = 1",
     "events_promote_merge": f"""WITH {RECORDS}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY collected_at DESC NULLS LAST) AS rn FROM landing) WHERE rn = 1)
         SELECT id, score, {_ts('collected_at')} AS collected_at, CASE WHEN doc_id % 2 = 1 THEN 'inserted' WHEN doc_id % 7 = 0 THEN 'updated' ELSE 'kept' END AS merge_action FROM s""",
@@ -143,14 +176,14 @@ ORACLES = {
     "normalize_text": rf"""WITH {RECORDS}, a AS (SELECT id, regexp_replace(replace(text || ' @Alice' || chr(9) || chr(9) || 'https://x.org/a?b  me@site.com WWW.y.com ', chr(160), ' '), 'https?://\S+|www\.\S+', 'http', 'gi') AS t FROM records)
         SELECT id, md5(trim(regexp_replace(regexp_replace(t, '(^|[^A-Za-z0-9_])@[A-Za-z0-9_]+', '\1@user', 'g'), '\s+', ' ', 'g'))) AS digest FROM a""",
     "token_estimate": f"WITH {RECORDS} SELECT id, round(length(text) / 4.0::DOUBLE, 9) AS tokens FROM records",
-    "label_alias_map": f"WITH {RECORDS} SELECT id, (['neg', 'neu', 'pos', NULL])[1 + doc_id % 4] AS label FROM records",
+    "label_alias_map": f"WITH {RECORDS} SELECT id, (['neg', 'neu', 'pos', 'neg'])[1 + doc_id % 4] AS label FROM records",
     "goemotions_collapse": f"WITH {RECORDS} SELECT id, CASE WHEN doc_id % 2 = 0 THEN 'neg' WHEN doc_id % 3 <> 1 THEN 'pos' ELSE 'neu' END AS label FROM records",
     "validate_dead_letter": f"WITH {RECORDS} SELECT CASE WHEN doc_id % 11 = 0 THEN 'payload is not JSON' ELSE 'valid' END AS outcome, count(*) AS n FROM records GROUP BY 1",
     "gold_sample_sql": f"""WITH {RECORDS}, u AS (SELECT *, row_number() OVER (PARTITION BY source, coalesce(language, 'und') ORDER BY CAST('0x' || substr(md5(id), 1, 15) AS BIGINT), id) AS rn FROM records WHERE text IS NOT NULL AND length(trim(text)) >= 8)
         SELECT id, source, language FROM u WHERE rn <= greatest(1, 300 // (SELECT count(DISTINCT source || '|' || coalesce(language, 'und')) FROM u)) ORDER BY source, language, id LIMIT 300""",
     "prelabel_candidates": f"""WITH {RECORDS}, f AS (SELECT DISTINCT doc_id, id, text FROM landing WHERE trim(coalesce(text, '')) <> '' AND doc_id % 5 <> 0)
         SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM f) WHERE rn = 1""",
-    "chunk_packs": f"WITH {RECORDS} SELECT doc_id // 200 AS chunk, count(*) AS n FROM records GROUP BY 1",
+    "chunk_packs": f"WITH {RECORDS}, c AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 200 AS chunk FROM records WHERE doc_id % 3 <> 1) SELECT chunk, count(*) AS n FROM c GROUP BY 1",
     "label_counts": f"WITH {EVENTS} SELECT sentiment_label || '=' || source AS key, count(*) AS n FROM ev GROUP BY 1",
     "confusion_matrix": f"WITH {GOLD}, l(x) AS (VALUES ('pos'), ('neu'), ('neg')) SELECT a.x AS gold, b.x AS pred, count(g.id) AS n FROM l a CROSS JOIN l b LEFT JOIN gold g ON g.gold = a.x AND g.pred = b.x GROUP BY ALL",
     "classification_metrics": f"WITH {GOLD}, s AS (SELECT {SUMS} FROM gold) SELECT n, {ACC}, " + ", ".join(f"round({g(x)}, 9) AS {m}_{x}" for x in ("pos", "neu", "neg") for m, g in (("precision", _p), ("recall", _r), ("f1", _f))) + f", {_macro(_p)} AS macro_precision, {_macro(_r)} AS macro_recall, {_macro(_f)} AS macro_f1 FROM s",
@@ -166,4 +199,47 @@ ORACLES = {
         s AS (SELECT threshold, {SUMS} FROM x GROUP BY threshold) SELECT threshold, n, {ACC}, round({_f('neg')}, 9) AS f1_neg, {_macro(_f)} AS macro_f1 FROM s""",
     "review_flags": f"WITH {GOLD} SELECT id, pred = 'neg' OR p_pos < 0.6 AS review_required FROM gold",
     "oversample": f"WITH {GOLD} SELECT id, CAST(c AS INTEGER) AS copy FROM gold, range(1, 4) r(c)",
+    "view_assertions": "SELECT '' AS view_name, '' AS check_name, 0::BIGINT AS violations WHERE false",
+    "period_report": f"""WITH {EVENTS} SELECT {_date("date_trunc('week', created_utc)")} AS period, source, count(*) AS records, {NET}, 2 AS weekday, CAST(day(date_trunc('week', created_utc)) AS INTEGER) AS day
+        FROM ev GROUP BY date_trunc('week', created_utc), source HAVING count(*) >= 20""",
+    "tokens": f"WITH {EVENTS} SELECT id, md5(array_to_string(list_filter(t, lambda w: w <> ''), ' ')) AS digest FROM records JOIN tokens USING (doc_id)",
+    "fit_to_tokens": rf"""WITH {RECORDS}, n AS (SELECT id, length(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(160), ' '), 'https?://\S+|www\.\S+', 'http', 'gi'), '(^|[^A-Za-z0-9_])@[A-Za-z0-9_]+', '\1@user', 'g'), '\s+', ' ', 'g'))) AS c FROM records)
+        SELECT id, CAST(CASE WHEN c <= 960 THEN c ELSE 959 END AS INTEGER) AS kept FROM n""",
+    "corpus_label_maps": f"""WITH {RECORDS} SELECT id, (['neg', 'pos'])[1 + doc_id % 2] AS sst2, (['neg', 'neu', 'pos'])[1 + doc_id % 3] AS tweet_eval, (['neg', 'neu', 'pos'])[1 + doc_id % 3] AS sentiment140, (['pos', 'neu', 'neg'])[1 + doc_id % 3] AS clapai FROM records""",
+    "score_vectors": f"""WITH {GOLD} SELECT id, (['neg', 'neu', 'pos'])[list_position([p_neg, p_neu, p_pos], greatest(p_neg, p_neu, p_pos))] AS label,
+        round(exp(greatest(p_neg, p_neu, p_pos)) / (exp(p_neg) + exp(p_neu) + exp(p_pos)), 9) AS score FROM gold""",
+    "gold_pred_join": f"WITH {GOLD} SELECT id, gold, CASE WHEN doc_id % 3 = 0 THEN 'neu' ELSE pred END AS pred FROM gold WHERE doc_id % 4 <> 0",
+    "best_threshold": f"""WITH {GOLD}, th AS (SELECT round(0.10::DOUBLE + 0.025::DOUBLE * i, 3) AS threshold FROM range(0, 17) r(i)),
+        x AS (SELECT threshold, gold, CASE WHEN p_neg >= threshold THEN 'neg' WHEN p_pos > p_neu THEN 'pos' ELSE 'neu' END AS pred FROM gold, th),
+        s AS (SELECT threshold, {SUMS} FROM x GROUP BY threshold), m AS (SELECT threshold, {_macro(_f)} AS macro_f1 FROM s) SELECT threshold, macro_f1 FROM m ORDER BY macro_f1 DESC, threshold DESC LIMIT 1""",
+    "split_allocation": f"""WITH {GOLD}, r AS (SELECT id, language, gold AS label FROM gold), {_pick("h", "r", "60")}, rest AS (SELECT * FROM r WHERE id NOT IN (FROM h)), {_pick("d", "rest", "30")}
+        SELECT id, language, label, CASE WHEN id IN (FROM h) THEN 'holdout' WHEN id IN (FROM d) THEN 'dev' ELSE 'train' END AS split FROM r""",
+    "gold_merge": f"""WITH {REVIEW}, hu AS (SELECT * FROM done WHERE label_source = 'human'), need AS (SELECT greatest(0, 120 - count(*)) AS n FROM old WHERE split = 'holdout'),
+        {_pick("hh", "hu", "SELECT n FROM need")}, hr AS (SELECT * FROM hu WHERE id NOT IN (FROM hh)), {_pick("hd", "hr", "20")},
+        ml AS (SELECT * FROM done WHERE label_source = 'llm'), {_pick("mh", "ml", "SELECT greatest(0, n - (SELECT count(*) FROM hh)) FROM need")},
+        mr AS (SELECT * FROM ml WHERE id NOT IN (FROM mh)), {_pick("md", "mr", "SELECT greatest(0, 20 - (SELECT count(*) FROM hd))")}
+        SELECT id, language, label, 'human' AS label_source, split FROM old UNION ALL
+        SELECT id, language, label, label_source, CASE WHEN id IN (FROM hh) OR id IN (FROM mh) THEN 'holdout' WHEN id IN (FROM hd) OR id IN (FROM md) THEN 'dev' ELSE 'train' END FROM done""",
+    "prelabel_agreement": f"""WITH {REVIEW}, a AS (SELECT label, model FROM done WHERE label_source = 'human'), t AS (SELECT count(*) AS n, count(*) FILTER (label = model) / count(*) AS o FROM a),
+        e AS (SELECT sum(x.c * y.c) AS ab FROM (SELECT label AS k, count(*) AS c FROM a GROUP BY 1) x JOIN (SELECT model AS k, count(*) AS c FROM a GROUP BY 1) y USING (k))
+        SELECT n, round(o, 9) AS accuracy, round((o - ab / (n * n)) / (1 - ab / (n * n)), 9) AS kappa, (SELECT count(*) FROM review WHERE required AND human IS NULL) AS dropped_unreviewed FROM t, e""",
+    "corpus_mix": f"""WITH {GOLD} SELECT id, sentiment_label AS label, 'pool' AS source FROM {_proportional("ev", "sentiment_label", 90, 33)} WHERE trim(text) <> ''
+        UNION ALL SELECT id, gold, source FROM gold, range(2) WHERE split = 'train'""",
+    "stage2_rows": f"""WITH {GOLD} SELECT id, gold AS label, source FROM gold, range(3) WHERE split = 'train'
+        UNION ALL SELECT id, sentiment_label, 'pool' FROM {_proportional("ev", "sentiment_label", 60, 33)} WHERE trim(text) <> ''""",
+    "balanced_sample": f"WITH {EVENTS} SELECT id, language, sentiment_label AS label FROM ev QUALIFY row_number() OVER (PARTITION BY language, sentiment_label ORDER BY {_h(33)}, id) <= 4",
+    "proportional": f"WITH {GOLD} SELECT id, gold FROM {_proportional('gold', 'gold', 100, 42)}",
+    "stratified_sample": f"""WITH {RECORDS}, k AS (SELECT greatest(1, 50 // count(*)) AS q FROM (SELECT DISTINCT source, language FROM records)), r AS (
+        SELECT id, source, language, {_h(42)} AS h, row_number() OVER (PARTITION BY source, language ORDER BY {_h(42)}, id) AS rn FROM records)
+        SELECT id, source, language FROM r, k ORDER BY rn <= q DESC, h, id LIMIT 50""",
+    "stratified_split": f"""WITH {GOLD}, r AS (SELECT id, gold, row_number() OVER (PARTITION BY gold ORDER BY {_h(42)}, id) AS rn, count(*) OVER (PARTITION BY gold) AS n FROM gold)
+        SELECT id, gold, CASE WHEN n > 1 AND rn <= greatest(1, least(n - 1, round_even(n * 0.2, 0))) THEN 'eval' ELSE 'train' END AS part FROM r""",
+    "reservoir_sample": f"WITH {RECORDS} SELECT id, language, source FROM records QUALIFY row_number() OVER (PARTITION BY language, source ORDER BY {_h(42)}, id) <= 10",
+    "time_slices": f"""SELECT {_ts("s")} AS slice_start, {_ts("least(s + INTERVAL 6 HOUR, TIMESTAMP '2024-01-02 03:00:00')")} AS slice_end, c AS channel
+        FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02 02:59:59', INTERVAL 6 HOUR) g(s), (VALUES ('a'), ('b')) t(c)""",
+    "video_ids": f"WITH {RECORDS} SELECT 'v' || id AS id FROM records WHERE event_tag = 'launch' AND doc_id % 5 <> 0",
+    "completeness_gate": f"""WITH {RECORDS} SELECT count(*) AS staged, count(*) FILTER (doc_id % 13 <> 0) AS landed, count(*) FILTER (doc_id % 13 = 0) AS missing, count(*) FILTER (doc_id % 13 = 0) = 0 AS complete FROM records""",
+    "detect_language": f"WITH {RECORDS}, {DETECTED} SELECT id, detected AS language FROM records JOIN detected USING (doc_id)",
+    "stream_enrich": f"""WITH {EVENTS}, {DETECTED} SELECT id, source, parent_id, created_utc, collected_at, author_hash, detected AS language, score, context_id, event_tag, voted_up,
+        sentiment_label, sentiment_score, model_version, processed_at FROM (SELECT *, NULL::VARCHAR AS parent_id, TIMESTAMP '{PROCESSED}' AS processed_at FROM ev) JOIN detected USING (doc_id) WHERE doc_id % 11 <> 0""",
 }

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import bridge
 from ..functions import text as T
-from ..operators import evaluation, merge, sampling, tagging
+from ..operators import corpora, evaluation, gold, merge, sampling, tagging
 from ..schemas import RAW_COLUMNS
+from ..sources import collect
 from ..sources.archive import archive_path
 from ..streaming import enrichment
 from . import checks, views
@@ -63,6 +64,42 @@ def _baseline(spark, d):
     return daily.join(F.broadcast(outside), "date_utc").select("date_utc", "metascore", "records", "net_sentiment")
 
 
+def _review(spark, d):
+    """Review rows: the model's label from the stub, a person's where the document is labelled; every fourth one required."""
+    human = F.when(F.col("doc_id") % 3 == 0, F.element_at(F.array(F.lit("pos"), F.lit(" NEU "), F.lit("neg")), (F.col("doc_id") % 7 % 3 + 1).cast("int"))).otherwise("")
+    rows = bridge.events(spark, d).where("doc_id % 2 = 1")
+    return rows.select("id", "language", human.alias("label"), F.col("sentiment_label").alias("label_llm"), F.when(F.col("doc_id") % 4 == 1, "Yes").otherwise("no").alias("review_required"), F.col("doc_id").alias("position"))
+
+
+def _old_gold(spark, d):
+    rows = bridge.gold(spark, d).where("doc_id % 2 = 0 OR doc_id % 10 = 5")
+    return rows.select("id", "language", F.upper("gold").alias("label"), "split")
+
+
+def _pool(spark, d):
+    return bridge.events(spark, d).select("id", "text", F.col("sentiment_label").alias("label"), F.lit("pool").alias("source"))
+
+
+def _gold_texts(spark, d):
+    return bridge.gold(spark, d).join(bridge.records(spark, d).select("id", "text"), "id").select("id", "text", F.col("gold").alias("label"), "source", "split")
+
+
+def _kinds(spark, d):
+    rows, n = bridge.records(spark, d), F.col("doc_id")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (n % len(xs) + 1).cast("int"))
+    return rows.select("id", T.corpus_label("sst2", n % 2).alias("sst2"), T.corpus_label("tweet_eval", n % 3).alias("tweet_eval"), T.corpus_label("sentiment140", n % 3 * 2).alias("sentiment140"), T.corpus_label("clapai", pick("Positive", "neutral ", "NEGATIVE")).alias("clapai"))
+
+
+def _predictions(spark, d):
+    """Two predictions for every third row; the later one counts."""
+    rows = bridge.gold(spark, d).where("doc_id % 4 <> 0").select("id", "doc_id", "pred", F.lit(1).alias("pos"))
+    return rows.unionByName(rows.where("doc_id % 3 = 0").withColumns({"pred": F.lit("neu"), "pos": F.lit(2)})).drop("doc_id")
+
+
+def _fake():
+    return lambda texts: [[float(len(t) % 5), 1.0, 2.0] for t in texts]
+
+
 QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "time_windows": lambda s, d: tidy(views.time_windows(bridge.events(s, d), bridge.LAUNCH)),
     "event_polarity": lambda s, d: tidy(views.event_polarity(bridge.events(s, d))),
@@ -89,14 +126,14 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "stub_sentiment": lambda s, d: bridge.events(s, d).select("id", "sentiment_label", "sentiment_score"),
     "normalize_text": lambda s, d: _texts(s, d).select("id", F.md5(T.normalise(F.concat(F.col("text"), F.lit(" @Alice\t\thttps://x.org/a?b  me@site.com WWW.y.com ")))).alias("digest")),
     "token_estimate": lambda s, d: tidy(_texts(s, d).select("id", T.token_estimate(F.col("text")).alias("tokens"))),
-    "label_alias_map": lambda s, d: _texts(s, d).select("id", T.label_alias(F.concat(F.lit(" LABEL_"), (F.col("doc_id") % 4).cast("string"), F.lit(" "))).alias("label")),
+    "label_alias_map": lambda s, d: _texts(s, d).select("id", T.label_alias(F.element_at(F.array(*map(F.lit, (" LABEL_0 ", "Neutral", "POSITIVE", "neg"))), (F.col("doc_id") % 4 + 1).cast("int"))).alias("label")),
     "goemotions_collapse": lambda s, d: _texts(s, d).select("id", T.emotion_class(F.array(
-        F.element_at(F.array(F.lit("joy"), F.lit("surprise"), F.lit("love")), (F.col("doc_id") % 3 + 1).cast("int")),
-        F.element_at(F.array(F.lit("anger"), F.lit("curiosity")), (F.col("doc_id") % 2 + 1).cast("int")))).alias("label")),
+        F.element_at(F.array(F.lit("Joy"), F.lit("surprise"), F.lit("LOVE")), (F.col("doc_id") % 3 + 1).cast("int")),
+        F.element_at(F.array(F.lit("Anger"), F.lit("curiosity")), (F.col("doc_id") % 2 + 1).cast("int")))).alias("label")),
     "validate_dead_letter": lambda s, d: enrichment.parse(_messages(s, d)).groupBy(F.coalesce("error", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
     "gold_sample_sql": lambda s, d: sampling.gold_sample(bridge.records(s, d)).select("id", "source", "language"),
     "prelabel_candidates": lambda s, d: sampling.prelabel_candidates(bridge.landing(s, d), bridge.records(s, d).where("doc_id % 5 = 0"), "doc_id").select("id"),
-    "chunk_packs": lambda s, d: sampling.chunk_packs(bridge.records(s, d).select("id", "doc_id"), 200, "doc_id").groupBy("chunk").agg(F.count(F.lit(1)).alias("n")),
+    "chunk_packs": lambda s, d: sampling.chunk_packs(bridge.records(s, d).where("doc_id % 3 <> 1").select("id", "doc_id"), 200, "doc_id").groupBy("chunk").agg(F.count(F.lit(1)).alias("n")),
     "label_counts": lambda s, d: bridge.events(s, d).groupBy(F.concat_ws("=", "sentiment_label", "source").alias("key")).agg(F.count(F.lit(1)).alias("n")),
     "confusion_matrix": lambda s, d: evaluation.confusion(bridge.gold(s, d)),
     "classification_metrics": lambda s, d: tidy(evaluation.metrics(bridge.gold(s, d))),
@@ -110,4 +147,24 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "stream_enrich": lambda s, d: enrichment.enrich(enrichment.parse(_messages(s, d)), bridge.PROCESSED).drop("text"),
     "stratified_split": lambda s, d: sampling.train_eval_split(bridge.gold(s, d), 0.2, "gold").select("id", "gold", "part"),
     "reservoir_sample": lambda s, d: sampling.reservoir(bridge.records(s, d), 10, ["language", "source"]).select("id", "language", "source"),
+    "view_assertions": lambda s, d: checks.view_assertions({name: view(bridge.events(s, d)) for name, view in views.VIEWS.items()}),
+    "period_report": lambda s, d: tidy(views.period_report(bridge.events(s, d), "week")),
+    "tokens": lambda s, d: _texts(s, d).select("id", F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("digest")),
+    "fit_to_tokens": lambda s, d: _texts(s, d).select("id", F.length(T.fit_to_tokens(T.normalise(F.col("text")))).alias("kept")),
+    "corpus_label_maps": _kinds,
+    "score_vectors": lambda s, d: tidy(bridge.gold(s, d).select("id", T.from_scores(F.array("p_neg", "p_neu", "p_pos")).alias("s")).select("id", "s.label", "s.score")),
+    "gold_pred_join": lambda s, d: bridge.gold(s, d).select("id", "gold").join(evaluation.last_predictions(_predictions(s, d)).select("id", "pred"), "id"),
+    "remote_classifier_fake": lambda s, d: tidy(_texts(s, d).select("id", enrichment.pandas_classifier(_fake)(F.col("text")).alias("s")).select("id", "s.label", "s.score")),
+    "best_threshold": lambda s, d: tidy(evaluation.best_threshold(evaluation.threshold_sweep(bridge.gold(s, d)))),
+    "gold_merge": lambda s, d: gold.merge_gold(_old_gold(s, d), _review(s, d), holdout_target=120, dev_n=20),
+    "split_allocation": lambda s, d: gold.allocate_splits(bridge.gold(s, d).select("id", "language", F.col("gold").alias("label")), 60, 30),
+    "prelabel_agreement": lambda s, d: tidy(gold.prelabel_agreement(gold.resolved(_old_gold(s, d), _review(s, d))).crossJoin(gold.dropped_unreviewed(_old_gold(s, d), _review(s, d)))),
+    "corpus_mix": lambda s, d: corpora.corpus_mix({"pool": _pool(s, d)}, {"pool": 90}, _gold_texts(s, d), 2).select("id", "label", "source"),
+    "stage2_rows": lambda s, d: corpora.stage2_rows(_gold_texts(s, d), _pool(s, d), 3, 60).select("id", "label", "source"),
+    "balanced_sample": lambda s, d: corpora.balanced_sample(bridge.events(s, d).withColumnRenamed("sentiment_label", "label"), 12).select("id", "language", "label"),
+    "proportional": lambda s, d: sampling.proportional(bridge.gold(s, d), 100, "gold").select("id", "gold"),
+    "stratified_sample": lambda s, d: sampling.stratified(bridge.records(s, d), 50, ["source", "language"]).select("id", "source", "language"),
+    "time_slices": lambda s, d: tidy(collect.search_requests(s, "2024-01-01 00:00:00", "2024-01-02 03:00:00", ["a", "b"])),
+    "video_ids": lambda s, d: collect.video_ids(bridge.records(s, d).select(F.concat(F.when(F.col("doc_id") % 5 == 0, "REPLACE_").otherwise("v"), "id").alias("id"), F.array("event_tag", F.lit("reveal")).alias("event_ids")), "launch"),
+    "completeness_gate": lambda s, d: enrichment.gate(bridge.records(s, d), bridge.events(s, d).where("doc_id % 13 <> 0"), bridge.PROCESSED),
 }

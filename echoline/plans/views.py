@@ -91,22 +91,24 @@ def v_source_divergence(events: DataFrame) -> DataFrame:
 
 
 def v_event_lift(events: DataFrame) -> DataFrame:
-    """Each event's window against all other days' records of its source."""
-    daily = v_sentiment_daily(events).select("event_date", "source", "event_tag", "records", "positive", "negative")
-    pairs = daily.where(F.col("event_tag") != BACKGROUND).select("event_tag", "source").distinct()
-    met = pairs.join(daily.withColumnRenamed("event_tag", "tag"), "source")
-    sides = met.groupBy("event_tag", "source", F.col("tag").eqNullSafe(F.col("event_tag")).alias("inside")).agg(
-        F.sum("records").alias("records"), F.countDistinct("event_date").alias("days"),
-        F.try_divide(F.sum("positive") - F.sum("negative"), F.sum("records")).alias("net_sentiment"),
-        F.try_divide(F.sum("records"), F.countDistinct("event_date")).alias("per_day"),
-    )
-    event = sides.where("inside").drop("inside")
-    base = sides.where("NOT inside").drop("inside").withColumnsRenamed({c: f"baseline_{c}" for c in ("records", "days", "net_sentiment", "per_day")})
-    return event.join(base, ["event_tag", "source"], "left").select(
-        "event_tag", "source", "records", "days", "net_sentiment", "per_day",
-        F.coalesce("baseline_records", F.lit(0)).alias("baseline_records"), F.coalesce("baseline_days", F.lit(0)).alias("baseline_days"),
-        "baseline_net_sentiment", "baseline_per_day", (F.col("net_sentiment") - F.col("baseline_net_sentiment")).alias("net_lift"),
-        F.try_divide("per_day", "baseline_per_day").alias("volume_multiplier"),
+    """Each event's records against all other records of its source.
+
+    The others are the source's totals less the event's own.  Their days are the source's days less those on which
+    nothing but the event was seen.
+    """
+    facts = events.select("source", "event_tag", "sentiment_label", F.to_date("created_utc").alias("day"))
+    cells = facts.groupBy("source", "day", "event_tag").agg(S.records().alias("n"), (S.count_of("pos") - S.count_of("neg")).alias("balance"))
+    per_day = cells.groupBy("source", "day").agg(F.count(F.lit(1)).alias("tags"), F.first("event_tag").alias("only_tag"), F.sum("n").alias("n"), F.sum("balance").alias("balance"))
+    whole = per_day.groupBy("source").agg(F.sum("n").alias("all_n"), F.sum("balance").alias("all_balance"), F.count(F.lit(1)).alias("all_days"))
+    alone = per_day.where("tags = 1").groupBy("source", F.col("only_tag").alias("event_tag")).agg(F.count(F.lit(1)).alias("alone_days"))
+    own = cells.where(F.col("event_tag") != BACKGROUND).groupBy("event_tag", "source").agg(F.sum("n").alias("records"), F.sum("balance").alias("balance"), F.count(F.lit(1)).alias("days"))
+    met = own.join(whole, "source").join(alone, ["event_tag", "source"], "left")
+    rest, days = F.col("all_n") - F.col("records"), F.col("all_days") - F.coalesce("alone_days", F.lit(0))
+    net, base = F.try_divide("balance", "records"), F.try_divide(F.col("all_balance") - F.col("balance"), rest)
+    pace, usual = F.try_divide("records", "days"), F.try_divide(rest, days)
+    return met.select(
+        "event_tag", "source", "records", "days", net.alias("net_sentiment"), pace.alias("per_day"), rest.alias("baseline_records"), days.alias("baseline_days"),
+        base.alias("baseline_net_sentiment"), usual.alias("baseline_per_day"), (net - base).alias("net_lift"), F.try_divide(pace, usual).alias("volume_multiplier"),
     )
 
 
@@ -147,6 +149,12 @@ def dashboard_rollup(daily: DataFrame, *dims: str) -> DataFrame:
     )
 
 
+def period_report(events: DataFrame, grain: str, least: int = 20) -> DataFrame:
+    """What a report plots: one grain's periods with enough records, with the weekday and day of the month."""
+    rows = v_sentiment_by_period(events).where((F.col("grain") == grain) & (F.col("records") >= least))
+    return rows.select("period", "source", "records", "net_sentiment", F.dayofweek("period").alias("weekday"), F.dayofmonth("period").alias("day"))
+
+
 def register(events: DataFrame) -> None:
     for name, view in VIEWS.items():
         view(events).createOrReplaceTempView(name)

@@ -18,18 +18,34 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW).option("mode", "FAILFAST").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*.gz").json(path)
 
 
-def write_archive(raw: DataFrame, path: str, written_hour: str) -> str:
-    """Append a batch under source/event/hour; an empty batch writes nothing but still names its place."""
-    if not raw.isEmpty():
-        rows = raw.select(*RAW_COLUMNS, F.col("source").alias("_source"), F.col("event_tag").alias("_event"))
-        rows.write.mode("append").partitionBy("_source", "_event").option("ignoreNullFields", "false").json(f"{path}/{written_hour}", compression="gzip")
-    return f"{path}/{written_hour}"
+def write_archive(raw: DataFrame, path: str, written: str, batch: str) -> list[str]:
+    """Write a batch as gzipped JSON lines, a folder for each source and event under the UTC hour of writing; its places.
+
+    The layout is that of ``archive_path``, the batch's name being a folder of part files.  An empty batch writes
+    nothing but still names its place.
+    """
+    hour = written[:13].replace("-", "/").replace(" ", "/").replace("T", "/")
+    kinds = [(r[0], r[1]) for r in raw.select("source", "event_tag").distinct().collect()]  # one row for each source and event
+    places = [f"{path}/{source}/{event}/{hour}/{batch}" for source, event in kinds]
+    for (source, event), place in zip(kinds, places, strict=True):
+        rows = raw.where(F.col("source").eqNullSafe(source) & F.col("event_tag").eqNullSafe(event)).select(*RAW_COLUMNS)
+        rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(place, compression="gzip")
+    return places or [f"{path}/{hour}/{batch}"]
 
 
 def load_landing(raw: DataFrame, path: str) -> int:
     """Truncate and load; the number of rows."""
     raw.select(*RAW_COLUMNS).write.mode("overwrite").parquet(path)
-    return raw.sparkSession.read.parquet(path).count()
+    return raw.sparkSession.read.parquet(path).count()  # from the files' footers
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Gold, predictions or chunks as JSON lines with the position of each line's object in ``position``."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("position", F.monotonically_increasing_id())
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -46,11 +62,14 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True).withColumn("date_utc", F.to_date("date_utc"))
 
 
-def load_calendar(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """The lifecycle calendar; repeated ids and an empty list are errors."""
-    ids = [r["id"] for r in rows]
-    if not ids or len(set(ids)) != len(ids):
-        raise ValueError("the calendar needs events with distinct ids")
+def load_calendar(spark: SparkSession, document: dict | list[dict]) -> DataFrame:
+    """The lifecycle calendar from its parsed file ({events: [...]}) or list; a missing list and repeated ids are errors."""
+    rows = document.get("events") if isinstance(document, dict) else document
+    if not isinstance(rows, list) or not rows:
+        raise ValueError("the calendar needs a top-level list of events")
+    ids = [str(r["id"]) for r in rows]
+    if len(set(ids)) != len(ids):
+        raise ValueError("the calendar's events need distinct ids")
     keys = ("id", "name", "type", "date_utc")
     return spark.createDataFrame([tuple(str(r.get(k, "")) for k in keys) for r in rows], "id string, name string, type string, date_utc string").withColumn("date_utc", F.to_date("date_utc"))
 
@@ -69,11 +88,3 @@ def steam_records(reviews: DataFrame, appid: str, tag: str, salt: str) -> DataFr
         F.coalesce("review", F.lit("")).alias("text"), F.col("language"), F.coalesce("votes_up", F.lit(0)).cast("long").alias("score"),
         F.lit(appid).alias("context_id"), F.lit(tag).alias("event_tag"), F.coalesce("voted_up", F.lit(False)).alias("voted_up"),
     )
-
-
-def youtube_comments(pages: DataFrame) -> DataFrame:
-    """(comment_id, snippet, parent_id) of threads and their nested replies."""
-    thread = pages.select(F.explode("items").alias("i"))
-    top = thread.select(F.col("i.snippet.topLevelComment.id").alias("comment_id"), F.col("i.snippet.topLevelComment.snippet").alias("snippet"), F.lit(None).cast("string").alias("parent_id"))
-    replies = thread.select(F.col("i.snippet.topLevelComment.id").alias("parent_id"), F.explode("i.replies.comments").alias("c"))
-    return top.unionByName(replies.select(F.col("c.id").alias("comment_id"), F.col("c.snippet").alias("snippet"), "parent_id"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+import time
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STUB_VERSION, detect_language, stub_sentiment
+from ..functions.text import ALIASES, DENSE_CHARS, STUB_VERSION, WIDE_CHARS, detect_language, normalise, sound, stub_sentiment
 from ..operators.merge import coverage, merge_latest
-from ..schemas import EVENT_COLUMNS, EVENTS, MESSAGE
+from ..schemas import EVENT_COLUMNS, EVENTS
 
 Classifier = Callable[[Column], Column]
 
@@ -25,57 +30,168 @@ def load_classifier(name: str) -> tuple[Classifier, str]:
     return REGISTRY[name]
 
 
-def pandas_classifier(classify_batch: Callable[[list[str]], list[tuple[str, float]]]) -> Classifier:
-    """A classifier from a function on batches of texts; blank texts are not sent and get ('neu', 0.0)."""
-    @F.pandas_udf("label string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        bodies = texts.fillna("")
-        sent = bodies[bodies.str.strip() != ""]
-        answers = classify_batch(sent.tolist()) if len(sent) else []
-        if len(answers) != len(sent):
+def too_long(error: BaseException) -> bool:
+    """Whether a model refused an input for its length."""
+    return "expanded size of the tensor" in str(error) or "sequence length" in str(error)
+
+
+def retryable(error: BaseException) -> bool:
+    code = getattr(error, "code", None)
+    return code == 429 or isinstance(code, int) and 500 <= code < 600
+
+
+def parse_prediction(raw) -> tuple[str, float]:
+    """(label, score) of one answer: a label, {label, score}, a list of these, or three scores (neg, neu, pos).
+
+    Anything else is an error, never a neutral result.
+    """
+    if isinstance(raw, str):
+        label = ALIASES.get(raw.strip().lower())
+        if label is None:
+            raise ValueError(f"unknown label {raw!r}")
+        return label, 1.0
+    if isinstance(raw, dict):
+        name = next((raw[k] for k in ("label", "sentiment") if raw.get(k) is not None), None)
+        if name is not None:
+            score = next((raw[k] for k in ("score", "confidence", "probability") if raw.get(k) is not None), 1.0)
+            if not 0.0 <= float(score) <= 1.0:
+                raise ValueError(f"score outside 0..1: {score}")
+            return parse_prediction(str(name))[0], float(score)
+        raw = raw.get("scores")
+    if isinstance(raw, (list, tuple)) and raw:
+        if all(isinstance(x, dict) for x in raw):
+            return max((parse_prediction(x) for x in raw), key=lambda x: x[1])
+        if all(isinstance(x, (int, float)) for x in raw):
+            if len(raw) != 3:
+                raise ValueError(f"expected 3 class scores, got {len(raw)}")
+            top = max(raw)
+            share = [math.exp(x - top) for x in raw]
+            return ("neg", "neu", "pos")[list(raw).index(top)], 1.0 / sum(share)
+    raise ValueError(f"unsupported answer {raw!r}")
+
+
+def ask(predict: Callable[[list[str]], list], texts: list[str], *, attempts: int = 5, longest_wait: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> list[tuple[str, float]]:
+    """Answers in the texts' order; overload is retried with doubling waits, refused lengths with half the budget.
+
+    What does not help is raised, so the task fails and is run again.
+    """
+    from ..functions.text import CUTS, LEAST_TOKENS, MAX_CHARS, MAX_TOKENS
+
+    budget = MAX_TOKENS
+    for cut in range(CUTS):
+        sent = [shortened(t[:MAX_CHARS], budget) for t in texts]
+        try:
+            for attempt in range(attempts):
+                try:
+                    answers = predict(sent)
+                    break
+                except Exception as error:
+                    if attempt + 1 == attempts or not retryable(error):
+                        raise
+                    sleep(min(longest_wait, float(1 << attempt)))
+        except Exception as error:
+            if cut + 1 == CUTS or not too_long(error):
+                raise
+            budget = max(LEAST_TOKENS, budget / 2)
+            continue
+        if len(answers) != len(texts):
             raise ValueError("the classifier answered another number of texts")
-        out = pd.DataFrame({"label": "neu", "score": 0.0}, index=bodies.index)
-        if len(sent):
-            out.loc[sent.index, ["label", "score"]] = pd.DataFrame(answers, index=sent.index, columns=["label", "score"])
-        return out
-
-    return run
-
-
-def _field(name: str) -> Column:
-    return F.expr(f"try_variant_get(v, '$.{name}', 'string')")
-
+        return [parse_prediction(x) for x in answers]
+    raise AssertionError("unreachable")
 
-def _kind(name: str) -> Column:
-    return F.expr(f"schema_of_variant(try_variant_get(v, '$.{name}', 'variant'))")
 
+def shortened(text: str, budget: float) -> str:
+    """As ``fit_to_tokens``, for the worker's Python."""
+    wide, dense = re.compile(WIDE_CHARS), re.compile(DENSE_CHARS)
+    spent = 0.0
+    if len(wide.findall(text)) + len(dense.findall(text)) / 2 + (len(text) - len(wide.findall(text)) - len(dense.findall(text))) / 4 <= budget:
+        return text
+    for i, c in enumerate(text):
+        spent += 1.0 if wide.match(c) else 0.5 if dense.match(c) else 0.25
+        if spent >= budget:
+            return text[:i]
+    return text
 
-DATE = r"^\d{4}-\d{2}-\d{2}"
 
+def pandas_classifier(setup: Callable[[], Callable[[list[str]], list]], batch: int = 200) -> Classifier:
+    """A classifier from a remote or heavy model: ``setup`` runs once a worker and gives the function that is asked.
 
-def _time(name: str) -> Column:
-    value = _field(name)
-    return F.when((_kind(name) == "STRING") & value.rlike(DATE), F.try_to_timestamp(value))
+    Blank texts are not sent and get ('neu', 0.0); texts are normalised and sent in batches of 1 to ``batch``.
+    """
+    @F.pandas_udf("label string, score double")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        predict = setup()
+        for texts in series:
+            bodies = texts.fillna("")
+            sent = bodies[bodies.str.strip() != ""]
+            out = pd.DataFrame({"label": "neu", "score": 0.0}, index=bodies.index)
+            for at in range(0, len(sent), batch):
+                part = sent.iloc[at : at + batch]
+                out.loc[part.index, ["label", "score"]] = pd.DataFrame(ask(predict, part.tolist()), index=part.index, columns=["label", "score"])
+            yield out
+
+    return lambda text: run(normalise(text))
+
+
+#: Fields of a message; a value of any type is taken as it comes and judged by its kind.
+FIELDS = ("id", "source", "parent_id", "created_utc", "collected_at", "author_hash", "text", "language", "score", "context_id", "event_tag", "voted_up")
+STRINGS = ("id", "source", "parent_id", "author_hash", "text", "language", "context_id", "event_tag")
+#: What an ISO timestamp may look like: dashed, basic, or by weeks, with an optional time and offset.
+DAY, CLOCK = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-?W\d{2}(?:-?[1-7])?)", r"(\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d{1,9})?)?)?)"
+ISO = rf"^{DAY}(?:[T ]{CLOCK}(Z|[+-]\d{{2}}(?::?\d{{2}})?)?)?$"
+
+
+def iso_time(text: Column) -> Column:
+    """The timestamp of an ISO 8601 string (naive ones are UTC); null for anything else."""
+    part = lambda i: F.regexp_extract(text, ISO, i)
+    day = F.translate(part(1), "-", "")
+    week = F.concat_ws("-", F.substring(day, 1, 4), F.lit("01"), F.lit("04"))  # the fourth of January is in the first week
+    monday = F.date_add(F.trunc(F.try_to_date(week), "WEEK"), (F.try_element_at(F.split(day, "W"), F.lit(2)).substr(1, 2).cast("int") - 1) * 7)
+    weekday = F.coalesce(F.nullif(F.substring(day, 8, 1), F.lit("")).cast("int"), F.lit(1))
+    date = F.when(day.contains("W"), F.date_format(F.date_add(monday, weekday - 1), "yyyy-MM-dd")).otherwise(F.concat_ws("-", F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2)))
+    clock = F.translate(F.translate(part(2), ":", ""), ",", ".")
+    time_ = F.concat_ws(":", F.substring(F.rpad(F.substring(clock, 1, 6), 6, "0"), 1, 2), F.substring(F.rpad(F.substring(clock, 1, 6), 6, "0"), 3, 2), F.substring(F.rpad(F.substring(clock, 1, 6), 6, "0"), 5, 2))
+    zone = F.translate(part(3), ":", "")
+    offset = F.when((zone == "") | (zone == "Z"), "+00:00").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.rpad(F.substring(zone, 4, 2), 2, "0")))
+    return F.when(text.rlike(ISO), F.try_to_timestamp(F.concat(date, F.lit(" "), time_, F.substring(clock, 7, 10), offset)))
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Add to (data, attributes) the raw fields and ``error``, null where the message is valid."""
-    body = F.try_validate_utf8(F.col("data").cast("string"))
-    parsed = messages.withColumn("_text", body).withColumn("v", F.try_parse_json("_text"))
-    number = F.when(_kind("score") == "BOOLEAN", None).otherwise(F.expr("try_variant_get(v, '$.score', 'bigint')"))
-    fields = {c: _field(c) for c in ("id", "source", "parent_id", "author_hash", "text", "language", "context_id", "event_tag")}
-    fields |= {"created_utc": _time("created_utc"), "collected_at": _time("collected_at"), "score": number, "voted_up": F.expr("try_variant_get(v, '$.voted_up', 'boolean')")}
-    late = F.coalesce(_field("collected_at"), F.lit(""))
+    """Add to (data, attributes) the raw fields and ``error``, null where the message is valid.
+
+    The JSON is read once into a struct of variants; each step names what the next one uses, so nothing is read twice.
+    """
+    shape = ", ".join(f"{c}: variant" for c in FIELDS)
+    step = messages.withColumn("_body", F.try_validate_utf8(F.col("data").cast("string"))).withColumn("_v", F.try_parse_json("_body"))
+    step = step.withColumn("_r", F.expr(f"try_variant_get(_v, '$', 'struct<{shape}>')"))
+    kind = lambda c: F.expr(f"schema_of_variant(_r.{c})")
+    as_text = lambda c: F.expr(f"try_variant_get(_r.{c}, '$', 'string')")
+    step = step.select(
+        "data", "attributes", "_body", F.col("_v").isNotNull().alias("_json"), F.col("_r").isNotNull().alias("_object"),
+        *[as_text(c).alias(f"_{c}") for c in FIELDS], *[kind(c).alias(f"_k_{c}") for c in ("created_utc", "collected_at", "score", "voted_up", *STRINGS)],
+        F.expr("try_variant_get(_r.score, '$', 'bigint')").alias("_number"), F.expr("try_variant_get(_r.voted_up, '$', 'double')").alias("_vote"),
+    )
+    is_text = lambda c: F.col(f"_k_{c}") == "STRING"
+    step = step.withColumns({"_created": F.when(is_text("created_utc"), iso_time(F.col("_created_utc"))), "_collected": F.when(is_text("collected_at"), iso_time(F.col("_collected_at")))})
     error = (
-        F.when(F.col("_text").isNull(), "payload is not UTF-8")
-        .when(F.col("v").isNull(), "payload is not JSON")
-        .when(~F.expr("schema_of_variant(v)").startswith("OBJECT"), "payload is not an object")
-        .when(F.coalesce(fields["id"], F.lit("")) == "", "id is missing")
-        .when(F.coalesce(_field("created_utc"), F.lit("")) == "", "created_utc is missing")
-        .when(fields["created_utc"].isNull(), "created_utc is not a timestamp")
-        .when((late != "") & fields["collected_at"].isNull(), "collected_at is not a timestamp")
+        F.when(F.col("_body").isNull(), "payload is not UTF-8")
+        .when(~F.col("_json"), "payload is not JSON")
+        .when(~F.col("_object"), "payload is not an object")
+        .when(F.coalesce("_id", F.lit("")) == "", "id is missing")
+        .when(F.coalesce("_created_utc", F.lit("")) == "", "created_utc is missing")
+        .when(F.col("_created").isNull(), "created_utc is not a timestamp")
+        .when(is_text("collected_at") & (F.col("_collected_at") != "") & F.col("_collected").isNull(), "collected_at is not a timestamp")
     )
-    return parsed.select("data", "attributes", error.alias("error"), *[v.alias(k) for k, v in fields.items()])
+    # truth as the contract has it: any non-empty text, number but zero, list or object with something in it
+    vote = F.when(F.col("_k_voted_up") == "BOOLEAN", F.col("_voted_up") == "true").when(F.col("_k_voted_up") == "STRING", F.col("_voted_up") != "")
+    vote = vote.when(F.col("_k_voted_up").isin("VOID"), None).when(F.col("_k_voted_up").startswith("ARRAY") | F.col("_k_voted_up").startswith("OBJECT"), ~F.col("_voted_up").isin("[]", "{}"))
+    vote = F.when(F.col("_voted_up").isNull(), None).otherwise(vote.otherwise(F.col("_vote") != 0))
+    text = lambda c: F.when(F.col(f"_k_{c}") == "BOOLEAN", F.initcap(f"_{c}")).otherwise(F.col(f"_{c}")).alias(c)
+    given = {
+        "created_utc": F.col("_created"), "collected_at": F.col("_collected"), "voted_up": vote,
+        "score": F.when(F.col("_k_score") != "BOOLEAN", F.col("_number")),
+    }
+    return step.select("data", "attributes", error.alias("error"), *[text(c) for c in STRINGS], *[v.alias(k) for k, v in given.items()])
 
 
 def dead_letters(parsed: DataFrame, at: str) -> DataFrame:
@@ -88,7 +204,7 @@ def dead_letters(parsed: DataFrame, at: str) -> DataFrame:
 def enrich(parsed: DataFrame, processed_at: str, classifier: str = "stub") -> DataFrame:
     """Valid rows with the events table's columns; the detected language replaces the declared one."""
     classify, version = load_classifier(classifier)
-    rows = parsed.where("error IS NULL").withColumn("_s", classify(F.col("text")))
+    rows = parsed.where("error IS NULL").withColumn("_s", classify(F.col("text"))).withColumn("_s", sound(F.col("_s")))
     return rows.select(
         *[F.col(c) for c in EVENT_COLUMNS[:7]], detect_language(F.col("text")).alias("language"), *[F.col(c) for c in EVENT_COLUMNS[8:12]],
         F.col("_s.label").alias("sentiment_label"), F.col("_s.score").alias("sentiment_score"), F.lit(version).alias("model_version"),
@@ -96,8 +212,46 @@ def enrich(parsed: DataFrame, processed_at: str, classifier: str = "stub") -> Da
     )
 
 
+#: Columns that the table requires, and the widest text that it takes.
+REQUIRED, WIDEST = ("id", "source", "created_utc"), 10 << 20
+
+
+def refused(rows: DataFrame) -> Column:
+    """Why the table would refuse a row; null where it takes it."""
+    holes = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED])
+    years = F.year("created_utc")
+    return F.when(holes != "", F.concat(F.lit("required and null: "), holes)).when((years < 1) | (years > 9999), "created_utc out of range").when(F.octet_length("text") > WIDEST, "text too wide")
+
+
+def rejected_rows(rows: DataFrame, at: str) -> DataFrame:
+    """Rows that the table refuses, as dead letters: the row as JSON, with the reason."""
+    body = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    extra = F.create_map(F.lit("dlq_error"), F.substring(F.concat(F.lit("rejected by the table: "), refused(rows)), 1, 1024), F.lit("dlq_at"), F.lit(at))
+    return rows.where(refused(rows).isNotNull()).select(F.encode(body, "UTF-8").alias("data"), extra.alias("attributes"))
+
+
+def create_table(spark: SparkSession, path: str) -> None:
+    """An empty events table; appending never creates one."""
+    spark.createDataFrame([], EVENTS).write.mode("errorifexists").parquet(path)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Append to a table that exists and has the rows' names and types."""
+    try:
+        there = rows.sparkSession.read.parquet(path).schema
+    except AnalysisException as error:
+        raise RuntimeError(f"{path} is no table; create it first") from error
+    own = [(f.name, f.dataType.simpleString()) for f in rows.schema]
+    if own != [(f.name, f.dataType.simpleString()) for f in there]:
+        raise RuntimeError(f"{path} has other columns than the rows")
+    rows.write.mode("append").parquet(path)
+
+
 def run_stream(spark: SparkSession, inbox: str, landing: str, dlq: str, checkpoint: str, processed_at: str, classifier: str = "stub") -> None:
-    """Drain a folder of JSON messages (data as base64) into landing and dead letters; at least once, per micro-batch."""
+    """Drain a folder of JSON messages (data as base64) into landing and dead letters; at least once, per micro-batch.
+
+    The landing table must exist.  Payloads that do not parse and rows that the table refuses become dead letters.
+    """
     load_classifier(classifier)
     source = spark.readStream.schema("data string, attributes map<string,string>").json(inbox)
     source = source.select(F.unbase64("data").alias("data"), "attributes")
@@ -105,8 +259,9 @@ def run_stream(spark: SparkSession, inbox: str, landing: str, dlq: str, checkpoi
     def write(batch: DataFrame, number: int) -> None:
         parsed = parse(batch).persist()
         try:
-            enrich(parsed, processed_at, classifier).write.mode("append").parquet(landing)
-            dead_letters(parsed, processed_at).write.mode("append").parquet(dlq)
+            rows = enrich(parsed, processed_at, classifier)
+            append(rows.where(refused(rows).isNull()), landing)
+            dead_letters(parsed, processed_at).unionByName(rejected_rows(rows, processed_at)).write.mode("append").parquet(dlq)
         finally:
             parsed.unpersist()
 
@@ -122,12 +277,40 @@ def daily_sentiment(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("created_utc", late).groupBy(F.window("created_utc", "1 day").alias("day"), "source", "sentiment_label").agg(F.count(F.lit(1)).alias("records"))
 
 
-def promote(events: DataFrame, landing: DataFrame, staging: DataFrame) -> DataFrame:
+def gate(staging: DataFrame, landing: DataFrame, run_start: str, event: str | None = None, before: int | None = None) -> DataFrame:
+    """One row (staged, landed, missing, complete): whether all staged ids have landed since the run began.
+
+    A run for one event counts only that event's ids; where what it published is not known (``before``, the count some
+    minutes ago), it is complete when the count is above zero and no longer changes.
+    """
+    since = landing.where(F.col("processed_at") >= F.lit(run_start).cast("timestamp"))
+    if event is not None:
+        staging, since = staging.where(F.col("event_tag") == event), since.where(F.col("event_tag") == event)
+    row = coverage(staging, since)
+    done = (F.col("landed") > 0) & (F.col("landed") == before) if before is not None else F.col("missing_exact") == 0
+    return row.select("staged", "landed", F.col("missing_exact").alias("missing"), done.alias("complete"))
+
+
+def alerts(messages: DataFrame, dead: DataFrame, now: str, started: str, failed: bool = False, longest_s: int = 5400, backlog_s: int = 600) -> DataFrame:
+    """(alert, value) of what needs a person: a failed or too long run, old unread messages, any dead letter."""
+    at = F.lit(now).cast("timestamp")
+    age = lambda c: F.unix_seconds(at) - F.unix_seconds(c)
+    oldest = messages.agg(F.coalesce(F.max(age(F.try_to_timestamp(F.col("attributes")["created_utc"]))), F.lit(0)).alias("value"))
+    letters = dead.agg(F.count(F.lit(1)).alias("value"))
+    run = messages.sparkSession.range(1).select(F.lit(1 if failed else 0).cast("long").alias("failed"), age(F.lit(started).cast("timestamp")).alias("took"))
+    rows = [
+        run.select(F.lit("job failed").alias("alert"), F.col("failed").alias("value"), F.lit(0).alias("bound")),
+        run.select(F.lit("run too long").alias("alert"), F.col("took").alias("value"), F.lit(longest_s).alias("bound")),
+        oldest.select(F.lit("backlog too old").alias("alert"), "value", F.lit(backlog_s).alias("bound")),
+        letters.select(F.lit("dead letters").alias("alert"), "value", F.lit(0).alias("bound")),
+    ]
+    return reduce(DataFrame.unionByName, rows).where("value > bound").select("alert", F.col("value").cast("long").alias("value"))
+
+
+def promote(events: DataFrame, landing: DataFrame, staging: DataFrame, run_start: str | None = None) -> DataFrame:
     """The events table after the merge; refuses while staged records are missing from the landing table."""
-    missing = coverage(staging, landing).first()["missing_exact"]
+    since = landing if run_start is None else landing.where(F.col("processed_at") >= F.lit(run_start).cast("timestamp"))
+    missing = coverage(staging, since).first()["missing_exact"]
     if missing:
         raise RuntimeError(f"{missing} staged records have not landed")
     return merge_latest(events, landing, "processed_at")
-
-
-__all__ = ["EVENTS", "MESSAGE", "daily_sentiment", "dead_letters", "enrich", "load_classifier", "parse", "promote", "run_stream"]

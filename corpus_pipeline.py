@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes every stage's rows as Parquet into the
 shared folder and reads them back as the next one's ``docs``.
+
+All stages but the last return the columns of ``documents`` and pass any others through.  Rows with null id stay in every
+stage (they rank last where one of several stays); null and empty texts are rejected by the first stage as unreadable;
+texts of any length are taken whole; of rows that repeat id and text one stays from the near-dedup stage on, and the mix
+may repeat it; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -13,12 +18,12 @@ from echoline.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents whose language is not identified go."""
+    """Operator 4: documents whose language is not identified go; each row is judged by its own text and marks."""
     return language.keep_identified(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each class of near-equal lines the first occurrence stays."""
+    """Operator 1: of each class of near-equal lines the first occurrence stays; short lines stay, emptied texts go."""
     return lines.drop_repeated_lines(docs)
 
 

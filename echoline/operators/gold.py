@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import LABELS
 from .evaluation import cohen_kappa
-from .ranks import hash_order, hash_rank
+from .ranks import hash_order
 from .sampling import resolve_review
 
 SPLITS = ("train", "dev", "holdout")
@@ -22,33 +22,53 @@ def stratum(label: str = "label") -> Column:
     return F.concat(_clean(F.col(label)), F.lit("|"), F.when(_clean(F.col("language")) == "en", "en").otherwise("non-en"))
 
 
+def _first_of_language(rows: DataFrame, n: int, label: str, seed: int) -> DataFrame:
+    """The first n rows in hash order of each stratum and language: all that can be among n picked ones.
+
+    A literal bound on the row number lets each task drop the others before the exchange, so what follows sorts at most n
+    rows a stratum and language.
+    """
+    held = rows.withColumns({"_stratum": stratum(label), "_lang": F.coalesce(F.nullif("language", F.lit("")), F.lit("und")), "_h": hash_order(seed)})
+    place = F.row_number().over(Window.partitionBy("_stratum", "_lang").orderBy("_h", "id"))
+    return held.withColumn("_rank", place).where(F.col("_rank") <= n)
+
+
+def _picked(held: DataFrame, n: int, name: str, among: Column) -> DataFrame:
+    """Add whether a row is one of the n picked among the rows of ``_first_of_language`` that ``among`` holds for."""
+    part = held.withColumn("_among", among)
+    strata = F.size(F.collect_set("_stratum").over(Window.partitionBy("_among")))
+    rank = F.row_number().over(Window.partitionBy("_among", "_stratum", "_lang").orderBy("_h", "id"))
+    part = part.withColumns({"_quota": F.greatest(F.lit(1), F.floor(F.lit(n) / strata)), "_rank": rank})
+    turn = F.row_number().over(Window.partitionBy("_among", "_stratum").orderBy("_rank", "_lang"))
+    part = part.withColumn("_later", turn > F.col("_quota"))
+    seat = F.row_number().over(Window.partitionBy("_among").orderBy("_later", "_h", "id"))
+    return part.withColumn(name, F.col("_among") & (seat <= n)).drop("_among", "_quota", "_later")
+
+
 def pick_stratified(rows: DataFrame, n: int, label: str = "label", seed: int = 33) -> DataFrame:
     """n of the rows: of each label and English/other stratum max(1, n div strata), its languages taking turns.
 
-    What is short is filled, and what is over dropped, in hash order.  Only rows that can be among the first of their
-    language are ordered within a stratum, some n of them.
+    What is short is filled, and what is over dropped, in hash order.
     """
     if n <= 0:
         return rows.limit(0)
-    held = rows.withColumn("_stratum", stratum(label)).withColumn("_lang", F.coalesce(F.nullif("language", F.lit("")), F.lit("und")))
-    strata = held.select("_stratum").distinct().count() or 1
-    quota = max(1, n // strata)
-    ranked = hash_rank(held, ["_stratum", "_lang"], seed)
-    turn = F.row_number().over(Window.partitionBy("_stratum").orderBy("_rank", "_lang"))
-    first = ranked.where(F.col("_rank") <= quota).withColumn("_turn", turn).where(F.col("_turn") <= quota).select(F.col("id").alias("_id"))
-    both = ranked.join(first.withColumn("_first", F.lit(True)), F.col("id").eqNullSafe(F.col("_id")), "left")
-    order = both.withColumn("_h", hash_order(seed)).orderBy(F.coalesce("_first", F.lit(False)).desc(), "_h", "id")
-    return order.limit(n).select(*rows.columns)
+    held = _picked(_first_of_language(rows, n, label, seed), n, "_picked", F.lit(True))
+    return held.where("_picked").select(*rows.columns)
 
 
 def allocate_splits(rows: DataFrame, holdout_n: int, dev_n: int, label: str = "label", seed: int = 33) -> DataFrame:
-    """Add ``split``: holdout seats first, dev seats from the rest, both stratified; everything else is train."""
-    holdout = pick_stratified(rows, holdout_n, label, seed).select("id").withColumn("_holdout", F.lit(True))
-    rest = rows.join(holdout, "id", "left_anti").select(*rows.columns)
-    dev = pick_stratified(rest, dev_n, label, seed).select("id").withColumn("_dev", F.lit(True))
-    seated = rows.drop("split").join(F.broadcast(holdout), "id", "left").join(F.broadcast(dev), "id", "left")  # the seats asked for
-    split = F.when(F.col("_holdout"), "holdout").when(F.col("_dev"), "dev").otherwise("train")
-    return seated.withColumn("split", split).drop("_holdout", "_dev")
+    """Add ``split``: holdout seats first, dev seats from the rest, both stratified; everything else is train.
+
+    Rows of one id share a split; null ids are train.
+    """
+    holdout_n, dev_n = max(0, holdout_n), max(0, dev_n)
+    if holdout_n + dev_n == 0:
+        return rows.drop("split").withColumn("split", F.lit("train"))
+    first = _first_of_language(rows, holdout_n + dev_n, label, seed)
+    both = _picked(_picked(first, holdout_n, "_holdout", F.lit(True)), dev_n, "_dev", ~F.col("_holdout"))
+    seats = both.where("_holdout OR _dev").groupBy("id").agg(F.max(F.when(F.col("_holdout"), "holdout").otherwise("dev")).alias("_seat"))
+    seated = rows.drop("split").join(F.broadcast(seats), "id", "left")  # no more than the seats asked for
+    return seated.withColumn("split", F.coalesce("_seat", F.lit("train"))).drop("_seat")
 
 
 def existing_gold(rows: DataFrame) -> DataFrame:
@@ -92,8 +112,10 @@ def merge_gold(existing: DataFrame, review: DataFrame, *, holdout_target: int, d
     columns = ["id", "language", "label", "label_source", "split"]
     old, new = existing_gold(existing), resolved(existing, review, position)
     needed = max(0, holdout_target - old.where("split = 'holdout'").count())
-    human = allocate_splits(new.where("label_source = 'human'"), needed, dev_n, seed=seed)
-    seats = {r.split: r["count"] for r in human.groupBy("split").count().collect()}  # three rows
-    model = allocate_splits(new.where("label_source = 'llm'"), max(0, needed - seats.get("holdout", 0)), max(0, dev_n - seats.get("dev", 0)), seed=seed)
+    by_person, by_model = new.where("label_source = 'human'"), new.where("label_source = 'llm'")
+    people = by_person.count()  # seats go to them as long as there are any
+    human = allocate_splits(by_person, needed, dev_n, seed=seed)
+    held = min(needed, people)
+    model = allocate_splits(by_model, needed - held, max(0, dev_n - (people - held)), seed=seed)
     whole = old.select(*columns).unionByName(human.select(*columns)).unionByName(model.select(*columns))
     return whole.where("NOT (split = 'train' AND label_source = 'llm')") if human_only else whole

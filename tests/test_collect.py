@@ -125,6 +125,31 @@ def test_gold_cases(spark):
     assert gold.pick_stratified(rows, 500).count() == 100 and gold.pick_stratified(rows, 0).count() == 0
 
 
+def test_seats_by_plain_rules(spark):
+    from hashlib import md5
+
+    def pick(rows, n, seed=33):
+        quota, groups = max(1, n // len({g for _, _, g in rows} or {0})), {}
+        order = lambda r: (md5(f"{seed}:{r[0]}".encode()).hexdigest(), r[0])
+        for r in sorted(rows, key=order):
+            groups.setdefault(r[2], {}).setdefault(r[1], []).append(r)
+        early = [r for langs in groups.values() for r in sorted(((k, lang, x) for lang, xs in langs.items() for k, x in enumerate(xs)), key=lambda t: t[:2])[:quota]]
+        early = {x[0] for _, _, x in early}
+        return {r[0] for r in sorted(rows, key=lambda r: (r[0] not in early, order(r)))[:n]}
+
+    made = [(f"r{i}", ["en", "en", "en", "fr", "de", "", None][i % 7], ["pos", "neg", "neu"][i * i % 5 % 3]) for i in range(90)]
+    df = spark.createDataFrame(made, "id string, language string, label string")
+    plain = [(i, lang or "und", f"{label}|{'en' if lang == 'en' else 'non-en'}") for i, lang, label in made]
+    for holdout_n, dev_n in [(20, 7), (0, 5), (5, 0), (80, 40), (0, 0)]:
+        holdout = pick(plain, holdout_n)
+        dev = pick([r for r in plain if r[0] not in holdout], dev_n)
+        want = {i: "holdout" if i in holdout else "dev" if i in dev else "train" for i, _, _ in plain}
+        assert {r.id: r.split for r in gold.allocate_splits(df, holdout_n, dev_n).collect()} == want
+    again = gold.allocate_splits(df.unionByName(df.limit(10)), 20, 7).groupBy("id").agg(F.count_distinct("split").alias("k"), F.count("*").alias("n"))
+    assert again.where("k > 1").count() == 0 and again.agg(F.sum("n")).first()[0] == 100
+    assert gold.allocate_splits(df.limit(0), 3, 2).count() == 0
+
+
 def test_corpora(spark):
     rows = spark.createDataFrame([("1", "Good  @Bob", "1", "Train"), ("2", " ", "0", "train"), ("3", "x", "7", "dev")], "id string, text string, label string, split string")
     assert [(r.text, r.label, r.source) for r in corpora.mapped(rows.where("id < 3"), "sst2").collect()] == [("Good @user", "pos", "sst2")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, media, minhash, mixing, packing, sharding, substrings, topk, warc
+from . import importance, language, lexical, lines, media, minhash, mixing, packing, sharding, substrings, topk, warc
 from .common import materialize, table
 
 #: Bytes of text in a shard of op8.
@@ -80,6 +80,14 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.passage_spans(table(spark, sf_dir, "documents")).drop("t")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of raw pages: models from labelled documents; evidence from the html element, the address and its host."""
     fields = language.page_fields(table(spark, sf_dir, "pages"))
@@ -102,6 +110,8 @@ QUERIES = {
     "op10_line_units": op10_line_units,
     "op10_paragraph_units": op10_paragraph_units,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_importance_resampling": op12_importance_resampling,
     "pages_language_id": pages_language_id,
 }
 
@@ -182,4 +192,57 @@ ORACLES = {
     "op10_substring_dedup": _units_sql(r"\n+|[.!?]\s+", r"\s+$", 8),
     "op10_line_units": _units_sql(r"\n+", r"\n+$", 1),
     "op10_paragraph_units": _units_sql(r"\n[ \t]*\n\s*", r"\n[ \t]*\n\s*$", 1),
+    "op11_lexical_search": r"""
+        WITH cut AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), posting AS (SELECT doc_id, term, count(*) AS tf FROM cut GROUP BY 1, 2),
+        long AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM posting GROUP BY 1),
+        whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM long),
+        freq AS (SELECT term, count(*) AS df FROM posting GROUP BY 1),
+        asked AS (
+            SELECT item_id, term, count(*) AS q FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2
+        ), scored AS (
+            SELECT item_id, p.doc_id, CAST(sum(q * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+                * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words))))) AS BIGINT) AS score
+            FROM asked JOIN posting p USING (term) JOIN freq USING (term) JOIN long USING (doc_id) CROSS JOIN whole GROUP BY 1, 2
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+    "op12_importance_resampling": r"""
+        WITH byte_table AS (
+            SELECT list_transform(range(0, 256), lambda c: list_reduce(range(0, 8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, c)) AS x
+        ), doc_words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+        ), target_words AS (
+            SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+        ), words AS (SELECT DISTINCT w FROM (SELECT w FROM doc_words UNION ALL SELECT w FROM target_words)),
+        bytes AS (
+            SELECT w, list_transform(range(0, octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM words
+        ), hashed AS (
+            SELECT w, xor(list_reduce(b, lambda a, v: xor(x[CAST(xor(a, v) & 255 AS BIGINT) + 1], a >> 8), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, byte_table
+        ), of_docs AS (SELECT bucket, count(*) AS s FROM doc_words JOIN hashed USING (w) GROUP BY 1),
+        of_target AS (SELECT bucket, count(*) AS t FROM target_words JOIN hashed USING (w) GROUP BY 1),
+        totals AS (SELECT (SELECT count(*) FROM doc_words) AS all_s, (SELECT count(*) FROM target_words) AS all_t),
+        gain AS (
+            SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (all_s + 10000) AS DOUBLE) / CAST((s + 1) * (all_t + 10000) AS DOUBLE))) AS BIGINT) AS g
+            FROM of_docs LEFT JOIN of_target USING (bucket) CROSS JOIN totals
+        ), weighed AS (
+            SELECT doc_id, count(*) AS n_features, CAST(sum(g) AS BIGINT) AS total FROM doc_words JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY 1
+        ), scored AS (
+            SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(CAST(total AS DOUBLE) / n_features), 0) AS BIGINT) AS weight,
+                   CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+            FROM documents LEFT JOIN weighed USING (doc_id)
+        ), ranked AS (
+            SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r FROM scored WHERE n_features >= 20
+        )
+        SELECT s.doc_id, s.n_features, s.weight, s.weight + s.noise AS score,
+               CASE WHEN r <= (SELECT 10 * count(*) // 100 FROM ranked) THEN r END AS rank
+        FROM scored s LEFT JOIN ranked USING (doc_id)
+    """,
 }

@@ -5,9 +5,9 @@
    split by adaptive execution.  One entry per document under no term carries its length, for N and L.
 2. Document frequencies give weights, and for each term the most that a posting of it adds to a score.
 3. Items join their rarest terms; documents that lead there are scored in full.  The k-th of these scores is a score that
-   at least k documents reach.  Terms that together add less than it can't make a document rank by themselves: only the
-   postings of the others are joined, summed per item and document, and a document whose sum cannot reach the k-th score even
-   with all that the left-out terms could add goes.  The bounds are whole numbers that no score exceeds, so this loses nothing.
+   at least k documents reach.  Frequent terms that together add less than half of it are left out: only the postings of the
+   others are joined, summed per item and document, and a document whose sum cannot reach the k-th score even with all that
+   the left-out terms could add goes.  The bounds are whole numbers that no score exceeds, so this loses nothing.
 4. The rest are scored in full: their postings join the item's terms, scores are summed by item and document, and
    ``row_number`` over the item takes the first k.
 
@@ -35,8 +35,11 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TO_LOWER = str.maketrans(UPPER, UPPER.lower())
 
-#: Buckets of terms, postings of an item's rarest terms that are looked at first, term bytes that may be broadcast.
-BUCKETS, FIRST, TERM_BYTES = 256, 2000, 16 << 20
+#: Buckets of terms, postings of an item's rarest terms that lead to the first documents, term bytes that may be broadcast.
+BUCKETS, FIRST, TERM_BYTES = 256, 20_000, 16 << 20
+
+#: Terms are left out while together they add less than the k-th score over this: more leave fewer documents to score in full.
+SHARE = 2
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,7 +128,7 @@ def search(
     lead = scratch.keep(first(sums(each.where(F.col("seen") < FIRST), postings), 5 * k).select("item", "row"))
     bar = scratch.keep(first(whole(lead), k).where(F.col("rank") == k).select("item", F.col("score").alias("bar")))
     judged = each.join(bounded(bar), "item", "left").withColumn("bar", F.coalesce("bar", F.lit(1).cast("long")))
-    judged = scratch.keep(judged.withColumn("needed", F.col("left") >= F.col("bar")))
+    judged = scratch.keep(judged.withColumn("needed", F.col("left") * SHARE >= F.col("bar")))
     rest = judged.groupBy("item").agg(F.coalesce(F.max(F.when(~F.col("needed"), F.col("left"))), F.lit(0)).alias("rest"), F.max("bar").alias("bar"))
     reach = sums(judged.where("needed"), postings).join(bounded(scratch.keep(rest)), "item").where(F.col("score") + F.col("rest") >= F.col("bar"))
     likely = scratch.keep(reach.select("item", "row"))

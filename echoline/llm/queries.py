@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, language, lexical, lines, media, minhash, mixing, packing, sharding, substrings, topk, warc
+from . import html_text, importance, language, lexical, lines, media, minhash, mixing, packing, sharding, substrings, topk, warc
 from .common import materialize, table
 
 #: Bytes of text in a shard of op8.
@@ -88,6 +88,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).drop("template_subtrees")
+
+
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of raw pages: models from labelled documents; evidence from the html element, the address and its host."""
     fields = language.page_fields(table(spark, sf_dir, "pages"))
@@ -112,6 +116,7 @@ QUERIES = {
     "op10_passage_dedup": op10_passage_dedup,
     "op11_lexical_search": op11_lexical_search,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_html_extraction": op13_html_extraction,
     "pages_language_id": pages_language_id,
 }
 
@@ -245,4 +250,14 @@ ORACLES = {
                CASE WHEN r <= (SELECT 10 * count(*) // 100 FROM ranked) THEN r END AS rank
         FROM scored s LEFT JOIN ranked USING (doc_id)
     """,
+    # holds for pages marked up as this table's are: one article, and in it no other tags than these
+    "op13_html_extraction": r"""
+        WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS h FROM pages),
+        plain AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|br|h1)>', ' ', 'g'), '</?b>', '', 'g') AS h FROM body),
+        decoded AS (
+            SELECT page_id, url, regexp_replace(replace(replace(replace(replace(h, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS h
+            FROM plain
+        ), single AS (SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM decoded)
+        SELECT page_id, url, text, length(text) AS n_chars FROM single
+    """,
 }

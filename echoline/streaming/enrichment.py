@@ -5,17 +5,22 @@ from __future__ import annotations
 import math
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ALIASES, DENSE_CHARS, STUB_VERSION, WIDE_CHARS, detect_language, normalise, sound, stub_sentiment
 from ..operators.merge import coverage, merge_latest
 from ..schemas import EVENT_COLUMNS, EVENTS
+from .event_time import drop_repeats, read_messages
+from .sinks import stream_id, write_once
+from .watch import INBOX, Watch
+from .workers import once
 
 Classifier = Callable[[Column], Column]
 
@@ -114,13 +119,15 @@ def shortened(text: str, budget: float) -> str:
 
 
 def pandas_classifier(setup: Callable[[], Callable[[list[str]], list]], batch: int = 200) -> Classifier:
-    """A classifier from a remote or heavy model: ``setup`` runs once a worker and gives the function that is asked.
+    """A classifier from a remote or heavy model: ``setup`` runs once a worker process and gives the function that is asked.
 
     Blank texts are not sent and get ('neu', 0.0); texts are normalised and sent in batches of 1 to ``batch``.
     """
+    name = uuid.uuid4().hex
+
     @F.pandas_udf("label string, score double")
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        predict = setup()
+        predict = once(name, setup)
         for texts in series:
             bodies = texts.fillna("")
             sent = bodies[bodies.str.strip() != ""]
@@ -235,8 +242,8 @@ def create_table(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], EVENTS).write.mode("errorifexists").parquet(path)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Append to a table that exists and has the rows' names and types."""
+def fits(rows: DataFrame, path: str) -> None:
+    """Raise unless there is a table that has the rows' names and types."""
     try:
         there = rows.sparkSession.read.parquet(path).schema
     except AnalysisException as error:
@@ -244,27 +251,44 @@ def append(rows: DataFrame, path: str) -> None:
     own = [(f.name, f.dataType.simpleString()) for f in rows.schema]
     if own != [(f.name, f.dataType.simpleString()) for f in there]:
         raise RuntimeError(f"{path} has other columns than the rows")
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Append to a table that exists and has the rows' names and types."""
+    fits(rows, path)
     rows.write.mode("append").parquet(path)
 
 
-def run_stream(spark: SparkSession, inbox: str, landing: str, dlq: str, checkpoint: str, processed_at: str, classifier: str = "stub") -> None:
-    """Drain a folder of JSON messages (data as base64) into landing and dead letters; at least once, per micro-batch.
+def run_stream(
+    spark: SparkSession, inbox: str, landing: str, dlq: str, checkpoint: str, processed_at: str, classifier: str = "stub",
+    repeats_within: str | None = None, watch: Watch | None = None, files_per_batch: int | None = None,
+) -> None:
+    """Drain a folder of JSON messages (data as base64) into landing and dead letters, each micro-batch once.
 
     The landing table must exist.  Payloads that do not parse and rows that the table refuses become dead letters.
+    A run that died anywhere is repeated from its checkpoint: what a batch had written is kept, the rest is added.
+    With ``repeats_within``, messages of an id that came before are dropped while the watermark allows.
     """
     load_classifier(classifier)
-    source = spark.readStream.schema("data string, attributes map<string,string>").json(inbox)
-    source = source.select(F.unbase64("data").alias("data"), "attributes")
+    source = read_messages(spark, inbox, files_per_batch).observe(INBOX, F.min("arrived").alias("oldest"))
+    source = drop_repeats(source, repeats_within) if repeats_within else source
 
     def write(batch: DataFrame, number: int) -> None:
-        parsed = parse(batch).persist()
+        stream = stream_id(spark, checkpoint)
+        parsed = parse(batch.select("data", "attributes")).persist()
         try:
-            rows = enrich(parsed, processed_at, classifier)
-            append(rows.where(refused(rows).isNull()), landing)
-            dead_letters(parsed, processed_at).unionByName(rejected_rows(rows, processed_at)).write.mode("append").parquet(dlq)
+            rows, told = enrich(parsed, processed_at, classifier), Observation()
+            taken = rows.where(refused(rows).isNull())
+            fits(taken, landing)
+            write_once(taken, landing, stream, number)
+            letters = dead_letters(parsed, processed_at).unionByName(rejected_rows(rows, processed_at))
+            if write_once(letters.observe(told, F.count(F.lit(1)).alias("n")), dlq, stream, number) and watch:
+                watch.dead_letters(told.get.get("n", 0))
         finally:
             parsed.unpersist()
 
+    if watch:
+        spark.streams.addListener(watch)
     query = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import LABELS
+from .distinct import first_by_id_or_text
 from .ranks import hash_order, hash_rank, number
 
 
@@ -31,11 +32,10 @@ def stratified(rows: DataFrame, n: int, keys: list[str], seed: int = 42) -> Data
 
 
 def prelabel_candidates(rows: DataFrame, gold: DataFrame, position: str) -> DataFrame:
-    """Rows outside gold with id and text, first per id, then first per text."""
-    fresh = rows.where("trim(coalesce(id, '')) <> '' AND trim(coalesce(text, '')) <> ''").join(gold.select("id"), "id", "left_anti")
-    for key in ("id", "text"):
-        fresh = fresh.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(position))).where("_rn = 1").drop("_rn")
-    return fresh
+    """Rows outside gold with id and text; of those that share an id or a text, what a walk by position keeps."""
+    edge = F.lit(" \t\n\r\x0b\x0c")
+    fresh = rows.join(gold.select(F.btrim("id", edge).alias("_known")), F.btrim(F.col("id"), edge) == F.col("_known"), "left_anti")
+    return first_by_id_or_text(fresh, position)[0]
 
 
 def chunk_packs(rows: DataFrame, size: int, order: str) -> DataFrame:

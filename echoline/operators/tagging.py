@@ -1,9 +1,17 @@
 """Nearest lifecycle event, window filters, replay schedule and messages."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BACKGROUND, RAW_COLUMNS
+from .durable import durable
 
 
 def tag_nearest(records: DataFrame, calendar: DataFrame, days: float = 3.0, at: str = "created_utc") -> DataFrame:
@@ -32,29 +40,36 @@ def replay(staging: DataFrame, event: str | None = None, start=None, end=None) -
 
 
 def schedule(staging: DataFrame, speedup: float = 86_400.0, max_sleep: float = 5.0) -> DataFrame:
-    """Sleep before each record and simulated microseconds since the start, without sorting everything in one task.
+    """Sleep before each record and simulated microseconds since the start, in the order (created_utc, id).
 
-    Records of one minute are sorted together; minutes take the last time before them and the sleep before them from a
-    table of minutes, ordered within each day, and days from a table with one row a day.
+    The records are range partitioned once; one pass over each sorted partition gives the gaps and their sum inside it.
+    What a partition's first record and all its sums need from before is carried in from a table of one row a partition.
     """
-    order = ["created_utc", "id"]
-    rows = staging.select("id", "created_utc").withColumn("_m", F.floor(F.unix_micros("created_utc") / 60_000_000)).withColumn("_d", F.floor(F.col("_m") / 1440))
-    within, in_day, over_days = Window.partitionBy("_m").orderBy(*order), Window.partitionBy("_d").orderBy("_m"), Window.orderBy("_d")
-
-    minutes = rows.groupBy("_m", "_d").agg(F.max("created_utc").alias("_last"))
-    days = minutes.groupBy("_d").agg(F.max("_last").alias("_day_last")).select("_d", F.lag("_day_last").over(over_days).alias("_day_before"))
-    minutes = minutes.withColumn("_minute_before", F.lag("_last").over(in_day)).join(days, "_d")
-    minutes = minutes.select("_m", F.coalesce("_minute_before", "_day_before").alias("_before"))
-    rows = rows.join(minutes, "_m").withColumn("_prev", F.coalesce(F.lag("created_utc").over(within), "_before"))
-    gap = (F.unix_micros("created_utc") - F.unix_micros("_prev")) / 1e6
-    rows = rows.withColumn("sleep_s", F.when(F.col("_prev").isNull() | (gap <= 0), 0.0).otherwise(F.least(gap / speedup, F.lit(max_sleep))))
-    rows = rows.withColumn("_us", F.round(F.col("sleep_s") * 1e6).cast("long"))
-
-    sums = rows.groupBy("_m", "_d").agg(F.sum("_us").alias("_sum"))
-    day_sums = sums.groupBy("_d").agg(F.sum("_sum").alias("_day")).select("_d", (F.sum("_day").over(over_days) - F.col("_day")).alias("_day_offset"))
-    sums = sums.withColumn("_in_day", F.sum("_sum").over(in_day) - F.col("_sum")).join(day_sums, "_d").select("_m", (F.col("_in_day") + F.col("_day_offset")).alias("_offset"))
-    return rows.join(sums, "_m").select(
-        "id", "created_utc", "sleep_s", (F.col("_offset") + F.sum("_us").over(within.rowsBetween(Window.unboundedPreceding, 0))).alias("at_us")
+    partition = "_partition long, _head boolean, id string, _t long, sleep_s double, _us long"
+
+    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last, total = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            if not len(at):
+                continue
+            gap = np.diff(at, prepend=at[0] if last is None else last) / 1e6
+            sleep = np.where(gap > 0, np.minimum(gap / speedup, max_sleep), 0.0)
+            passed = total + np.cumsum(np.floor(sleep * 1e6 + 0.5).astype(np.int64))
+            head = np.zeros(len(at), bool)
+            head[0], last, total = last is None, at[-1], int(passed[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), pa.array(head), batch.column(0), batch.column(1), pa.array(sleep), pa.array(passed)], ["_partition", "_head", "id", "_t", "sleep_s", "_us"])
+
+    rows = staging.select("id", F.unix_micros("created_utc").alias("_t")).repartitionByRange("_t", "id").sortWithinPartitions("_t", "id")
+    passes = durable(rows.mapInArrow(gaps, partition))
+    before = Window.orderBy("_partition")
+    ends = passes.groupBy("_partition").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max("_us").alias("_sum"))
+    gap = (F.col("_first") - F.lag("_last").over(before)) / 1e6
+    ends = ends.withColumn("_sleep", F.when(gap > 0, F.least(gap / speedup, F.lit(max_sleep))).otherwise(0.0))
+    ends = ends.withColumn("_extra", F.round(F.col("_sleep") * 1e6).cast("long"))
+    ends = ends.select("_partition", "_sleep", (F.sum(F.col("_sum") + F.col("_extra")).over(before) - F.col("_sum")).alias("_offset"))
+    return passes.join(F.broadcast(ends), "_partition").select(  # as many rows as there are partitions
+        "id", F.timestamp_micros("_t").alias("created_utc"), F.when(F.col("_head"), F.col("_sleep")).otherwise(F.col("sleep_s")).alias("sleep_s"), (F.col("_offset") + F.col("_us")).alias("at_us")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import BACKGROUND, PERSONAL
@@ -29,6 +29,25 @@ def no_personal_columns(frames: dict[str, DataFrame]) -> list[tuple[str, str]]:
     return [(name, c) for name, df in frames.items() for c in df.columns if c in PERSONAL]
 
 
+def personal_views(spark: SparkSession, database: str | None = None) -> list[tuple[str, str]]:
+    """(view, column) of the personal columns of all views and tables that are registered, session views among them."""
+    found = []
+    for entry in spark.catalog.listTables(database):
+        full = entry.name if entry.isTemporary or not entry.namespace else f"`{entry.namespace[0]}`.`{entry.name}`"
+        found += [(entry.name, c.name) for c in spark.catalog.listColumns(full) if c.name.lower() in PERSONAL]
+    return sorted(found)
+
+
+def register_views(spark: SparkSession, frames: dict[str, DataFrame], reporting: bool = True) -> None:
+    """Register frames as session views; with ``reporting``, views with personal columns are refused and taken back."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+    if reporting and (found := [x for x in personal_views(spark) if x[0] in frames]):
+        for name in {x[0] for x in found}:
+            spark.catalog.dropTempView(name)
+        raise ValueError(f"personal columns in views: {found}")
+
+
 # What each view declares of its rows: unique key, columns without nulls, conditions.
 _SHARES = [f"{c}_share BETWEEN 0 AND 1" for c in ("positive", "neutral", "negative")]
 _NET, _ADDS_UP = "net_sentiment BETWEEN -1 AND 1", "positive + neutral + negative = records"

@@ -238,6 +238,27 @@ ORACLES = {
     "time_slices": f"""SELECT {_ts("s")} AS slice_start, {_ts("least(s + INTERVAL 6 HOUR, TIMESTAMP '2024-01-02 03:00:00')")} AS slice_end, c AS channel
         FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02 02:59:59', INTERVAL 6 HOUR) g(s), (VALUES ('a'), ('b')) t(c)""",
     "video_ids": f"WITH {RECORDS} SELECT 'v' || id AS id FROM records WHERE event_tag = 'launch' AND doc_id % 5 <> 0",
+    "stored_merge": f"""WITH {RECORDS}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY collected_at DESC NULLS LAST) AS rn FROM landing) WHERE rn = 1)
+        SELECT id, score, {_ts('collected_at')} AS collected_at FROM s""",
+    "event_time_windows": f"""WITH {EVENTS} SELECT strftime(date_trunc('day', created_utc), '%Y-%m-%d %H:%M:%S') AS window_start, source, sentiment_label, count(*) AS records
+        FROM ev WHERE doc_id % 11 <> 0 GROUP BY ALL""",
+    "comment_trees": """WITH RECURSIVE replies AS (
+            SELECT conv_id || ':' || turn AS id, CASE WHEN turn > 0 THEN conv_id || ':' || ((turn - 1) // 2) END AS parent_id FROM conversations WHERE conv_id % 9 <> 4 OR turn > 0
+        ), walk(id, parent_id, root, depth) AS (
+            SELECT r.id, r.parent_id, p.id, 0 FROM replies r JOIN replies p ON r.parent_id = p.id WHERE p.parent_id IS NULL
+            UNION ALL SELECT r.id, r.parent_id, w.root, w.depth + 1 FROM replies r JOIN walk w ON r.parent_id = w.id WHERE w.depth < 2
+        ) SELECT id, parent_id, root, CAST(depth AS INTEGER) AS depth FROM walk""",
+    "first_by_id_or_text": """WITH RECURSIVE r AS (
+            SELECT doc_id, doc_id * 7919 % 1009 % 400 AS i, doc_id * 104729 % 997 % 500 AS t, row_number() OVER (ORDER BY doc_id) AS n FROM documents
+        ), walk(n, doc_id, keep, ids, texts) AS (
+            SELECT n, doc_id, TRUE, [i], [t] FROM r WHERE n = 1
+            UNION ALL
+            SELECT r.n, r.doc_id, NOT (list_contains(ids, i) OR list_contains(texts, t)),
+                   CASE WHEN list_contains(ids, i) OR list_contains(texts, t) THEN ids ELSE list_append(ids, i) END,
+                   CASE WHEN list_contains(ids, i) OR list_contains(texts, t) THEN texts ELSE list_append(texts, t) END
+            FROM walk JOIN r ON r.n = walk.n + 1
+        ) SELECT doc_id FROM walk WHERE keep""",
+    "language_profiles": "SELECT lang AS language, count(*) AS n, TRUE AS right FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL",
     "completeness_gate": f"""WITH {RECORDS} SELECT count(*) AS staged, count(*) FILTER (doc_id % 13 <> 0) AS landed, count(*) FILTER (doc_id % 13 = 0) AS missing, count(*) FILTER (doc_id % 13 = 0) = 0 AS complete FROM records""",
     "detect_language": f"WITH {RECORDS}, {DETECTED} SELECT id, detected AS language FROM records JOIN detected USING (doc_id)",
     "stream_enrich": f"""WITH {EVENTS}, {DETECTED} SELECT id, source, parent_id, created_utc, collected_at, author_hash, detected AS language, score, context_id, event_tag, voted_up,

@@ -5,16 +5,20 @@ Ratios are rounded to nine digits on both sides; timestamps are given as text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bridge
+from ..functions import languages
 from ..functions import text as T
-from ..operators import corpora, evaluation, gold, merge, sampling, tagging
+from ..operators import corpora, distinct, evaluation, gold, merge, sampling, stored, tagging, trees
+from ..operators.durable import shared_dir
 from ..schemas import RAW_COLUMNS
 from ..sources import collect
 from ..sources.archive import archive_path
-from ..streaming import enrichment
+from ..streaming import enrichment, event_time
 from . import checks, views
 
 
@@ -100,6 +104,44 @@ def _fake():
     return lambda texts: [[float(len(t) % 5), 1.0, 2.0] for t in texts]
 
 
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as flat replies, each to the turn at half its number; every ninth conversation has lost its first turn."""
+    at = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), n.cast("string"))
+    turns = bridge.table(spark, d, "conversations").where("conv_id % 9 <> 4 OR turn > 0")
+    return turns.select(at(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, at(F.expr("(turn - 1) div 2"))).alias("parent_id"), "conv_id", "turn")
+
+
+def _comment_trees(spark: SparkSession, d: str) -> DataFrame:
+    rows = _replies(spark, d)
+    return trees.reply_depths(rows.where("parent_id IS NULL"), rows.where("parent_id IS NOT NULL")).select("id", "parent_id", "root", "depth")
+
+
+def _conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose ids and texts run into each other in chains."""
+    docs = bridge.table(spark, d, "documents")
+    return docs.select(
+        "doc_id", F.concat(F.lit(" k"), (F.col("doc_id") * 7919 % 1009 % 400).cast("string")).alias("id"), F.concat(F.lit("t"), (F.col("doc_id") * 104729 % 997 % 500).cast("string"), F.lit("\n")).alias("text")
+    )
+
+
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per language, whether profiles of the even ids name at least 98 of 100 texts of odd ids."""
+    docs = bridge.table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+    detect = languages.detector(languages.fit(docs.where("doc_id % 2 = 0")))
+    found = docs.where("doc_id % 2 = 1").withColumn("found", detect(F.col("text")))
+    return found.groupBy("language").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("found") == F.col("language")) * 100 >= F.count(F.lit(1)) * 98).alias("right"))
+
+
+def _stored_merge(spark: SparkSession, d: str) -> DataFrame:
+    target = _target(spark, d)
+    table = stored.StoredTable.create(target, f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", parts=16, buckets=8).merge(target, "collected_at")
+    return table.merge(bridge.landing(spark, d).select(*RAW_COLUMNS), "collected_at").read()
+
+
+def _timed_messages(spark: SparkSession, d: str) -> DataFrame:
+    return event_time.labelled(_messages(spark, d).withColumn("arrived", F.lit(bridge.COLLECTED).cast("timestamp")))
+
+
 QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "time_windows": lambda s, d: tidy(views.time_windows(bridge.events(s, d), bridge.LAUNCH)),
     "event_polarity": lambda s, d: tidy(views.event_polarity(bridge.events(s, d))),
@@ -166,5 +208,10 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "stratified_sample": lambda s, d: sampling.stratified(bridge.records(s, d), 50, ["source", "language"]).select("id", "source", "language"),
     "time_slices": lambda s, d: tidy(collect.search_requests(s, "2024-01-01 00:00:00", "2024-01-02 03:00:00", ["a", "b"])),
     "video_ids": lambda s, d: collect.video_ids(bridge.records(s, d).select(F.concat(F.when(F.col("doc_id") % 5 == 0, "REPLACE_").otherwise("v"), "id").alias("id"), F.array("event_tag", F.lit("reveal")).alias("event_ids")), "launch"),
+    "comment_trees": _comment_trees,
+    "first_by_id_or_text": lambda s, d: distinct.first_by_id_or_text(_conflicts(s, d), "doc_id")[0].select("doc_id"),
+    "language_profiles": _profiles,
+    "stored_merge": lambda s, d: tidy(_stored_merge(s, d).select("id", "score", "collected_at")),
+    "event_time_windows": lambda s, d: tidy(event_time.window_counts(_timed_messages(s, d))),
     "completeness_gate": lambda s, d: enrichment.gate(bridge.records(s, d), bridge.events(s, d).where("doc_id % 13 <> 0"), bridge.PROCESSED),
 }

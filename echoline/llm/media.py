@@ -199,32 +199,41 @@ def read_avi(data: bytes) -> tuple[list[bytes], float, int | None]:
         raise ValueError("no AVI file")
     found: dict[bytes, tuple[int, int]] = {}
 
-    def walk(at: int, end: int) -> None:
+    todo = [(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))]  # a stack, as lists may be nested to any depth
+    while todo:
+        at, end = todo.pop()
         while at + 8 <= end:
             name, n = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            follows = at + 8 + n + n % 2
             if name == b"LIST":
                 kind = data[at + 8 : at + 12]
                 found[kind] = (at + 8, n)
                 if kind != b"movi":
-                    walk(at + 12, at + 8 + n)
+                    todo.append((follows, end))
+                    at, end = at + 12, min(end, at + 8 + n)
+                    continue
             else:
                 found.setdefault(name, (at + 8, n))
-            at += 8 + n + n % 2
-
-    walk(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))
+            at = follows
     scale, rate = struct.unpack_from("<II", data, found[b"strh"][0] + 20)
     length = struct.unpack_from("<Q", data, found[b"strd"][0])[0] if b"strd" in found else None
     movi, movi_length = found[b"movi"]
     jpegs = []
 
     def frames(at: int, end: int) -> None:
-        while at + 8 <= end:
-            n = int.from_bytes(data[at + 4 : at + 8], "little")
-            if data[at : at + 4] == b"LIST":
-                frames(at + 12, min(end, at + 8 + n))
-            elif data[at + 2 : at + 4] in (b"dc", b"db"):
-                jpegs.append(data[at + 8 : at + 8 + n])
-            at += 8 + n + n % 2
+        todo = [(at, end)]
+        while todo:
+            at, end = todo.pop()
+            while at + 8 <= end:
+                n = int.from_bytes(data[at + 4 : at + 8], "little")
+                follows = at + 8 + n + n % 2
+                if data[at : at + 4] == b"LIST":
+                    todo.append((follows, end))
+                    at, end = at + 12, min(end, at + 8 + n)
+                    continue
+                if data[at + 2 : at + 4] in (b"dc", b"db"):
+                    jpegs.append(data[at + 8 : at + 8 + n])
+                at = follows
 
     if b"idx1" in found:
         at, n = found[b"idx1"]

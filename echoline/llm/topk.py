@@ -18,6 +18,9 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -47,39 +50,57 @@ def _profile(x: np.ndarray, weigh: bool) -> list[np.ndarray]:
     return out
 
 
-def _exact(q: np.ndarray, c: np.ndarray, at_q: np.ndarray, at_c: np.ndarray, safe: bool) -> np.ndarray:
+def _whole(x: np.ndarray, scale: float) -> list[int]:
+    """floor(scale * x) as integers of any size; products beyond doubles are taken as fractions."""
+    scaled = scale * x
+    return [math.floor(y) if math.isfinite(y) else math.floor(Fraction(float(a)) * Fraction(scale)) for a, y in zip(x, scaled.tolist(), strict=True)]
+
+
+def _exact(q: np.ndarray, c: np.ndarray, at_q: np.ndarray, at_c: np.ndarray, safe: bool, given: tuple[np.ndarray, np.ndarray, float] | None = None) -> np.ndarray:
+    """Integer scores of pairs; where doubles can't hold them, from the ``given`` vectors and scale, held at 64 bits."""
     out = np.empty(len(at_q), np.int64)
+    if not safe:
+        raw_q, raw_c, scale = given if given is not None else (q, c, 1.0)
+        whole_q, whole_c = ({i: _whole(x[i], scale) for i in np.unique(at).tolist()} for x, at in ((raw_q, at_q), (raw_c, at_c)))
     for i in range(0, len(at_q), 1 << 16):
         a, b = at_q[i : i + (1 << 16)], at_c[i : i + (1 << 16)]
         if safe:
             out[i : i + len(a)] = np.einsum("ij,ij->i", q[a], c[b]).astype(np.int64)
         else:
-            for j, (u, v) in enumerate(zip(a, b, strict=True), i):
-                score = sum(int(x) * int(y) for x, y in zip(q[u], c[v], strict=True))
+            for j, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True), i):
+                score = sum(x * y for x, y in zip(whole_q[u], whole_c[v], strict=True))
                 out[j] = max(-(1 << 63), min((1 << 63) - 1, score))
     return out
 
 
-def search_block(q_rows: np.ndarray, q: np.ndarray, bar: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, row position, score) of each query's k best rows that reach its ``bar``; row numbers tell its own."""
-    top_q = np.empty(0, np.int64)
-    top_c, top_s = np.empty(0, np.int64), np.empty(0, np.int64)
+def search_block(q_rows: np.ndarray, q: np.ndarray, bar: np.ndarray, ids: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int, given: tuple[np.ndarray, np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, row position, score) of each query's k best rows that reach its ``bar``; row numbers tell its own.
+
+    A bound that overflows says nothing, so its pair is scored; ``given`` has the vectors before scaling, and the scale.
+    """
     bar = bar.copy()
     biggest = max(float(np.abs(q).max(initial=0)), 1.0) * max(float(np.abs(rows).max(initial=0)), 1.0) * max(q.shape[1], 1)
     safe = biggest < 2.0**53
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _search(q_rows, q, bar, ids, own, rows, k, given, biggest, safe)
+
+
+def _search(q_rows, q, bar, ids, own, rows, k, given, biggest, safe):
+    top_q = np.empty(0, np.int64)
+    top_c, top_s = np.empty(0, np.int64), np.empty(0, np.int64)
     q_levels = _profile(q, True)
     for start in range(0, len(rows), STRIDE):
         part = rows[start : start + STRIDE]
         alive = q_rows[:, None] != own[None, start : start + STRIDE]
         for q_level, c_level in zip(q_levels, _profile(part, False), strict=True):
             bound = q_level @ c_level.T
-            alive &= bound + (np.abs(bound) + biggest * 1e-6) * 1e-6 + 1 >= bar[:, None]
+            alive &= ~np.isfinite(bound) | (bound + (np.abs(bound) + biggest * 1e-6) * 1e-6 + 1 >= bar[:, None])
             if not alive.any():
                 break
         at_q, at_c = np.nonzero(alive)
         if not len(at_q):
             continue
-        score = _exact(q, part, at_q, at_c, safe)
+        score = _exact(q, part, at_q, at_c, safe, given and (given[0], given[1][start : start + STRIDE], given[2]))
         keep = score >= bar[at_q]
         top_q, top_c, top_s = (np.concatenate([a, b[keep]]) for a, b in ((top_q, at_q), (top_c, at_c + start), (top_s, score)))
         order = np.lexsort((ids[top_c], -top_s.astype(object) if not safe else -top_s, top_q))
@@ -125,8 +146,10 @@ def top_k(
                 a, b = left[lengths == d], right[others == d]
                 if not len(b):
                     continue
-                q, c = (np.floor(scale * np.stack(x.to_numpy()).astype(np.float64)) for x in (a["v"], b["c_v"]))
-                i, j, s = search_block(a["row"].to_numpy(), q, a["bar"].to_numpy(np.float64), b["c_id"].to_numpy(), b["c_row"].to_numpy(), c, k)
+                raw_q, raw_c = (np.stack(x.to_numpy()).astype(np.float64) for x in (a["v"], b["c_v"]))
+                with np.errstate(over="ignore"):
+                    q, c = np.floor(scale * raw_q), np.floor(scale * raw_c)
+                i, j, s = search_block(a["row"].to_numpy(), q, a["bar"].to_numpy(np.float64), b["c_id"].to_numpy(), b["c_row"].to_numpy(), c, k, (raw_q, raw_c, scale))
                 found.append(pd.DataFrame({"query_id": a["id"].to_numpy()[i], "query_row": a["row"].to_numpy()[i], "vec_id": b["c_id"].to_numpy()[j], "score": s}))
         return pd.concat(found) if found else pd.DataFrame({n: np.empty(0, np.int64) for n in ("query_id", "query_row", "vec_id", "score")})
 

@@ -6,11 +6,17 @@ with the record's offset and length) and ``datapackage.json``, all *stored*, so
 Defined results: null html is an empty payload; null ids get no winner over a non-null id and are referred to as null;
 of repeated rows of the winning id exactly one is the response; payloads of any length up to Arrow's 2 GiB a cell are
 taken whole; an empty table gives no archive; other columns are ignored, whatever their names.
+
+Packages of other writers are read too: WARC members and indexes are found in the directory, an index may be gzipped, there
+may be several of both, a WARC member without an index is walked from its start, and members that are compressed in the
+package are unpacked once.  A package, member or record that cannot be read gives a row with null fields and the reason in
+``status``; the others are read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -116,10 +122,26 @@ class ZipDirectory:
         method, packed, _, offset = self.members[name]
         if method != 0:
             raise ValueError(f"{name} is compressed; its records cannot be read by range")
+        return self._data_at(offset), packed
+
+    def _data_at(self, offset: int) -> int:
         head = struct.unpack("<IHHHHHIIIHH", bytes(self.read_at(offset, 30)))
         if head[0] != LOCAL:
             raise ValueError("local header damaged")
-        return offset + 30 + head[9] + head[10], packed
+        return offset + 30 + head[9] + head[10]
+
+    def reader(self, name: str) -> tuple[Callable[[int, int], bytes], int]:
+        """(read_at, length) of a member's plain bytes: ranges of the file where it is stored, else of the unpacked bytes."""
+        method, packed, plain, offset = self.members[name]
+        at = self._data_at(offset)
+        if method == 0:
+            return lambda start, n: self.read_at(at + start, max(0, min(n, packed - start))), packed
+        if method != 8:
+            raise ValueError(f"{name} is compressed by method {method}")
+        whole = zlib.decompressobj(-15).decompress(bytes(self.read_at(at, packed)), plain + 1)
+        if len(whole) != plain:
+            raise ValueError(f"{name} is damaged")
+        return lambda start, n: whole[start : start + n], plain
 
 
 # --- WARC ----------------------------------------------------------------------------------------------------------
@@ -187,14 +209,72 @@ class ArchiveBuilder:
         return write_zip([(DATA, bytes(self.data)), (INDEX, index), (PACKAGE, json.dumps(package).encode())], zip64)
 
 
-def read_records(read_at: Callable[[int, int], bytes], size: int) -> Iterator[tuple[dict[str, str], bytes, int | None]]:
-    """Every record that the index lists, each by one range read of the stored WARC member."""
+#: What damaged bytes raise while they are parsed.
+DAMAGE = (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error)
+Read = tuple[dict[str, str], bytes, int | None]
+
+
+def why(error: Exception) -> str:
+    return str(error) if type(error) is ValueError else f"damaged ({type(error).__name__}: {error})"
+
+
+def walk_records(read_at: Callable[[int, int], bytes], length: int) -> Iterator[Read | str]:
+    """The records of a WARC file from its start, each gzipped by itself or all plain."""
+    data, at = bytes(read_at(0, length)), 0
+    while at < len(data):
+        if data[at : at + 2] == b"\x1f\x8b":
+            unpack = zlib.decompressobj(31)
+            raw = unpack.decompress(data[at:])
+            if not unpack.eof:
+                raise ValueError("a record is cut off")
+            at = len(data) - len(unpack.unused_data)
+        else:
+            head_end = data.index(b"\r\n\r\n", at)
+            n = next((int(x.split(b":")[1]) for x in data[at:head_end].split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+            if n is None:
+                raise ValueError("a record has no length")
+            raw, at = data[at : head_end + 4 + n], head_end + 4 + n
+            while data[at : at + 2] == b"\r\n":
+                at += 2
+        yield parse_record(raw)
+
+
+def read_records(read_at: Callable[[int, int], bytes], size: int) -> Iterator[Read | str]:
+    """Every record of a package: by one range read each where an index lists it; a text says what could not be read."""
     zipped = ZipDirectory(read_at, size)
-    index_at, index_length = zipped.stored_range(INDEX)
-    data_at, _ = zipped.stored_range(DATA)
-    for line in bytes(read_at(index_at, index_length)).decode().splitlines():
-        entry = json.loads(line[line.index(" {") + 1 :])
-        yield parse_record(gunzip_member(bytes(read_at(data_at + entry["offset"], entry["length"]))))
+    files = {n: n.rpartition("/")[2] for n in zipped.members if n.endswith((".warc", ".warc.gz"))}
+    by_name = files | {base: base for base in files.values()}
+    readers: dict[str, Callable[[int, int], bytes]] = {}
+    listed = set()
+    for index in sorted(n for n in zipped.members if n.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))):
+        try:
+            part, length = zipped.reader(index)
+            raw = bytes(part(0, length))
+            lines = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode().splitlines()
+        except (*DAMAGE, OSError, EOFError) as error:
+            yield f"{index}: {why(error)}"
+            continue
+        for line in lines:
+            try:
+                if " {" not in line:
+                    continue  # a heading, or an index of other fields: its files are walked
+                entry = json.loads(line[line.index(" {") + 1 :])
+                base = str(entry["filename"]).rpartition("/")[2]
+                if base not in by_name:
+                    raise ValueError(f"the package has no {base}")
+                if base not in readers:
+                    readers[base] = zipped.reader(next(n for n, b in files.items() if b == base))[0]
+                listed.add(base)
+                raw = bytes(readers[base](int(entry["offset"]), int(entry["length"])))
+                yield parse_record(gunzip_member(raw) if raw[:2] == b"\x1f\x8b" else raw)
+            except DAMAGE as error:
+                yield f"{index}: {why(error)}"
+    for name, base in sorted(files.items()):
+        if base not in listed:
+            try:
+                yield from walk_records(*zipped.reader(name))
+            except DAMAGE as error:
+                yield f"{name}: {why(error)}"
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------------
@@ -246,29 +326,43 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, archive_bytes: int =
 
 
 def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
-    """Rows (record_id, url, record_type, refers_to_id, payload_digest, payload_bytes, payload) of ZIP archives.
+    """Rows (record_id, url, record_type, refers_to_id, payload_digest, payload_bytes, payload, status) of ZIP archives.
 
     ``archives`` may be what ``write_archives`` gives or a ``binaryFile`` scan (``column='content'``).
-    A response's digest is computed from the payload as read and must equal its header.
+    A response's digest is computed from the payload as read; where its header has another, ``status`` says so.
     """
 
+    def fields(item: Read | str) -> tuple:
+        if isinstance(item, str):
+            return (None,) * 7 + (item,)
+        headers, payload, declared = item
+        kind, given = headers.get("warc-type"), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        response = kind == "response"
+        digest = sha1_base32(hashlib.sha1(payload).hexdigest()) if response else given
+        status = "payload differs from its digest" if response and given is not None and len(given) == 32 and given != digest else "read"
+        refers = headers["warc-refers-to"].strip("<>") if "warc-refers-to" in headers else None
+        return (
+            headers.get("warc-record-id", "").strip("<>") or None, headers.get("warc-target-uri"), kind, refers, digest,
+            len(payload) if response else declared, payload if response else None, status,
+        )
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "url", "record_type", "refers_to_id", "payload_digest", "payload_bytes", "payload"]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        names = ["record_id", "url", "record_type", "refers_to_id", "payload_digest", "payload_bytes", "payload", "status"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
         for batch in batches:
             for item in batch.column(0):
-                view = memoryview(item.as_buffer())
                 rows: list[tuple] = []
-                for headers, payload, declared in read_records(lambda at, n, v=view: v[at : at + n], len(view)):
-                    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    response = kind == "response"
-                    if response and sha1_base32(hashlib.sha1(payload).hexdigest()) != digest:
-                        raise ValueError(f"payload of {headers['warc-record-id']} differs from its digest")
-                    rows.append((
-                        headers["warc-record-id"].strip("<>"), headers.get("warc-target-uri"), kind,
-                        headers["warc-refers-to"].strip("<>") if "warc-refers-to" in headers else None,
-                        digest, len(payload) if response else declared, payload if response else None,
-                    ))
+                buffer = item.as_buffer()
+                view = memoryview(buffer) if buffer is not None else memoryview(b"")
+                found = read_records(lambda at, n, v=view: v[max(at, 0) : max(at, 0) + max(n, 0)], len(view))
+                while True:
+                    try:
+                        rows.append(fields(next(found)))
+                    except StopIteration:
+                        break
+                    except DAMAGE as error:  # the package's directory
+                        rows.append(fields("no file" if buffer is None else why(error)))
+                        break
                     if len(rows) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                         rows = []
@@ -277,7 +371,7 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
 
     return archives.select(column).mapInArrow(
         parse,
-        "record_id string, url string, record_type string, refers_to_id string, payload_digest string, payload_bytes long, payload binary",
+        "record_id string, url string, record_type string, refers_to_id string, payload_digest string, payload_bytes long, payload binary, status string",
     )
 
 

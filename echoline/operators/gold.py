@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import LABELS
 from .evaluation import cohen_kappa
 from .ranks import hash_order
-from .sampling import resolve_review
+from .sampling import resolve_review, review_flags
 
 SPLITS = ("train", "dev", "holdout")
 
@@ -71,6 +71,22 @@ def allocate_splits(rows: DataFrame, holdout_n: int, dev_n: int, label: str = "l
     return seated.withColumn("split", F.coalesce("_seat", F.lit("train"))).drop("_seat")
 
 
+def mark_review(rows: DataFrame, existing: DataFrame | None = None, holdout_target: int = 200, dev_n: int = 80, default_existing: int = 80, seed: int = 33) -> DataFrame:
+    """Add review_required: model labels that are negative or unsure, and rows that will sit in holdout or dev.
+
+    The seats are those that the gold merge will give by the model's labels: as many holdout seats as the target lacks
+    beside the holdout rows of ``existing`` (without it, ``default_existing`` of them).  ``llm_confidence`` is a number
+    or one of the words high and low.
+    """
+    there = default_existing if existing is None else existing.where(_clean(F.col("split")) == "holdout").count()
+    seated = allocate_splits(rows, max(0, holdout_target - there), dev_n, "label_llm", seed).withColumnRenamed("split", "_seat")
+    unsure = _clean(F.col("llm_confidence").cast("string"))
+    low = (unsure == "low") | F.coalesce(F.expr("try_cast(llm_confidence AS double)") < 0.6, F.lit(False))
+    flagged = review_flags(seated.withColumns({"_label_llm": F.col("label_llm"), "_llm_confidence": F.col("llm_confidence"), "label_llm": _clean(F.col("label_llm")), "llm_confidence": F.when(low, 0.0).otherwise(1.0)}), reserved=F.col("_seat") != "train")
+    given = [F.col(f"_{c}").alias(c) if c in ("label_llm", "llm_confidence") else F.col(c) for c in rows.columns if c != "split"]
+    return flagged.select(*given, "review_required")
+
+
 def existing_gold(rows: DataFrame) -> DataFrame:
     """Gold rows with clean label and split (train unless it is one of the three) and a label source."""
     label, split = _clean(F.col("label")), _clean(F.col("split"))

@@ -38,6 +38,13 @@ def prelabel_candidates(rows: DataFrame, gold: DataFrame, position: str) -> Data
     return first_by_id_or_text(fresh, position)[0]
 
 
+def prelabel_rows(candidates: DataFrame) -> DataFrame:
+    """Candidates in the shape that a model labels: texts never null, empty label and confidence, and where it came from."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in candidates.columns else F.lit("")
+    more = [F.col(c) for c in ("source", "created_utc") if c in candidates.columns]
+    return candidates.select(*[told(c).alias(c) for c in ("id", "text", "language", "event_tag")], F.lit("").alias("label_llm"), F.lit("").alias("llm_confidence"), *more)
+
+
 def chunk_packs(rows: DataFrame, size: int, order: str) -> DataFrame:
     """Chunk numbers (from 0) of ``size`` rows each in ``order``, a whole-number column that may have gaps."""
     return number(rows, order).withColumn("chunk", F.expr(f"(_number - 1) div {size}")).drop("_number")

@@ -242,6 +242,11 @@ ORACLES = {
         SELECT id, score, {_ts('collected_at')} AS collected_at FROM s""",
     "event_time_windows": f"""WITH {EVENTS} SELECT strftime(date_trunc('day', created_utc), '%Y-%m-%d %H:%M:%S') AS window_start, source, sentiment_label, count(*) AS records
         FROM ev WHERE doc_id % 11 <> 0 GROUP BY ALL""",
+    "mark_review": f"""WITH {GOLD}, r AS (SELECT id, language, pred AS label, p_pos FROM gold WHERE doc_id % 2 = 1), need AS (SELECT greatest(0, 60 - count(*)) AS n FROM gold WHERE doc_id % 20 = 0 AND split = 'holdout'),
+        {_pick("h", "r", "SELECT n FROM need")}, rest AS (SELECT * FROM r WHERE id NOT IN (FROM h)), {_pick("d", "rest", "20")}
+        SELECT id, label AS label_llm, label = 'neg' OR p_pos < 0.2 OR id IN (FROM h) OR id IN (FROM d) AS review_required FROM r""",
+    "prelabel_rows": f"""WITH {RECORDS} SELECT id, coalesce(language, '') AS language, event_tag, '' AS label_llm, '' AS llm_confidence, source, {_ts('created_utc')} AS created_utc
+        FROM (SELECT *, row_number() OVER (PARTITION BY trim(text, ' ' || chr(9) || chr(10) || chr(13)) ORDER BY doc_id) AS rn FROM records WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' AND doc_id % 5 <> 0) WHERE rn = 1""",
     "comment_trees": """WITH RECURSIVE replies AS (
             SELECT conv_id || ':' || turn AS id, CASE WHEN turn > 0 THEN conv_id || ':' || ((turn - 1) // 2) END AS parent_id FROM conversations WHERE conv_id % 9 <> 4 OR turn > 0
         ), walk(id, parent_id, root, depth) AS (

@@ -14,7 +14,7 @@ from .. import bridge
 from ..functions import languages
 from ..functions import text as T
 from ..operators import corpora, distinct, evaluation, gold, merge, sampling, stored, tagging, trees
-from ..operators.durable import shared_dir
+from ..operators.durable import durable, shared_dir
 from ..schemas import RAW_COLUMNS
 from ..sources import collect
 from ..sources.archive import archive_path
@@ -138,6 +138,18 @@ def _stored_merge(spark: SparkSession, d: str) -> DataFrame:
     return table.merge(bridge.landing(spark, d).select(*RAW_COLUMNS), "collected_at").read()
 
 
+def _view_assertions(spark: SparkSession, d: str) -> DataFrame:
+    events = durable(bridge.events(spark, d).drop("text"))  # written once, all views read that
+    return checks.view_assertions({name: view(events) for name, view in views.VIEWS.items()})
+
+
+def _mark_review(spark: SparkSession, d: str) -> DataFrame:
+    word = F.when(F.col("p_pos") < 0.2, "Low ").otherwise("high")
+    rows = bridge.gold(spark, d).where("doc_id % 2 = 1").select("id", "language", F.col("pred").alias("label_llm"), word.alias("llm_confidence"))
+    held = bridge.gold(spark, d).where("doc_id % 20 = 0")
+    return gold.mark_review(rows, held, holdout_target=60, dev_n=20).select("id", "label_llm", "review_required")
+
+
 def _timed_messages(spark: SparkSession, d: str) -> DataFrame:
     return event_time.labelled(_messages(spark, d).withColumn("arrived", F.lit(bridge.COLLECTED).cast("timestamp")))
 
@@ -189,7 +201,7 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "stream_enrich": lambda s, d: enrichment.enrich(enrichment.parse(_messages(s, d)), bridge.PROCESSED).drop("text"),
     "stratified_split": lambda s, d: sampling.train_eval_split(bridge.gold(s, d), 0.2, "gold").select("id", "gold", "part"),
     "reservoir_sample": lambda s, d: sampling.reservoir(bridge.records(s, d), 10, ["language", "source"]).select("id", "language", "source"),
-    "view_assertions": lambda s, d: checks.view_assertions({name: view(bridge.events(s, d)) for name, view in views.VIEWS.items()}),
+    "view_assertions": _view_assertions,
     "period_report": lambda s, d: tidy(views.period_report(bridge.events(s, d), "week")),
     "tokens": lambda s, d: _texts(s, d).select("id", F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("digest")),
     "fit_to_tokens": lambda s, d: _texts(s, d).select("id", F.length(T.fit_to_tokens(T.normalise(F.col("text")))).alias("kept")),
@@ -208,6 +220,8 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "stratified_sample": lambda s, d: sampling.stratified(bridge.records(s, d), 50, ["source", "language"]).select("id", "source", "language"),
     "time_slices": lambda s, d: tidy(collect.search_requests(s, "2024-01-01 00:00:00", "2024-01-02 03:00:00", ["a", "b"])),
     "video_ids": lambda s, d: collect.video_ids(bridge.records(s, d).select(F.concat(F.when(F.col("doc_id") % 5 == 0, "REPLACE_").otherwise("v"), "id").alias("id"), F.array("event_tag", F.lit("reveal")).alias("event_ids")), "launch"),
+    "mark_review": _mark_review,
+    "prelabel_rows": lambda s, d: tidy(sampling.prelabel_rows(sampling.prelabel_candidates(bridge.records(s, d), bridge.records(s, d).where("doc_id % 5 = 0"), "doc_id")).drop("text")),
     "comment_trees": _comment_trees,
     "first_by_id_or_text": lambda s, d: distinct.first_by_id_or_text(_conflicts(s, d), "doc_id")[0].select("doc_id"),
     "language_profiles": _profiles,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ALIASES, DENSE_CHARS, STUB_VERSION, WIDE_CHARS, detect_language, normalise, sound, stub_sentiment
 from ..operators.merge import coverage, merge_latest
+from ..operators.stored import StoredTable
 from ..schemas import EVENT_COLUMNS, EVENTS
 from .event_time import drop_repeats, read_messages
 from .sinks import stream_id, write_once
@@ -163,18 +164,24 @@ def iso_time(text: Column) -> Column:
     return F.when(text.rlike(ISO), F.try_to_timestamp(F.concat(date, F.lit(" "), time_, F.substring(clock, 7, 10), offset)))
 
 
+def _bound(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """A projection that later ones and filters are not merged with, so that its columns are computed once."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """Add to (data, attributes) the raw fields and ``error``, null where the message is valid.
 
-    The JSON is read once into a struct of variants; each step names what the next one uses, so nothing is read twice.
+    The JSON is read once into a struct of variants; each step is bound before the next one uses it, so nothing is read
+    twice.
     """
     shape = ", ".join(f"{c}: variant" for c in FIELDS)
     step = messages.withColumn("_body", F.try_validate_utf8(F.col("data").cast("string"))).withColumn("_v", F.try_parse_json("_body"))
-    step = step.withColumn("_r", F.expr(f"try_variant_get(_v, '$', 'struct<{shape}>')"))
+    step = _bound(step, "data", "attributes", "_body", "_v", F.expr(f"try_variant_get(_v, '$', 'struct<{shape}>')").alias("_r"))
     kind = lambda c: F.expr(f"schema_of_variant(_r.{c})")
     as_text = lambda c: F.expr(f"try_variant_get(_r.{c}, '$', 'string')")
-    step = step.select(
-        "data", "attributes", "_body", F.col("_v").isNotNull().alias("_json"), F.col("_r").isNotNull().alias("_object"),
+    step = _bound(
+        step, "data", "attributes", "_body", F.col("_v").isNotNull().alias("_json"), F.col("_r").isNotNull().alias("_object"),
         *[as_text(c).alias(f"_{c}") for c in FIELDS], *[kind(c).alias(f"_k_{c}") for c in ("created_utc", "collected_at", "score", "voted_up", *STRINGS)],
         F.expr("try_variant_get(_r.score, '$', 'bigint')").alias("_number"), F.expr("try_variant_get(_r.voted_up, '$', 'double')").alias("_vote"),
     )
@@ -198,7 +205,7 @@ def parse(messages: DataFrame) -> DataFrame:
         "created_utc": F.col("_created"), "collected_at": F.col("_collected"), "voted_up": vote,
         "score": F.when(F.col("_k_score") != "BOOLEAN", F.col("_number")),
     }
-    return step.select("data", "attributes", error.alias("error"), *[text(c) for c in STRINGS], *[v.alias(k) for k, v in given.items()])
+    return _bound(step, "data", "attributes", error.alias("error"), *[text(c) for c in STRINGS], *[v.alias(k) for k, v in given.items()])
 
 
 def dead_letters(parsed: DataFrame, at: str) -> DataFrame:
@@ -338,3 +345,21 @@ def promote(events: DataFrame, landing: DataFrame, staging: DataFrame, run_start
     if missing:
         raise RuntimeError(f"{missing} staged records have not landed")
     return merge_latest(events, landing, "processed_at")
+
+
+def drain_and_promote(
+    spark: SparkSession, inbox: str, landing: str, dlq: str, checkpoint: str, staging: DataFrame, table: StoredTable,
+    processed_at: str, run_start: str, event: str | None = None, classifier: str = "stub", watch: Watch | None = None,
+) -> StoredTable:
+    """Drain the inbox, then merge what has landed since the run began into the stored table, if all of it has.
+
+    While staged records are missing, nothing is merged and this raises; a repeated run drains what is new, adds no row
+    twice, and merges rows that the table has already without changing it.
+    """
+    run_stream(spark, inbox, landing, dlq, checkpoint, processed_at, classifier, watch=watch)
+    landed = spark.read.schema(EVENTS).parquet(landing)
+    state = gate(staging, landed, run_start, event).first()
+    if not state.complete:
+        raise RuntimeError(f"{state.missing} of {state.staged} staged records have not landed")
+    since = landed.where(F.col("processed_at") >= F.lit(run_start).cast("timestamp"))
+    return table.merge(since if event is None else since.where(F.col("event_tag") == event), "processed_at")

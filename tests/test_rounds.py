@@ -102,3 +102,18 @@ def test_personal_columns_are_found_in_the_catalog(spark):
     finally:
         for name in ("someone_registered_this", "report_ok"):
             spark.catalog.dropTempView(name)
+
+
+def test_marks_and_prelabel_rows(spark):
+    from echoline.operators import gold
+
+    rows = spark.createDataFrame([(f"r{i}", "en" if i % 2 else "de", ["pos", " NEG ", "neu"][i % 3], ["high", "0.4", " low", None, "0.9"][i % 5], "t") for i in range(60)], "id string, language string, label_llm string, llm_confidence string, split string")
+    old = spark.createDataFrame([(f"o{i}", "Holdout") for i in range(7)], "id string, split string")
+    flags = {r.id: r for r in gold.mark_review(rows, old, holdout_target=13, dev_n=4).collect()}
+    seats = {r.id for r in gold.allocate_splits(rows, 6, 4, "label_llm").where("split <> 'train'").collect()}
+    assert len(seats) == 10 and len(flags) == 60
+    for i in range(60):
+        assert flags[f"r{i}"].review_required == (i % 3 == 1 or i % 5 in (1, 2) or f"r{i}" in seats)
+        assert flags[f"r{i}"].label_llm == ["pos", " NEG ", "neu"][i % 3]
+    shaped = sampling.prelabel_rows(spark.createDataFrame([("a", None, "s")], "id string, text string, source string")).first()
+    assert shaped.asDict() == {"id": "a", "text": "", "language": "", "event_tag": "", "label_llm": "", "llm_confidence": "", "source": "s"}

@@ -122,6 +122,25 @@ def test_alerts_on_a_running_stream(spark, tmp_path):
     assert quiet.raised == {}
 
 
+def test_promotion_waits_for_the_drain(spark, tmp_path):
+    from echoline.operators.stored import StoredTable
+    from echoline.schemas import EVENTS
+
+    box, landing, dlq, cp = where(tmp_path)
+    enrichment.create_table(spark, landing)
+    table = StoredTable.create(spark.createDataFrame([], EVENTS), str(tmp_path / "table"), parts=8, buckets=2)
+    staging = spark.createDataFrame([(f"m{i}", "launch") for i in range(30)], "id string, event_tag string")
+    run = lambda: enrichment.drain_and_promote(spark, box, landing, dlq, cp, staging, StoredTable(spark, table.folder.root), AT, AT)
+    put(box, "f0", [message(f"m{i}") for i in range(20)], age=50)
+    with pytest.raises(RuntimeError, match="10 of 30"):
+        run()
+    assert StoredTable(spark, table.folder.root).version == 0
+    put(box, "f1", [message(f"m{i}", text="bad") for i in range(15, 30)], age=40)
+    for _ in range(2):
+        rows = run().read().collect()
+        assert sorted(r.id for r in rows) == sorted(f"m{i}" for i in range(30)) and all(r.sentiment_label for r in rows)
+
+
 def test_set_up_once_a_worker(spark, tmp_path):
     folder = str(tmp_path)
 

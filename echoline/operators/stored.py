@@ -61,9 +61,10 @@ class StoredTable:
 
     def plan(self, source: DataFrame, freshness: str) -> tuple[DataFrame, list[int]]:
         """The touched parts after the merge, with merge_action, and their numbers (at most ``parts`` on the driver)."""
-        fresh = latest(source.where(F.col(self.key).isNotNull()), freshness, self.key)
-        touched = sorted(r[0] for r in fresh.select(self._part().alias("p")).distinct().collect())
-        t, s = self._table(touched).drop("_part").alias("t"), fresh.repartition(self.buckets, self.key).alias("s")
+        given = source.where(F.col(self.key).isNotNull())
+        touched = sorted(r[0] for r in given.select(self._part().alias("p")).distinct().collect())
+        fresh = latest(given.repartition(self.buckets, self.key), freshness, self.key)  # the only exchange of whole rows
+        t, s = self._table(touched).drop("_part").alias("t"), fresh.alias("s")
         both = t.join(s, F.col(f"t.{self.key}") == F.col(f"s.{self.key}"), "full_outer")
         new = F.col(f"t.{self.key}").isNull()
         take = new | F.coalesce(F.col(f"s.{freshness}") > F.col(f"t.{freshness}"), F.lit(False))

@@ -254,7 +254,7 @@ ORACLES = {
             UNION ALL SELECT r.id, r.parent_id, w.root, w.depth + 1 FROM replies r JOIN walk w ON r.parent_id = w.id WHERE w.depth < 2
         ) SELECT id, parent_id, root, CAST(depth AS INTEGER) AS depth FROM walk""",
     "first_by_id_or_text": """WITH RECURSIVE r AS (
-            SELECT doc_id, doc_id * 7919 % 1009 % 400 AS i, doc_id * 104729 % 997 % 500 AS t, row_number() OVER (ORDER BY doc_id) AS n FROM documents
+            SELECT doc_id, (doc_id // 2000) || ':' || (doc_id * 7919 % 1009 % 400) AS i, (doc_id // 3000) || ':' || (doc_id * 104729 % 997 % 500) AS t, row_number() OVER (ORDER BY doc_id) AS n FROM documents
         ), walk(n, doc_id, keep, ids, texts) AS (
             SELECT n, doc_id, TRUE, [i], [t] FROM r WHERE n = 1
             UNION ALL

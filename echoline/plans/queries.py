@@ -126,7 +126,7 @@ def _conflicts(spark: SparkSession, d: str) -> DataFrame:
 def _profiles(spark: SparkSession, d: str) -> DataFrame:
     """Per language, whether profiles of the even ids name at least 98 of 100 texts of odd ids."""
     docs = bridge.table(spark, d, "documents").select("doc_id", F.col("lang").alias("language"), "text")
-    detect = languages.detector(languages.fit(docs.where("doc_id % 2 = 0")))
+    detect = languages.detector(languages.fit(docs.where("doc_id % 2 = 0"), min_rows=2))
     found = docs.where("doc_id % 2 = 1").withColumn("found", detect(F.col("text")))
     return found.groupBy("language").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("found") == F.col("language")) * 100 >= F.count(F.lit(1)) * 98).alias("right"))
 

@@ -32,11 +32,16 @@ class StoredTable:
         return f"{version:09d}.json"
 
     @classmethod
-    def create(cls, rows: DataFrame, path: str, key: str = "id", parts: int = 64, buckets: int = 8) -> StoredTable:
-        """An empty table with the rows' columns; raises where there is one."""
+    def create(cls, rows: DataFrame, path: str, key: str = "id", parts: int = 64, buckets: int | None = None) -> StoredTable:
+        """An empty table with the rows' columns; raises where there is one.
+
+        A merge runs one task a bucket, which writes a file into each touched part: ``buckets`` is the session's number of
+        shuffle partitions where none is given.
+        """
         folder = Folder(rows.sparkSession, path)
         if folder.names("_versions"):
             raise RuntimeError(f"{path} holds a table")
+        buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         held = {"key": key, "parts": parts, "buckets": buckets, "schema": ", ".join(f"`{n}` {t}" for n, t in rows.dtypes), "folders": {}}
         folder.write_text(json.dumps(held), "_versions", cls._name(0))
         return cls(rows.sparkSession, path)

@@ -134,7 +134,7 @@ def _profiles(spark: SparkSession, d: str) -> DataFrame:
 def _stored_merge(spark: SparkSession, d: str) -> DataFrame:
     """All record columns but the text, which the records' own joins would shuffle several times."""
     target = _target(spark, d).drop("text")
-    table = stored.StoredTable.create(target, f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", parts=16, buckets=8).merge(target, "collected_at")
+    table = stored.StoredTable.create(target, f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", parts=16).merge(target, "collected_at")
     return table.merge(bridge.landing(spark, d).select(*target.columns), "collected_at").read()
 
 

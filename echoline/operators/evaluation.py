@@ -10,7 +10,8 @@ from ..schemas import LABELS
 
 
 def last_predictions(predictions: DataFrame, position: str = "pos") -> DataFrame:
-    last = Window.partitionBy("id").orderBy(F.col(position).desc())
+    """The row of each id with the highest position; of equal positions, the one whose JSON comes last."""
+    last = Window.partitionBy("id").orderBy(F.col(position).desc(), F.to_json(F.struct(*predictions.columns)).desc())
     return predictions.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
 
 

@@ -235,8 +235,9 @@ ORACLES = {
     "stratified_split": f"""WITH {GOLD}, r AS (SELECT id, gold, row_number() OVER (PARTITION BY gold ORDER BY {_h(42)}, id) AS rn, count(*) OVER (PARTITION BY gold) AS n FROM gold)
         SELECT id, gold, CASE WHEN n > 1 AND rn <= greatest(1, least(n - 1, round_even(n * 0.2, 0))) THEN 'eval' ELSE 'train' END AS part FROM r""",
     "reservoir_sample": f"WITH {RECORDS} SELECT id, language, source FROM records QUALIFY row_number() OVER (PARTITION BY language, source ORDER BY {_h(42)}, id) <= 10",
-    "time_slices": f"""SELECT {_ts("s")} AS slice_start, {_ts("least(s + INTERVAL 6 HOUR, TIMESTAMP '2024-01-02 03:00:00')")} AS slice_end, c AS channel
-        FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02 02:59:59', INTERVAL 6 HOUR) g(s), (VALUES ('a'), ('b')) t(c)""",
+    "time_slices": f"""WITH {RECORDS}, w AS (SELECT source AS channel, min(created_utc) AS a, max(created_utc) + INTERVAL 1 SECOND AS b FROM records GROUP BY 1),
+        s AS (SELECT channel, b, unnest(generate_series(a, b - INTERVAL 1 MICROSECOND, INTERVAL 6 HOUR)) AS s FROM w)
+        SELECT channel, {_ts("s")} AS slice_start, {_ts("least(s + INTERVAL 6 HOUR, b)")} AS slice_end FROM s""",
     "video_ids": f"WITH {RECORDS} SELECT 'v' || id AS id FROM records WHERE event_tag = 'launch' AND doc_id % 5 <> 0",
     "stored_merge": f"""WITH {RECORDS}, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY collected_at DESC NULLS LAST) AS rn FROM landing) WHERE rn = 1)
         SELECT id, score, {_ts('collected_at')} AS collected_at FROM s""",
@@ -253,6 +254,16 @@ ORACLES = {
             SELECT r.id, r.parent_id, p.id, 0 FROM replies r JOIN replies p ON r.parent_id = p.id WHERE p.parent_id IS NULL
             UNION ALL SELECT r.id, r.parent_id, w.root, w.depth + 1 FROM replies r JOIN walk w ON r.parent_id = w.id WHERE w.depth < 2
         ) SELECT id, parent_id, root, CAST(depth AS INTEGER) AS depth FROM walk""",
+    "search_records": f"""WITH RECURSIVE turns AS (
+            SELECT *, conv_id || ':' || turn AS id, CASE WHEN turn > 0 THEN conv_id || ':' || ((turn - 1) // 2) END AS parent_id,
+                   TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn) AS made, coalesce(text, '') AS body FROM conversations
+        ), walk AS (
+            SELECT id, parent_id, conv_id, turn, made, trim(' A title' || chr(10) || chr(10) || body, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, 0 AS up
+            FROM turns WHERE turn = 0 AND conv_id >= 2 AND conv_id % 9 <> 4
+            UNION ALL SELECT t.id, t.parent_id, t.conv_id, t.turn, t.made, t.body, up + 1 FROM turns t JOIN walk w ON t.parent_id = w.id WHERE up <= 2
+        ) SELECT 'reddit:' || id AS id, parent_id, {_ts("made")} AS created_utc, substr(sha256(CASE WHEN turn % 4 > 0 THEN 'w' || turn ELSE '[deleted]' END || '{SALT}'), 1, 16) AS author_hash,
+               md5(said) AS digest, conv_id AS score, 'r' || (conv_id % 5) AS context_id, 'launch' AS event_tag FROM walk""",
+    "profile_enrich": f"WITH {RECORDS} SELECT language AS declared, count(*) AS n, TRUE AS right FROM records WHERE doc_id % 11 <> 0 GROUP BY ALL",
     "first_by_id_or_text": """WITH RECURSIVE r AS (
             SELECT doc_id, (doc_id // 2000) || ':' || (doc_id * 7919 % 1009 % 400) AS i, (doc_id // 3000) || ':' || (doc_id * 104729 % 997 % 500) AS t, row_number() OVER (ORDER BY doc_id) AS n FROM documents
         ), walk(n, doc_id, keep, ids, texts) AS (

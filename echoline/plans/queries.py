@@ -108,7 +108,7 @@ def _replies(spark: SparkSession, d: str) -> DataFrame:
     """Turns as flat replies, each to the turn at half its number; every ninth conversation has lost its first turn."""
     at = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), n.cast("string"))
     turns = bridge.table(spark, d, "conversations").where("conv_id % 9 <> 4 OR turn > 0")
-    return turns.select(at(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, at(F.expr("(turn - 1) div 2"))).alias("parent_id"), "conv_id", "turn")
+    return turns.select(at(F.col("turn")).alias("id"), F.when(F.col("turn") > 0, at(F.expr("(turn - 1) div 2"))).alias("parent_id"), "conv_id", "turn", "text")
 
 
 def _comment_trees(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +116,27 @@ def _comment_trees(spark: SparkSession, d: str) -> DataFrame:
     return trees.reply_depths(rows.where("parent_id IS NULL"), rows.where("parent_id IS NOT NULL")).select("id", "parent_id", "root", "depth")
 
 
+def _search_records(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as posts, an hour apart, found in a window that leaves the first two out; their turns as comments."""
+    said = F.concat(F.lit("w"), F.col("turn").cast("string"))
+    made = (F.lit(1704067200.0) + F.col("conv_id") * 3600 + F.col("turn") * 60 + 0.5).alias("created_utc")
+    rows = _replies(spark, d)
+    one = [F.col("id").alias("fullname"), F.when(F.col("turn") % 4 > 0, said).alias("author"), F.col("conv_id").alias("score"), made]
+    posts = rows.where("turn = 0").select(*one, F.lit(" A title").alias("title"), F.col("text").alias("selftext"), F.expr("'r' || conv_id % 5").alias("subreddit"))
+    comments = rows.where("turn > 0").select(*one, F.col("text").alias("body"), "parent_id")
+    found = collect.reddit_search(posts, comments, "launch", bridge.SALT, F.lit(bridge.COLLECTED).cast("timestamp"), since="2024-01-01 02:00:00")
+    return tidy(found.select("id", "parent_id", "created_utc", "author_hash", F.md5("text").alias("digest"), "score", "context_id", "event_tag"))
+
+
+def _profile_enrich(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's enrichment with a detector of profiles in place of the word lists; how often it names the declared language."""
+    docs = bridge.table(spark, d, "documents").select(F.col("lang").alias("language"), "text")
+    detect = languages.detector(languages.fit(docs, min_rows=2))
+    rows = enrichment.enrich(enrichment.parse(_messages(spark, d)), bridge.PROCESSED, detect=detect).select("id", "language")
+    told = rows.join(bridge.records(spark, d).select("id", F.col("language").alias("declared")), "id")
+    return told.groupBy("declared").agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("language") == F.col("declared")) * 100 >= F.count(F.lit(1)) * 98).alias("right"))
+
+
 def _conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose ids and texts run into each other in chains: some 400 ids in 2000 documents, 500 texts in 3000."""
     docs = bridge.table(spark, d, "documents")
@@ -218,8 +239,10 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "balanced_sample": lambda s, d: corpora.balanced_sample(bridge.events(s, d).withColumnRenamed("sentiment_label", "label"), 12).select("id", "language", "label"),
     "proportional": lambda s, d: sampling.proportional(bridge.gold(s, d), 100, "gold").select("id", "gold"),
     "stratified_sample": lambda s, d: sampling.stratified(bridge.records(s, d), 50, ["source", "language"]).select("id", "source", "language"),
-    "time_slices": lambda s, d: tidy(collect.search_requests(s, "2024-01-01 00:00:00", "2024-01-02 03:00:00", ["a", "b"])),
+    "time_slices": lambda s, d: tidy(collect.search_requests(bridge.records(s, d))),
     "video_ids": lambda s, d: collect.video_ids(bridge.records(s, d).select(F.concat(F.when(F.col("doc_id") % 5 == 0, "REPLACE_").otherwise("v"), "id").alias("id"), F.array("event_tag", F.lit("reveal")).alias("event_ids")), "launch"),
+    "search_records": _search_records,
+    "profile_enrich": _profile_enrich,
     "mark_review": _mark_review,
     "prelabel_rows": lambda s, d: tidy(sampling.prelabel_rows(sampling.prelabel_candidates(bridge.records(s, d), bridge.records(s, d).where("doc_id % 5 = 0"), "doc_id")).drop("text")),
     "comment_trees": _comment_trees,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.text import author_hash
+from ..operators import trees
 
 REVIEW = "partition string, review string, timestamp_created long"
 FIRST_CURSOR = "*"
@@ -190,16 +191,24 @@ def video_ids(videos: DataFrame, event: str) -> DataFrame:
     return videos.where(F.array_contains("event_ids", event) & ~F.col("id").startswith("REPLACE")).select("id")
 
 
-def time_slices(spark, start: str, end: str, hours: int = 6) -> DataFrame:
-    """(slice_start, slice_end) that cover the half-open window in order, the last one cut short."""
-    a, b, step = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"INTERVAL {hours} HOURS")
-    at = F.filter(F.sequence(a, F.greatest(a, b), step), lambda t: t < b)
-    return spark.range(1).select(F.explode(at).alias("slice_start")).select("slice_start", F.least(F.col("slice_start") + step, b).alias("slice_end"))
+def window_slices(windows: DataFrame, hours: int = 6) -> DataFrame:
+    """(channel, slice_start, slice_end) that cover each half-open window (channel, start, end) in order, the last one cut short.
 
+    A window that is empty, or lacks an end, has no slices.
+    """
+    step = F.expr(f"INTERVAL {hours} HOURS")
+    at = F.filter(F.sequence("start", F.greatest("start", "end"), step), lambda t: t < F.col("end"))
+    cut = windows.where("start < end").select("channel", "end", F.explode(at).alias("slice_start"))
+    return cut.select("channel", "slice_start", F.least(F.col("slice_start") + step, F.col("end")).alias("slice_end"))
+
+
+def search_requests(records: DataFrame, hours: int = 6) -> DataFrame:
+    """One row for each channel and slice of a search that covers the records (source, created_utc) of each source."""
+    ends = (F.max("created_utc") + F.expr("INTERVAL 1 SECOND")).alias("end")
+    return window_slices(records.groupBy(F.col("source").alias("channel")).agg(F.min("created_utc").alias("start"), ends), hours)
 
-def search_requests(spark, start: str, end: str, channels: list[str], hours: int = 6) -> DataFrame:
-    """One row for each channel and slice of a search."""
-    return time_slices(spark, start, end, hours).withColumn("channel", F.explode(F.array(*map(F.lit, channels))))
+
+NESTED = "struct<fullname: string, author: string, body: string, score: long, created_utc: double, parent_id: string, depth: int>"
 
 
 def reddit_records(posts: DataFrame, tag: str, salt: str, collected: Column, depth: int = 2) -> DataFrame:
@@ -216,6 +225,24 @@ def reddit_records(posts: DataFrame, tag: str, salt: str, collected: Column, dep
     return own.unionByName(said)
 
 
+def reddit_search(posts: DataFrame, comments: DataFrame, tag: str, salt: str, collected: Column, since: str | None = None, until: str | None = None, depth: int = 2) -> DataFrame:
+    """Raw records of the posts created in the half-open window and of the comments below them, down to ``depth``.
+
+    Both are flat rows: posts as for ``reddit_records`` without comments, comments (fullname, author, body, score,
+    created_utc, parent_id) in any order.  A post that several searches found is one record.  Comments that no chain of
+    at most ``depth`` parents ties to a post in the window are left out, circles among them; repeated comments stay.
+    """
+    at = F.timestamp_seconds("created_utc")
+    held = posts.where(at >= F.lit(since).cast("timestamp")) if since else posts
+    held = held.where(at < F.lit(until).cast("timestamp")) if until else held
+    held = held.where("fullname IS NOT NULL").dropDuplicates(["fullname"])
+    placed = trees.reply_depths(held, comments, depth, "fullname", "fullname", "parent_id")
+    under = placed.join(held.select(F.col("fullname").alias("root"), "subreddit"), "root")
+    said = under.select(*record(F.col("fullname"), "reddit", _or(F.col("author"), "[deleted]"), salt, F.coalesce("body", F.lit("")), F.col("score"), F.col("subreddit"), tag, F.col("created_utc"), F.col("parent_id"), collected))
+    own = reddit_records(held.withColumn("comments", F.lit(None).cast(f"array<{NESTED}>")), tag, salt, collected)
+    return own.unionByName(said)
+
+
 # --- publisher ------------------------------------------------------------------------------------------------------
 
 

@@ -24,6 +24,7 @@ from .watch import INBOX, Watch
 from .workers import once
 
 Classifier = Callable[[Column], Column]
+Detector = Callable[[Column], Column]
 
 #: Classifiers by name; each maps a text Column to struct(label, score) and is named with its version.
 REGISTRY: dict[str, tuple[Classifier, str]] = {"stub": (stub_sentiment, STUB_VERSION)}
@@ -215,12 +216,12 @@ def dead_letters(parsed: DataFrame, at: str) -> DataFrame:
     return parsed.where("error IS NOT NULL").select("data", F.map_concat(F.coalesce("attributes", none), extra).alias("attributes"))
 
 
-def enrich(parsed: DataFrame, processed_at: str, classifier: str = "stub") -> DataFrame:
-    """Valid rows with the events table's columns; the detected language replaces the declared one."""
+def enrich(parsed: DataFrame, processed_at: str, classifier: str = "stub", detect: Detector = detect_language) -> DataFrame:
+    """Valid rows with the events table's columns; the language that ``detect`` finds replaces the declared one."""
     classify, version = load_classifier(classifier)
     rows = parsed.where("error IS NULL").withColumn("_s", classify(F.col("text"))).withColumn("_s", sound(F.col("_s")))
     return rows.select(
-        *[F.col(c) for c in EVENT_COLUMNS[:7]], detect_language(F.col("text")).alias("language"), *[F.col(c) for c in EVENT_COLUMNS[8:12]],
+        *[F.col(c) for c in EVENT_COLUMNS[:7]], detect(F.col("text")).alias("language"), *[F.col(c) for c in EVENT_COLUMNS[8:12]],
         F.col("_s.label").alias("sentiment_label"), F.col("_s.score").alias("sentiment_score"), F.lit(version).alias("model_version"),
         F.lit(processed_at).cast("timestamp").alias("processed_at"),
     )
@@ -268,12 +269,13 @@ def append(rows: DataFrame, path: str) -> None:
 
 def run_stream(
     spark: SparkSession, inbox: str, landing: str, dlq: str, checkpoint: str, processed_at: str, classifier: str = "stub",
-    repeats_within: str | None = None, watch: Watch | None = None, files_per_batch: int | None = None,
+    repeats_within: str | None = None, watch: Watch | None = None, files_per_batch: int | None = None, detect: Detector = detect_language,
 ) -> None:
     """Drain a folder of JSON messages (data as base64) into landing and dead letters, each micro-batch once.
 
     The landing table must exist.  Payloads that do not parse and rows that the table refuses become dead letters.
     A run that died anywhere is repeated from its checkpoint: what a batch had written is kept, the rest is added.
+    ``detect`` is the language detector, such as one of fitted profiles (``functions/languages.py``).
     With ``repeats_within``, messages of an id that came before are dropped while the watermark allows.
     """
     load_classifier(classifier)
@@ -284,7 +286,7 @@ def run_stream(
         stream = stream_id(spark, checkpoint)
         parsed = parse(batch.select("data", "attributes")).persist()
         try:
-            rows, told = enrich(parsed, processed_at, classifier), Observation()
+            rows, told = enrich(parsed, processed_at, classifier, detect), Observation()
             taken = rows.where(refused(rows).isNull())
             fits(taken, landing)
             write_once(taken, landing, stream, number)
@@ -349,14 +351,14 @@ def promote(events: DataFrame, landing: DataFrame, staging: DataFrame, run_start
 
 def drain_and_promote(
     spark: SparkSession, inbox: str, landing: str, dlq: str, checkpoint: str, staging: DataFrame, table: StoredTable,
-    processed_at: str, run_start: str, event: str | None = None, classifier: str = "stub", watch: Watch | None = None,
+    processed_at: str, run_start: str, event: str | None = None, classifier: str = "stub", watch: Watch | None = None, detect: Detector = detect_language,
 ) -> StoredTable:
     """Drain the inbox, then merge what has landed since the run began into the stored table, if all of it has.
 
     While staged records are missing, nothing is merged and this raises; a repeated run drains what is new, adds no row
     twice, and merges rows that the table has already without changing it.
     """
-    run_stream(spark, inbox, landing, dlq, checkpoint, processed_at, classifier, watch=watch)
+    run_stream(spark, inbox, landing, dlq, checkpoint, processed_at, classifier, watch=watch, detect=detect)
     landed = spark.read.schema(EVENTS).parquet(landing)
     state = gate(staging, landed, run_start, event).first()
     if not state.complete:

@@ -88,6 +88,28 @@ def test_reddit_records(spark):
     assert rows["reddit:t3_1"].author_hash == rows["reddit:t1_2"].author_hash and rows["reddit:t1_1"].parent_id == "t3_1"
 
 
+def test_reddit_search(spark):
+    post = [("p1", "u", "T", "x", 5, "games", 1704067200.0), ("p2", "u", "T", None, 5, "pc", 1704153599.9), ("p3", "u", "late", "", 5, "pc", 1704153600.0), ("p1", "u", "T", "x", 5, "games", 1704067200.0), (None, "u", "T", "x", 5, "games", 1704067200.0)]
+    posts = spark.createDataFrame(post, "fullname string, author string, title string, selftext string, score long, subreddit string, created_utc double")
+    said = [("a", "p1"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "p2"), ("l", "p3"), ("o", "gone"), ("x", "y"), ("y", "x"), ("n", None)]
+    comments = spark.createDataFrame([(i, None, None, 1, 5.9, p, "spare") for i, p in said], "fullname string, author string, body string, score long, created_utc double, parent_id string, subreddit string")
+    found = collect.reddit_search(posts, comments.drop("subreddit"), "launch", "salt", now(), since="2024-01-01", until="2024-01-02")
+    got = {r.id: (r.parent_id, r.context_id, r.text) for r in found.collect()}
+    assert got == {
+        "reddit:p1": (None, "games", "T\n\nx"), "reddit:p2": (None, "pc", "T"), "reddit:a": ("p1", "games", ""), "reddit:b": ("a", "games", ""),
+        "reddit:c": ("b", "games", ""), "reddit:e": ("p2", "pc", ""),
+    } and found.count() == 6
+    assert {r.id for r in collect.reddit_search(posts, comments.drop("subreddit"), "t", "salt", now(), depth=0).collect()} == {f"reddit:{x}" for x in ("p1", "p2", "p3", "a", "e", "l")}
+    assert collect.reddit_search(posts.limit(0), comments.drop("subreddit"), "t", "salt", now()).count() == 0
+
+
+def test_window_slices(spark):
+    rows = [("a", 0, 13), ("b", 5, 5), ("c", 5, None), ("d", 0, 6)]
+    df = spark.createDataFrame(rows, "channel string, a long, b long").select("channel", F.timestamp_seconds(F.col("a") * 3600).alias("start"), F.timestamp_seconds(F.col("b") * 3600).alias("end"))
+    got = collect.window_slices(df).select("channel", (F.unix_seconds("slice_start") / 3600).cast("int"), (F.unix_seconds("slice_end") / 3600).cast("int"))
+    assert sorted(map(tuple, got.collect())) == [("a", 0, 6), ("a", 6, 12), ("a", 12, 13), ("d", 0, 6)]
+
+
 def test_publisher(spark):
     df = spark.createDataFrame([(i, bytearray(str(i).encode()), {"k": str(i)}, float(i % 2)) for i in (3, 1, 2)], "n int, data binary, attributes map<string,string>, sleep_s double").repartition(3)
     sent, slept, fails = [], [], [1, 1]

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from echoline.functions import languages
 from echoline.streaming import enrichment, event_time, sinks, watch
 
 AT = "2025-02-01 00:00:00"
@@ -154,3 +155,14 @@ def test_set_up_once_a_worker(spark, tmp_path):
     assert rows.where("s.label = 'pos'").count() == 640
     pids = [x.split("-")[0] for x in os.listdir(folder)]
     assert 0 < len(pids) == len(set(pids)) < 64
+
+
+def test_stream_takes_a_fitted_detector(spark, tmp_path):
+    box, landing, dlq, cp = where(tmp_path)
+    enrichment.create_table(spark, landing)
+    known = [("en", "the water of the house and the town")] * 25 + [("de", "das Wasser des Hauses und der Stadt")] * 25
+    detect = languages.detector(languages.fit(spark.createDataFrame(known, "language string, text string")))
+    texts = {"a": "the town house", "b": "der Stadt des Wassers", "c": "12 34"}
+    put(box, "f", [message(i, text=t) for i, t in texts.items()])
+    enrichment.run_stream(spark, box, landing, dlq, cp, AT, detect=detect)
+    assert {r.id: r.language for r in spark.read.parquet(landing).collect()} == {"a": "en", "b": "de", "c": None}

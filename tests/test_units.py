@@ -123,6 +123,8 @@ def test_files(spark, tmp_path):
     archive.write_jsonl(spark.createDataFrame([("a", "pos"), ("a", "neg"), ("b", None)], "id string, pred string").coalesce(1), str(tmp_path / "p"))
     back = archive.read_jsonl(spark, str(tmp_path / "p"), "id string, pred string")
     assert {r.id: r.pred for r in evaluation.last_predictions(back, "position").collect()} == {"a": "neg", "b": None}
+    ties = spark.createDataFrame([("t", "neg", 1), ("t", "pos", 1), ("t", "pos", 0)], "id string, pred string, pos int")
+    assert all(evaluation.last_predictions(ties.repartition(k)).first().pred == "pos" for k in (1, 3))
     assert [str(r.date_utc) for r in archive.load_calendar(spark, {"events": [{"id": "x", "date_utc": "2024-01-01"}]}).collect()] == ["2024-01-01"]
     for bad in ({}, {"events": []}, [{"id": "a"}, {"id": "a"}]):
         with pytest.raises(ValueError):

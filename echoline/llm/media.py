@@ -2,7 +2,9 @@
 
 Frames are lossless JPEG (SOF3, 8 bits, one component, predictor 1).  The Huffman table gives difference class s a
 code of 9 - s bits, so that code and extra bits always make 9 bits: coding and decoding are table look-ups over whole
-frames.  Tables read from a file may be any; those without that property are decoded bit by bit.
+frames.  Tables read from a file may be any; those without that property are decoded bit by bit.  Ordinary motion-JPEG
+frames of other writers (baseline DCT, SOF0, and 8-bit SOF1) are read as well: the samples of their first component, which
+is the brightness, at full size.
 
 ``encode`` stores payloads, ``decode`` parses the RIFF chunks and idx1, decodes the frames and finds shots where the
 difference of neighbouring frames' histograms exceeds mean + ``k`` deviations of the differences in a window around it.
@@ -10,16 +12,19 @@ difference of neighbouring frames' histograms exceeds mean + ``k`` deviations of
 Defined results: null text is empty; an empty payload is stored as 64 zero bytes; equal texts give equal files; repeated
 rows and null ids are rows of their own; an empty table gives no rows; other columns are ignored.  A payload must stay
 under RIFF's 4 GiB.  ``decode`` also takes other writers' files: every RIFF and AVIX segment is walked, and without a
-``strd`` chunk the payload is all frames' bytes; a null or damaged file, or one with frames of another kind (DCT-coded,
-coloured), gives a row with that ``status`` and null features instead of ending the job.
+``strd`` chunk the payload is all frames' bytes; a null or damaged file, or one with frames of another kind (progressive,
+arithmetic, 12 bits, coloured lossless ones, frames that leave out their tables and find none in ``tables``), gives a row
+with that ``status`` and null features instead of ending the job.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,7 @@ BATCH_BYTES = 8 << 20
 
 # Fixed values of the JPEG format: markers.
 SOI, EOI, SOF3, DHT, SOS = b"\xff\xd8", b"\xff\xd9", 0xC3, 0xC4, 0xDA
+SOF0, SOF1, DQT, DRI = 0xC0, 0xC1, 0xDB, 0xDD
 
 
 def _code_words() -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +102,10 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
     return decode_frames([jpeg])[0]
 
 
-def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """Frames of equal size, decoded together where their table has words of one length."""
+def decode_frames(jpegs: list[bytes], tables: bytes = b"") -> np.ndarray:
+    """Frames of equal size, decoded together where their table has words of one length; ``tables`` as for ``dct_frame``."""
+    if any(_frame_kind(j) in (SOF0, SOF1) for j in jpegs):
+        return np.stack([dct_frame(j, tables) if _frame_kind(j) in (SOF0, SOF1) else decode_frame(j) for j in jpegs])
     parsed = [_parse(j) for j in jpegs]
     height, width = parsed[0][1]
     if all(p[0] == parsed[0][0] and p[1] == (height, width) for p in parsed) and parsed[0][0] == (TABLE_COUNTS, TABLE_SYMBOLS):
@@ -171,6 +179,200 @@ def _slow(data: bytes, table: tuple[bytes, bytes], count: int) -> np.ndarray:
     return np.array(out) & 255
 
 
+# --- DCT frames ----------------------------------------------------------------------------------------------------
+
+
+def _segments(jpeg: bytes) -> Generator[tuple[int, bytes, int], int | None, None]:
+    """(marker, body, where the next segment starts) up to the end; the caller skips entropy-coded bytes by ``send``."""
+    at = 2
+    while at + 4 <= len(jpeg):
+        if jpeg[at] != 0xFF:
+            raise ValueError("damaged file")
+        marker = jpeg[at + 1]
+        if marker == 0xFF:  # fill byte
+            at += 1
+            continue
+        if marker == EOI[1]:
+            return
+        end = at + 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        at = (yield marker, jpeg[at + 4 : end], end) or end
+
+
+def _frame_kind(jpeg: bytes) -> int:
+    """The marker of the frame header; 0 where there is none."""
+    if jpeg[:2] != SOI:
+        return 0
+    return next((m for m, _, _ in _segments(jpeg) if 0xC0 <= m <= 0xCF and m not in (DHT, 0xC8, 0xCC)), 0)
+
+
+#: Places of a block's coefficients in the order of the file: by diagonals, odd ones downwards, even ones upwards.
+ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+_WAVE = np.cos((2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 16) / 2
+_WAVE[0] /= np.sqrt(2)
+#: The first byte after entropy-coded ones that is neither stuffing nor a restart.
+_SCAN_END = re.compile(rb"\xff+[^\x00\xd0-\xd7\xff]")
+_RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
+
+
+@lru_cache(maxsize=64)
+def _words(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """(length, symbol) of the word that each 16 bits begin with; length 0 where none does."""
+    found, code, k = [(0, 0)] * (1 << 16), 0, 0
+    for length, n in enumerate(counts, 1):
+        for _ in range(n):
+            span = 1 << (16 - length)
+            found[code * span : (code + 1) * span] = [(length, symbols[k])] * span
+            code, k = code + 1, k + 1
+        code <<= 1
+    if len(found) != 1 << 16:
+        raise ValueError("damaged file")
+    return found
+
+
+class _Bits:
+    """Bits of one stretch of entropy-coded bytes; behind its end come ones, as in the padding."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.held, self.n = data + b"\xff" * 8, 0, 0, 0
+
+    def _fill(self) -> None:
+        while self.n < 16:
+            part = self.data[self.at : self.at + 6]
+            if not part:
+                raise ValueError("damaged file")
+            self.at += len(part)
+            self.held = (self.held & ((1 << self.n) - 1)) << (8 * len(part)) | int.from_bytes(part, "big")
+            self.n += 8 * len(part)
+
+    def symbol(self, words: list[tuple[int, int]]) -> int:
+        if self.n < 16:
+            self._fill()
+        length, found = words[(self.held >> (self.n - 16)) & 0xFFFF]
+        if not length:
+            raise ValueError("damaged file")
+        self.n -= length
+        return found
+
+    def number(self, size: int) -> int:
+        """A signed number of that many bits."""
+        if not size:
+            return 0
+        if size > 15:
+            raise ValueError("damaged file")
+        if self.n < size:
+            self._fill()
+        self.n -= size
+        value = (self.held >> self.n) & ((1 << size) - 1)
+        return value if value >> (size - 1) else value - (1 << size) + 1
+
+
+def _block(bits: _Bits, dc: list, ac: list, before: int, out: np.ndarray) -> int:
+    """One block's coefficients into ``out``, in the order of the file; its mean, to which the next one is relative."""
+    mean = before + bits.number(bits.symbol(dc))
+    if abs(mean) >= 1 << 15:
+        raise ValueError("damaged file")
+    out[0], k = mean, 1
+    while k < 64:
+        run = bits.symbol(ac)
+        if run == 0:
+            break
+        k += run >> 4
+        if run & 15:
+            if k > 63:
+                raise ValueError("damaged file")
+            out[k] = bits.number(run & 15)
+        k += 1
+    return mean
+
+
+def dct_frame(jpeg: bytes, tables: bytes = b"") -> np.ndarray:
+    """The first component's samples, (height, width), of a baseline DCT image.
+
+    Any sampling factors, restarts and one or several scans are read.  ``tables`` is a JPEG stream of tables (SOI, DHT
+    and DQT, EOI) for writers whose frames leave theirs out.
+    """
+    words, scales, parts, shape, every = {}, {}, {}, None, 0
+    for stream in (tables, jpeg) if tables else (jpeg,):
+        segments, skip = _segments(stream), None
+        while True:
+            try:
+                marker, body, at = segments.send(skip)
+            except StopIteration:
+                break
+            skip = None
+            if marker == DHT:
+                while body:
+                    n = sum(body[1:17])
+                    words[body[0]] = _words(body[1:17], body[17 : 17 + n])
+                    body = body[17 + n :]
+            elif marker == DQT:
+                while body:
+                    wide = body[0] >> 4
+                    scales[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(np.float64)
+                    body = body[65 + 64 * wide :]
+            elif marker == DRI:
+                every = int.from_bytes(body[:2], "big")
+            elif marker in (SOF0, SOF1):
+                precision, height, width, n = struct.unpack(">BHHB", body[:6])
+                if precision != 8 or not height or not width:
+                    raise ValueError("only 8-bit images of a stated size")
+                sizes = {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)}
+                wide, high = max(s[0] for s in sizes.values()), max(s[1] for s in sizes.values())
+                across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+                shape, first = (height, width), body[6]
+                if across * down * sum(h * v for h, v, _ in sizes.values()) > 4 * len(stream):  # a block takes two bits at least
+                    raise ValueError("damaged file")
+                for name, (h, v, q) in sizes.items():
+                    if not 1 <= h <= 4 or not 1 <= v <= 4:
+                        raise ValueError("damaged file")
+                    parts[name] = (h, v, q, np.zeros((down * v, across * h, 64), np.int32))
+            elif marker == SOS:
+                if shape is None:
+                    raise ValueError("damaged file")
+                end = _SCAN_END.search(stream, at)
+                skip = end.start() if end else len(stream)
+                named = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+                if any(t >> 4 not in words or 16 + (t & 15) not in words for _, t in named):
+                    raise ValueError("frames leave out their tables")
+                _scan(stream[at:skip], [(*parts[c], words[t >> 4], words[16 + (t & 15)]) for c, t in named], every, (across, down), shape, (wide, high))
+    if shape is None:
+        raise ValueError("no JPEG")
+    h, v, q, blocks = parts[first]
+    if q not in scales:
+        raise ValueError("frames leave out their tables")
+    plain = np.zeros(blocks.shape, np.float64)
+    plain[..., ZIGZAG] = blocks * scales[q]
+    plain = plain.reshape(*blocks.shape[:2], 8, 8)
+    samples = np.einsum("ua,ijuv,vb->iajb", _WAVE, plain, _WAVE, optimize=True).reshape(blocks.shape[0] * 8, -1)
+    samples = np.clip(np.rint(samples + 128), 0, 255).astype(np.uint8)
+    rows, columns = np.arange(shape[0]) * v // high, np.arange(shape[1]) * h // wide  # a smaller component is spread
+    return samples[rows][:, columns]
+
+
+def _scan(data: bytes, parts: list, every: int, units: tuple[int, int], shape: tuple[int, int], most: tuple[int, int]) -> None:
+    """Fill the blocks of the scan's components; each stretch between restarts begins anew."""
+    if len(parts) == 1:  # its own blocks in order, without those that only fill up a unit
+        h, v = parts[0][:2]
+        across, down = (-(-(-(-size * f // m)) // 8) for size, f, m in ((shape[1], h, most[0]), (shape[0], v, most[1])))
+        places = [[(0, i, j)] for i in range(down) for j in range(across)]
+    else:
+        cells = [(k, i, j) for k, part in enumerate(parts) for i in range(part[1]) for j in range(part[0])]
+        places = [[(k, y * parts[k][1] + i, x * parts[k][0] + j) for k, i, j in cells] for y in range(units[1]) for x in range(units[0])]
+    every = every or len(places)
+    stretches = _RESTART.split(data)
+    if len(stretches) < -(-len(places) // every):
+        raise ValueError("damaged file")
+    for n in range(0, len(places), every):
+        bits, before = _Bits(stretches[n // every].replace(b"\xff\x00", b"\xff")), [0] * len(parts)
+        for unit in places[n : n + every]:
+            for k, i, j in unit:
+                _, _, _, blocks, dc, ac = parts[k]
+                before[k] = _block(bits, dc, ac, before[k], blocks[i, j])
+
+
+# --- files ---------------------------------------------------------------------------------------------------------
+
+
 def _chunk(name: bytes, body: bytes) -> bytes:
     return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
@@ -307,8 +509,11 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 CLIPS = "array<struct<clip:int,first_frame:int,end_frame:int,start_s:double,end_s:double>>"
 
 
-def decode(media: DataFrame) -> DataFrame:
-    """What is read back from (doc_id, n_bytes, media): digests of payload and file, clips, the feature string."""
+def decode(media: DataFrame, tables: bytes = b"") -> DataFrame:
+    """What is read back from (doc_id, n_bytes, media): digests of payload and file, clips, the feature string.
+
+    ``tables`` is for DCT frames that leave theirs out, as for ``dct_frame``.
+    """
     clip = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("end_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +527,7 @@ def decode(media: DataFrame) -> DataFrame:
                         jpegs, fps, length = read_avi(data)
                         if not jpegs:
                             raise ValueError("no frames")
-                        frames = decode_frames(jpegs)
+                        frames = decode_frames(jpegs, tables)
                     except (ValueError, KeyError, IndexError, TypeError, struct.error) as error:
                         status = str(error) if isinstance(error, ValueError) and buffer is not None else "no file" if buffer is None else "damaged file"
                         yield (doc_id, n_bytes, None, None, None, *whole, None, None, status), 200

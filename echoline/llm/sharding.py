@@ -61,25 +61,32 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
 
 def assign(df: DataFrame, *, limit: int, id_col: str = "doc_id", bytes_col: str = "n_bytes") -> DataFrame:
     """``df`` (id, bytes, ...) with shard, depth, shard_bytes, oversize of each row."""
+    (bits,) = unused(df, "bits")
+    return _place(materialize(key_bits(df, id_col, bits)), bits, limit, bytes_col).drop(bits)
+
+
+def _place(keyed: DataFrame, bits: str, limit: int, bytes_col: str) -> DataFrame:
+    """``keyed`` rows, which lie in a written table, with their shards."""
     given = ["shard", "depth", "shard_bytes", "oversize"]
-    bits, probe, *names = unused(df, "bits", "probe", *given)
-    keyed = materialize(key_bits(df, id_col, bits))
+    probe, *names = unused(keyed.drop(bits), "probe", *given)
     shards = materialize(directory(keyed.select(F.col(bits).alias("_bits"), column(bytes_col).alias("n_bytes")), limit))
     depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 121 numbers
     kinds = {"shard": "string", "depth": "int", "shard_bytes": "long", "oversize": "boolean"}
     if not depths:
-        return keyed.drop(bits).withColumns({n: F.lit(None).cast(kinds[g]) for n, g in zip(names, given, strict=True)})
+        return keyed.withColumns({n: F.lit(None).cast(kinds[g]) for n, g in zip(names, given, strict=True)})
     probes = F.explode(F.array(*[F.substring(bits, 1, d) for d in sorted(depths)]))
     listed = shards.select(*[F.col(g).alias(n) for n, g in zip(names, given, strict=True)])
-    return keyed.withColumn(probe, probes).join(listed, F.col(probe) == F.col(names[0])).drop(bits, probe)
+    return keyed.withColumn(probe, probes).join(listed, F.col(probe) == F.col(names[0])).drop(probe)
 
 
 def write_shards(docs: DataFrame, path: str, *, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write whole rows as one folder per shard; a shard is within the limit, so it is one task's work.
 
+    Rows find their shards by keys and sizes alone; texts are joined to them once, and dealt to their shards once.
     Folders are named ``b`` and the prefix: bare digits would be read back as numbers, and prefixes of zeros as one.
     """
-    size, shard = unused(docs, "n_bytes", "shard")
-    sized = docs.withColumn(size, F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("long"))
-    found = assign(sized, limit=limit, id_col=id_col, bytes_col=size)
-    found.repartition(shard).select(*map(column, docs.columns), F.concat(F.lit("b"), shard).alias(shard)).write.partitionBy(shard).parquet(path)
+    bits, shard = unused(docs, "bits", "shard")
+    keyed = materialize(key_bits(docs, id_col, bits))
+    sized = keyed.select(bits, F.coalesce(F.octet_length(column(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
+    found = _place(sized, bits, limit, "n_bytes").select(bits, F.col("shard").alias(shard))
+    keyed.join(found, bits).repartition(shard).select(*map(column, docs.columns), F.concat(F.lit("b"), shard).alias(shard)).write.partitionBy(shard).parquet(path)

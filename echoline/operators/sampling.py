@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import LABELS
 from .distinct import first_by_id_or_text
-from .ranks import hash_order, hash_rank, number
+from .durable import durable
+from .ranks import hash_bucket, hash_counts, hash_order, hash_rank, number
 
 
 def md5_number(key: str = "id") -> Column:
@@ -68,14 +69,28 @@ def reservoir(rows: DataFrame, per_group: int, keys: list[str], seed: int = 42)
 
 
 def proportional(rows: DataFrame, n: int, label: str = "label", seed: int = 42) -> DataFrame:
-    """n rows that keep the label shares (half-even rounding); what rounding leaves open is filled in hash order."""
-    sizes = _class_sizes(rows, label)
+    """n rows that keep the label shares (half-even rounding); what rounding leaves open is filled in hash order.
+
+    A class gives the first rows in hash order that its share takes, and of the others no more than are open.  So only rows of
+    the buckets that these positions reach are ranked and shuffled; the counts of all rows tell which those are.
+    """
+    if n <= 0:
+        return rows.limit(0)
+    counts = durable(hash_counts(rows, [label], seed))
+    sizes = counts.groupBy(F.col("_g0").alias("_label")).agg(F.sum("_n").alias("_size"))
     total = sizes.agg(F.sum("_size")).first()[0] or 0
-    if n <= 0 or n >= total:
-        return rows.limit(0) if n <= 0 else rows
-    both = hash_rank(rows, [label], seed).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_label")))
-    both = both.withColumn("_take", F.col("_rank") <= F.bround(F.col("_size") * n / total)).withColumn("_h", hash_order(seed))
-    return both.orderBy(F.desc("_take"), "_h", "id").limit(n).drop("_take", "_h", "_rank", "_size", "_label")
+    if n >= total:
+        return rows
+    sizes = sizes.withColumn("_share", F.bround(F.col("_size") * n / total))
+    left = max(0, n - int(sizes.agg(F.sum("_share")).first()[0]))
+    reached = counts.join(F.broadcast(sizes), F.col("_g0").eqNullSafe(F.col("_label"))).where(F.col("_before") < F.col("_share") + left)
+    reach = durable(reached.groupBy("_label", "_share").agg(F.max("_b").alias("_last")))
+    widest = reach.agg(F.max("_last")).first()[0]
+    near = rows.where(hash_bucket(seed) <= F.lit(widest))  # a plain bound, which goes below the joins that made the rows
+    near = near.join(F.broadcast(reach), F.col(label).eqNullSafe(F.col("_label"))).where(hash_bucket(seed) <= F.col("_last"))
+    both = hash_rank(near, [label], seed, counts=counts)
+    both = both.withColumn("_take", F.col("_rank") <= F.col("_share")).withColumn("_h", hash_order(seed))
+    return both.orderBy(F.desc("_take"), "_h", "id").limit(n).drop("_take", "_h", "_rank", "_share", "_last", "_label")
 
 
 def oversample(rows: DataFrame, factor: int) -> DataFrame:

@@ -85,7 +85,7 @@ def _pool(spark, d):
 
 
 def _gold_texts(spark, d):
-    return bridge.gold(spark, d).join(bridge.records(spark, d).select("id", "text"), "id").select("id", "text", F.col("gold").alias("label"), "source", "split")
+    return bridge.gold(spark, d, "text").select("id", "text", F.col("gold").alias("label"), "source", "split")
 
 
 def _kinds(spark, d):

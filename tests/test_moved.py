@@ -26,7 +26,7 @@ def moved(df, columns):
     return [x for x in re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: (.*)", told) if re.search(rf"\b({columns})#", x)]
 
 
-@pytest.mark.parametrize("name", ["stage2_rows"])
+@pytest.mark.parametrize("name", ["stage2_rows", "corpus_mix"])
 def test_mixes_shuffle_gold_texts_once(spark, sf_dir, no_broadcast, name):
     carried = moved(queries.QUERIES[name](spark, sf_dir), "text")
     bounded = [x for x in carried if "_bucket#" in x]  # rows of the buckets that the sample reaches

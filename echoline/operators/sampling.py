@@ -32,11 +32,12 @@ def stratified(rows: DataFrame, n: int, keys: list[str], seed: int = 42) -> Data
     return ranked.orderBy(F.desc("_first"), "_h", "id").limit(n).drop("_first", "_h", "_rank")
 
 
-def prelabel_candidates(rows: DataFrame, gold: DataFrame, position: str) -> DataFrame:
-    """Rows outside gold with id and text; of those that share an id or a text, what a walk by position keeps."""
-    edge = F.lit(" \t\n\r\x0b\x0c")
-    fresh = rows.join(gold.select(F.btrim("id", edge).alias("_known")), F.btrim(F.col("id"), edge) == F.col("_known"), "left_anti")
-    return first_by_id_or_text(fresh, position)[0]
+def prelabel_candidates(rows: DataFrame, gold: DataFrame, position: str, mark_col: str | None = None) -> DataFrame:
+    """Rows outside gold with id and text; of those that share an id or a text, what a walk by position keeps.
+
+    ``mark_col``: the column of ``text_mark``, where rows were given one.
+    """
+    return first_by_id_or_text(rows, position, mark_col=mark_col, known=gold.select("id"))[0]
 
 
 def prelabel_rows(candidates: DataFrame) -> DataFrame:

@@ -38,6 +38,11 @@ def _view(name: str):
 FINGERPRINT = ["id", "source", "language", "score", "event_tag", "sentiment_label"]
 
 
+def _mark():
+    """For a column of records: told where the documents are read, so their texts stay there."""
+    return distinct.text_mark(F.col("text"))
+
+
 def _staging(spark, d):
     return merge.latest(bridge.landing(spark, d).drop("doc_id"), "collected_at")
 
@@ -207,7 +212,7 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
         F.element_at(F.array(F.lit("Anger"), F.lit("curiosity")), (F.col("doc_id") % 2 + 1).cast("int")))).alias("label")),
     "validate_dead_letter": lambda s, d: enrichment.parse(_messages(s, d)).groupBy(F.coalesce("error", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n")),
     "gold_sample_sql": lambda s, d: sampling.gold_sample(bridge.records(s, d)).select("id", "source", "language"),
-    "prelabel_candidates": lambda s, d: sampling.prelabel_candidates(bridge.landing(s, d), bridge.records(s, d).where("doc_id % 5 = 0"), "doc_id").select("id"),
+    "prelabel_candidates": lambda s, d: sampling.prelabel_candidates(bridge.landing(s, d, mark=_mark()), bridge.records(s, d).where("doc_id % 5 = 0"), "doc_id", "mark").select("id"),
     "chunk_packs": lambda s, d: sampling.chunk_packs(bridge.records(s, d).where("doc_id % 3 <> 1").select("id", "doc_id"), 200, "doc_id").groupBy("chunk").agg(F.count(F.lit(1)).alias("n")),
     "label_counts": lambda s, d: bridge.events(s, d).groupBy(F.concat_ws("=", "sentiment_label", "source").alias("key")).agg(F.count(F.lit(1)).alias("n")),
     "confusion_matrix": lambda s, d: evaluation.confusion(bridge.gold(s, d)),
@@ -244,7 +249,7 @@ QUERIES = {name: _view(name) for name in views.VIEWS} | {
     "search_records": _search_records,
     "profile_enrich": _profile_enrich,
     "mark_review": _mark_review,
-    "prelabel_rows": lambda s, d: tidy(sampling.prelabel_rows(sampling.prelabel_candidates(bridge.records(s, d), bridge.records(s, d).where("doc_id % 5 = 0"), "doc_id")).drop("text")),
+    "prelabel_rows": lambda s, d: tidy(sampling.prelabel_rows(sampling.prelabel_candidates(bridge.records(s, d, mark=_mark()), bridge.records(s, d).where("doc_id % 5 = 0"), "doc_id", "mark")).drop("text")),
     "comment_trees": _comment_trees,
     "first_by_id_or_text": lambda s, d: distinct.first_by_id_or_text(_conflicts(s, d), "doc_id")[0].select("doc_id"),
     "language_profiles": _profiles,

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from echoline.operators import corpora, sampling
+from echoline.operators import corpora, distinct, sampling
 from echoline.plans import queries
 
 
@@ -56,3 +56,34 @@ def test_rows_that_a_join_leaves_out_are_not_checked(spark, no_broadcast):
     assert [r.id for r in corpora.concatenate(corpora.own_domain(rows)).select("id").collect()] == [1]
     with pytest.raises(Exception, match="both text and label"):
         corpora.concatenate(corpora.own_domain(rows.withColumn("text", F.lit(" ")))).select("id").collect()
+
+
+@pytest.mark.parametrize("name", ["prelabel_candidates"])
+def test_candidates_shuffle_no_text(spark, sf_dir, no_broadcast, name):
+    """Neither the query's own plan nor the rounds of its dedup, whose rows were written before, carry a text."""
+    assert not moved(queries.QUERIES[name](spark, sf_dir), "text")
+
+
+def test_known_ids_and_given_marks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["", " ", "\t"]) + f"i{rng.randrange(300)}", rng.choice(["", " ", "x\n", None]), rng.choice([None, *range(40)])) for _ in range(400)]
+    rows += [(f"i{k % 290}", f" t{rng.randrange(250)}\n", rng.choice([None, *range(60)])) for k in range(800)]
+    df = spark.createDataFrame(rows, "id string, text string, p int").repartition(6)
+    known = spark.createDataFrame([(" i3",), ("i77\n",), (None,), ("none",)], "id string")
+    fresh = df.where("btrim(id, ' \t\n') NOT IN ('i3', 'i77')")
+    key = lambda r: (r.id.strip(), r.text.strip(), r.p)
+    want = sorted(map(key, distinct.first_by_id_or_text(fresh, "p")[0].collect()), key=str)
+    marked = df.withColumn("mark", distinct.text_mark(F.col("text")))
+    for got in (sampling.prelabel_candidates(df, known, "p"), sampling.prelabel_candidates(marked, known, "p", "mark")):
+        assert sorted(map(key, got.collect()), key=str) == want
+    least = {}
+    for i, t, p in (key(r) for r in fresh.where("text IS NOT NULL").collect()):
+        least[i, t] = p if least.get((i, t)) is None else min(p, least[i, t]) if p is not None else least[i, t]
+    place = lambda x: (x[1] is not None, x[1] or 0, x[0][0], hashlib.sha256(x[0][1].encode()).hexdigest())
+    ids, texts, walked = {""}, {""}, []
+    for (i, t), p in sorted(least.items(), key=place):
+        if i not in ids and t not in texts:
+            ids.add(i)
+            texts.add(t)
+            walked.append((i, t, p))
+    assert want == sorted(walked, key=str) and len(want) > 100

@@ -58,7 +58,7 @@ def test_rows_that_a_join_leaves_out_are_not_checked(spark, no_broadcast):
         corpora.concatenate(corpora.own_domain(rows.withColumn("text", F.lit(" ")))).select("id").collect()
 
 
-@pytest.mark.parametrize("name", ["prelabel_candidates"])
+@pytest.mark.parametrize("name", ["prelabel_candidates", "prelabel_rows"])
 def test_candidates_shuffle_no_text(spark, sf_dir, no_broadcast, name):
     """Neither the query's own plan nor the rounds of its dedup, whose rows were written before, carry a text."""
     assert not moved(queries.QUERIES[name](spark, sf_dir), "text")

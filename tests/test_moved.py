@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,36 @@ def moved(df, columns):
     return [x for x in re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: (.*)", told) if re.search(rf"\b({columns})#", x)]
 
 
+def shuffled(spark, run):
+    """What ``run`` gives, and the bytes that all its jobs shuffled, those of rows written on the way included."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        listed = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {listed.apply(k).stageId(): listed.apply(k).shuffleWriteBytes() for k in range(listed.size())}
+
+    last = max(stages(), default=-1)
+    out = run()
+    return out, sum(n for k, n in stages().items() if k > last)
+
+
+@pytest.mark.parametrize(("name", "times"), [("corpus_mix", 1)])
+def test_longer_texts_shuffle_no_more_than_told(spark, no_broadcast, tmp_path, name, times):
+    """Shuffled bytes grow by at most ``times`` what the texts do; the rows stay as many, as the stub may label longer texts otherwise."""
+    sf_dir = "/root/testdata/sf0.01"
+    for x in Path(sf_dir).iterdir():
+        (tmp_path / x.name).symlink_to(x)
+    (tmp_path / "documents.parquet").unlink()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = F.concat_ws(" ", "text", *[F.sha2(F.concat("text", F.lit(f" {k}")), 512) for k in range(16)])
+    docs.withColumn("text", F.when(F.trim("text") != "", more).otherwise(F.col("text"))).write.parquet(f"{tmp_path}/documents.parquet")
+    added = docs.where("trim(text) <> ''").count() * 16 * 128
+    (short, few), (long, many) = [shuffled(spark, lambda d=d: queries.QUERIES[name](spark, d).collect()) for d in (sf_dir, str(tmp_path))]
+    assert len(short) == len(long) > 0
+    assert many - few < (times + 0.1) * added
+
+
 @pytest.mark.parametrize("name", ["stage2_rows", "corpus_mix"])
 def test_mixes_shuffle_gold_texts_once(spark, sf_dir, no_broadcast, name):
     carried = moved(queries.QUERIES[name](spark, sf_dir), "text")

@@ -41,7 +41,7 @@ def shuffled(spark, run):
     return out, sum(n for k, n in stages().items() if k > last)
 
 
-@pytest.mark.parametrize(("name", "times"), [("corpus_mix", 1)])
+@pytest.mark.parametrize(("name", "times"), [("corpus_mix", 1), ("prelabel_rows", 0)])
 def test_longer_texts_shuffle_no_more_than_told(spark, no_broadcast, tmp_path, name, times):
     """Shuffled bytes grow by at most ``times`` what the texts do; the rows stay as many, as the stub may label longer texts otherwise."""
     sf_dir = "/root/testdata/sf0.01"
